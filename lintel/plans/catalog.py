@@ -1,0 +1,13 @@
+"""Every registered query of the engine with its SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+def stats_by_event(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"stats_by_event": stats_by_event}
+SQL = {"stats_by_event": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
