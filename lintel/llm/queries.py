@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii
+from . import exact_dedup, mixing, pii, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
