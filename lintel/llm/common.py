@@ -121,9 +121,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` in flat text, never across texts, and words per text."""
-    ink = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` (or of runs of ink) in flat text, never across texts, and words per text."""
+    ink = ~_SPACE[data] if ink is None else ink
     first = np.zeros(len(data) + 1, bool)
     last = np.zeros(len(data) + 1, bool)
     edge = np.zeros(len(data) + 1, bool)
