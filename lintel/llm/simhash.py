@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
     """uint64 fingerprints of texts. The texts of one call should be a few MB at most."""
-    ended = pa.compute.binary_join_element_wise(pa.compute.fill_null(texts, ""), "", "\n")  # a space after every word
+    ended = pc.binary_join_element_wise(pc.fill_null(texts, ""), "", "\n")  # a space after every word
     data, offsets = flat(ended)
     data = fold(data)
     starts, ends, per = words(data, offsets)
