@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, simhash, toxicity
+from . import bloomlm, bpe, exact_dedup, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lm": bloomlm.op3_lm,
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
     "op8_source_mixing": mixing.op8_source_mixing,
