@@ -7,6 +7,8 @@ walks all words of a batch at once, one byte a round.
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import hashlib
 import os
 import tempfile
@@ -109,6 +111,9 @@ def mapped(image: bytes) -> Transducer:
             fd, part = tempfile.mkstemp(dir=tempfile.gettempdir())
             with os.fdopen(fd, "wb") as f:
                 f.write(image)
+            for old in glob.glob(os.path.join(tempfile.gettempdir(), "lexicon-*.bin")):  # one lexicon a machine; those mapped stay readable
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(old)
             os.replace(part, path)
         _open.clear()
         _open[name] = Transducer(path)
