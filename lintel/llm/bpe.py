@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, ragged, slices, table
+from .common import dropped, flat, ragged, slices, table, written
 from .transducer import compile_words, mapped
 
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -188,10 +188,21 @@ def encode_batch(m: Merges, image: bytes, texts: list[str]) -> tuple[np.ndarray,
     return coded.indices.to_numpy(), np.array(per, np.int64), distinct, out, offsets, counts
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", lexicon_words: int = 1 << 16) -> list[str]:
-    """The corpus's most frequent words of letters, counted over all documents, ties by the word."""
+def frequent_words(docs: DataFrame, text_col: str = "text", lexicon_words: int = 1 << 16, least: int = 8) -> list[str]:
+    """The corpus's most frequent words of letters, counted over all documents: at most lexicon_words, those with the
+    highest counts, all words of a count or none. Only they reach the driver."""
     split = docs.select(F.explode(F.split(F.col(text_col), "[ \n]")).alias("w"))
-    return [r.w for r in split.groupBy("w").count().where(F.col("w").rlike(r"^\p{L}{1,40}$")).orderBy(F.desc("count"), "w").limit(lexicon_words).collect()]
+    counts = written(split.groupBy("w").count().where((F.col("count") >= least) & F.col("w").rlike(r"^\p{L}{1,40}$")), "word-counts")
+    below = lambda c: F.floor(F.log2(F.col(c)) * 16)
+    room, floor_ = lexicon_words, None
+    for r in counts.groupBy(below("count").alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        room -= r.n
+        if room < 0:
+            break
+        floor_ = r.step
+    out = [] if floor_ is None else [r.w for r in counts.where(below("count") >= floor_).select("w").collect()]
+    dropped(counts)
+    return out
 
 
 def build_lexicon(m: Merges, words_: list[str]) -> bytes:
