@@ -167,14 +167,18 @@ def scores(m: Model, t: Text, block: int = 2048) -> np.ndarray:
     return sigmoid(out.astype(np.float64))
 
 
-def odds(hash_: np.ndarray, text: np.ndarray, label: np.ndarray, prior: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def smoothed(k1: np.ndarray, k0: np.ndarray, label: np.ndarray, prior: float = 3.0) -> np.ndarray:
+    n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
+    return np.log((k1 + prior) / n1 / ((k0 + prior) / n0)).astype(np.float32)
+
+
+def odds(hash_: np.ndarray, text: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes, their smoothed log odds, texts that hold them)."""
     pair = np.unique(np.stack([hash_, text.astype(np.uint64)], 1), axis=0)
     keys, at = np.unique(pair[:, 0], return_inverse=True)
-    n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
     one = label[pair[:, 1].astype(np.int64)]
     k1, k0 = np.bincount(at, one, len(keys)), np.bincount(at, 1 - one, len(keys))
-    return keys, np.log((k1 + prior) / n1 / ((k0 + prior) / n0)).astype(np.float32), k1 + k0
+    return keys, smoothed(k1, k0, label), k1 + k0
 
 
 def fit(texts, label: np.ndarray, seed: int = 11, epochs: int = 6, batch: int = 64, most_words: int = 1 << 15, rate: float = 0.01) -> Model:
@@ -186,11 +190,18 @@ def fit(texts, label: np.ndarray, seed: int = 11, epochs: int = 6, batch: int =
     top = top[df[top] >= 2]
     m = Model(keys[top], np.concatenate(([np.float32(0)], lo[top])), np.zeros(ODDS, np.float32))
     begin = np.searchsorted(t.gram_word, np.arange(len(t.distinct) + 1))
-    pair = np.unique(np.stack([t.stream, text_of], 1), axis=0)  # a text's distinct words, so that n-grams are counted once a text
-    row, place = ragged(begin[pair[:, 0] + 1] - begin[pair[:, 0]])
-    slot = mix(t.gram_hash) & np.uint64(ODDS - 1)
-    gkeys, glo, _ = odds(slot[begin[pair[:, 0]][row] + place], pair[row, 1], label)
-    m.gram_odds[gkeys.astype(np.int64)] = glo
+    slot = (mix(t.gram_hash) & np.uint64(ODDS - 1)).astype(np.int64)
+    held = np.zeros((2, ODDS))  # texts of each label that hold an n-gram, counted once a text
+    pair = np.unique(np.stack([text_of, t.stream], 1), axis=0)
+    cut = np.searchsorted(pair[:, 0], np.arange(0, len(t.per) + 100, 100))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        d, w = pair[lo:hi].T
+        row, place = ragged(begin[w + 1] - begin[w])
+        both = np.unique(d[row] << 20 | slot[begin[w][row] + place])
+        for y in (0, 1):
+            held[y] += np.bincount(both[label[both >> 20] == y] & (ODDS - 1), minlength=ODDS)
+    some = held.sum(0) > 0
+    m.gram_odds[some] = smoothed(held[1][some], held[0][some], label)
     width = FIXED + 2 * DIM
     shape = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     m.p = {f"W{s}": shape(width, 3 * HIDDEN) for s in "fb"} | {f"U{s}": shape(HIDDEN, 3 * HIDDEN) for s in "fb"} | {f"c{s}": np.zeros(3 * HIDDEN, np.float32) for s in "fb"}
