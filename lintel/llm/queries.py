@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bloomlm, bpe, exact_dedup, mixing, pii, simhash, toxicity
+from . import ann, bloomlm, bpe, exact_dedup, linededup, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm": bloomlm.op3_lm,
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_ann": ann.op7_ann,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
