@@ -28,12 +28,15 @@ def held_out(c: Column, fold: int = 5, at: int = 0) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = 2000, fit_chars: int = 6000, seed: int = 11) -> gru.Model:
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out(F.col("id")) & (F.length("text") <= fit_chars) & (F.length("text") > 0)).join(own, "id")
-    rows = rows.withColumn("order", F.xxhash64("id", F.lit(seed)))
-    got = []
-    for y in (0, 1):
-        got += rows.where(F.col("y") == y).orderBy("order", "id").limit(fit_docs).select("text", "y").collect()
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("id")))
+    own = own.withColumn("order", F.xxhash64("id", F.lit(seed)))
+    have = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # of each label the ids with the lowest hashes, about twice fit_docs of them: a share that shrinks as labels grow
+    share = {y: int(((min(1.0, 2 * fit_docs / n) * 2) - 1) * (2**63 - 1)) for y, n in have.items()}
+    ids = own.where(" OR ".join(f"(y = {y} AND order <= {s})" for y, s in share.items()) or "false")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") <= fit_chars) & (F.length("text") > 0))
+    got = sorted(rows.join(F.broadcast(ids), "id").select("order", "id", "text", "y").collect())
+    got = [r for y in (0, 1) for r in [r for r in got if r.y == y][:fit_docs]]
     return gru.fit(pc.utf8_lower(pa.array([r.text for r in got], pa.string())), np.array([r.y for r in got], np.int64), seed=seed)
 
 
