@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bloomlm, bpe, exact_dedup, linededup, mixing, pii, simhash, toxicity
+from . import ann, bloomlm, bpe, exact_dedup, linededup, mixing, pii, simhash, suffixdedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_ann": ann.op7_ann,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 
 SQL = {"op8_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
