@@ -1,13 +1,463 @@
-"""Every registered query of the engine with its SQL twin."""
+"""Every registered query of the engine with its SQL twin, over whole tables.
+
+The tables stand in for the engine's own inputs: events for an activity log (user as session, type as rule or event,
+props as metadata), documents for file contents, pages for paths and URLs, conversations for transcripts, labels for
+per-id settings, benchmark for a baseline and a constants file.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..functions import variants as V
+from ..functions.globs import any_matches
+from ..operators import baseline as B
+from ..operators import builtin_rules as R
+from ..operators import decide as D
+from ..operators import state as S
+from ..operators import stats as T
+from ..operators import text_checks as X
+from ..operators.lint import lint_documents
+from ..operators.rules import RegexRule, evaluate, regex_rule
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log(spark, sf_dir: str) -> DataFrame:
+    """events as log rows: ord, session, rule_id, day, file."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("rule_id"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.get_json_object("props", "$.k").alias("file"), "value", "props")
+
 
+# --- statistics of the activity log
+
+
+@query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")
 def stats_by_event(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return T.counted(log(spark, sf_dir).withColumnRenamed("rule_id", "event"), "event").select("event", "n")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def stats_daily(spark, sf_dir):
+    return log(spark, sf_dir).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day FROM events")
+def stats_date_range(spark, sf_dir):
+    return log(spark, sf_dir).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, repeat('█', least(count(*) // 50, 60)::INT) AS bar FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
+def stats_daily_bars(spark, sf_dir):
+    return T.daily_bars(stats_daily(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total_events, count(*) FILTER (user_id::VARCHAR LIKE '1%') AS fixture_filtered, count(DISTINCT user_id) FILTER (user_id::VARCHAR NOT LIKE '1%') AS sessions FROM events")
+def stats_totals(spark, sf_dir):
+    made = log(spark, sf_dir).withColumn("session", F.when(F.col("session").startswith("1"), F.concat(F.lit("test-"), "session")).otherwise(F.col("session")))
+    fixture = T.is_fixture(F.col("session"))
+    return made.agg(F.count(F.lit(1)).alias("total_events"), F.count_if(fixture).alias("fixture_filtered"), F.count_distinct(F.when(~fixture, F.col("session"))).alias("sessions"))
+
+
+ENTRY_SQL = """WITH f AS (SELECT CASE event_type WHEN 'error' THEN 'deny' WHEN 'purchase' THEN 'ask' END AS decision FROM events)
+SELECT coalesce(decision, 'allow') AS decision, count(*) AS n FROM f GROUP BY 1"""
+
+
+def entries(spark, sf_dir):
+    """The log as JSON lines, read back as entries."""
+    e = log(spark, sf_dir)
+    decision = F.when(F.col("rule_id") == "error", "deny").when(F.col("rule_id") == "purchase", "ask")
+    found = F.array(F.struct("rule_id", decision.alias("decision"), F.lit("LOW").alias("severity"), F.struct(F.concat(F.lit("f"), "file").alias("path")).alias("metadata")))
+    line = F.to_json(F.struct(F.col("session").alias("session_id"), F.col("rule_id").alias("event_name"), F.col("ts").cast("string").alias("timestamp"), found.alias("findings")))
+    return T.entries_of(e.select("ord", line.alias("value")))
+
+
+@query(ENTRY_SQL)
+def stats_decisions(spark, sf_dir):
+    return T.decisions(entries(spark, sf_dir)).select("decision", "n")
+
+
+@query("SELECT 'f' || json_extract_string(props, '$.k') AS file, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 15")
+def stats_top_files(spark, sf_dir):
+    return T.denied_files(entries(spark, sf_dir)).select("file", "n")
+
+
+@query("SELECT event_type AS rule_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC LIMIT 20")
+def stats_top_rules(spark, sf_dir):
+    return T.counted(T.denied(entries(spark, sf_dir)), "rule_id", k=20).select("rule_id", "n")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS file, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 10")
+def stats_top_tools(spark, sf_dir):
+    return T.counted(log(spark, sf_dir), "file", k=10).select("file", "n")
+
+
+@query("SELECT 'LOW' AS severity, count(*) AS n FROM events")
+def stats_severity(spark, sf_dir):
+    return T.counted(T.exploded(entries(spark, sf_dir)), "severity").select("severity", "n")
+
+
+@query("SELECT event_type AS rule_id, event_id AS ord, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 3")
+def stats_examples(spark, sf_dir):
+    return T.first_examples(log(spark, sf_dir), "rule_id", "ord").select("rule_id", "ord", "value")
+
+
+@query("""WITH p AS (SELECT user_id::VARCHAR AS session, event_type AS rule_id, count(*) AS n FROM events GROUP BY ALL),
+s AS (SELECT user_id::VARCHAR AS session, min(event_id) AS seen FROM events GROUP BY 1)
+SELECT rule_id || ' (session ' || left(p.session, 1) || '...)' AS label, arg_max(n, seen) AS n FROM p JOIN s USING (session) WHERE n >= 2 GROUP BY 1""")
+def stats_retry(spark, sf_dir):
+    return T.retry_patterns(log(spark, sf_dir), k=None, prefix=1)
+
+
+@query("SELECT event_type AS rule_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
+def stats_cutoff(spark, sf_dir):
+    e = log(spark, sf_dir)
+    last = e.agg(F.max("ts").alias("last"))
+    return e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS rule_id, count(*) AS n FROM events WHERE user_id::VARCHAR NOT LIKE '1%' GROUP BY 1")
+def stats_fixture_filter(spark, sf_dir):
+    return log(spark, sf_dir).where(~F.col("session").startswith("1")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- payload projections
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, 'unknown' AS missing FROM events WHERE json_type(props, '$.k') IN ('BIGINT', 'UBIGINT')")
+def payload_json(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("v", V.parse(F.col("props")))
+    return e.where(V.kind(V.member(F.col("v"), "k")) == "BIGINT").select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), V.python_str(F.col("v"), "absent", "unknown").alias("missing"))
+
+
+DISTINCT = "list_filter(l, lambda x, i: list_position(l, x) = i)"
+
+
+@query(f"WITH p AS (SELECT doc_id, regexp_extract_all(text, '{P.SHELL_PATH}', 0) AS l FROM documents) SELECT doc_id, array_to_string({DISTINCT}, ',') AS paths, len({DISTINCT}) AS n FROM p WHERE len(l) > 0")
+def path_extract(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", P.shell_paths(F.col("text")).alias("p")).where(F.size("p") > 0)
+    return d.select("doc_id", F.array_join("p", ",").alias("paths"), F.size("p").cast("long").alias("n"))
+
+
+GLOBS = ["*.example.com/*", "**/en/*", "http://m.*", "[!h]*/x/"]
+
+
+@query(r"SELECT page_id, regexp_matches(lower(url), '(?s)^.*\.example\.com/.*\z') OR regexp_matches(lower(url), '(?s)^.*.*/en/.*\z') OR regexp_matches(lower(url), '(?s)^http://m\..*\z') AS hit FROM pages")
+def glob_match(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", any_matches(F.col("url"), GLOBS).alias("hit"))
+
+
+SUFFIXES = {"en": "py", "fr": "tsx", "de": "rs", "es": "md"}
+
+
+@query("SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'js_ts' WHEN 'de' THEN 'rust' END AS language, count(*) AS n FROM documents GROUP BY 1")
+def lang_detect(spark, sf_dir):
+    name = F.concat("source", F.lit("/d.x/"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv)), F.col("lang")))
+    return read(spark, sf_dir, "documents").select(P.language(name).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '\.git$', ''), '/+$', '') AS u FROM pages)
+SELECT page_id, lower(regexp_extract(u, '(?i)^[a-z]+://([^/]+)/(.+)$', 1)) || '/' || regexp_replace(regexp_extract(u, '(?i)^[a-z]+://([^/]+)/(.+)$', 2), '^/+|/+$', '', 'g') AS repo FROM c WHERE regexp_matches(u, '(?i)^[a-z]+://([^/]+)/(.+)$')
+UNION ALL SELECT page_id, lower(u) FROM c WHERE NOT regexp_matches(u, '(?i)^[a-z]+://([^/]+)/(.+)$')""")
+def url_normalise(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", P.clone_url(F.col("url")).alias("repo"))
+
+
+@query(r"WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS t FROM documents) SELECT doc_id, len(string_split(t, chr(10))) - CASE WHEN t = '' OR ends_with(t, chr(10)) THEN 1 ELSE 0 END AS n FROM t")
+def split_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(P.splitlines(F.col("text"))).cast("long").alias("n"))
+
+
+# --- rules and decisions
+
+RULES = [
+    RegexRule("WORD-001", ["PreToolUse"], "content", [r"\bidiot\b", r"\bmoron\b"], message="{rule_id}: {path}", case_sensitive=False, path_globs=["*.py", "*.tsx"]),
+    RegexRule("MARK-001", ["PreToolUse"], "content", [r"\*{3}$"], action="block", severity="CRITICAL", message="marks in {matched_paths}", exclude_path_globs=["src0/*"]),
+    RegexRule("PATH-001", ["PreToolUse"], "path", [r"^src1\d/"], action="ask", severity="LOW"),
+]
+DOC_PATH = "source || '/' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.tsx' WHEN 'de' THEN '.rs' ELSE '.md' END"
+RULE_SQL = f"""WITH d AS (SELECT doc_id, text, {DOC_PATH} AS path FROM documents), f AS (
+SELECT doc_id, 1 AS ord, 'WORD-001' AS rule_id, 'deny' AS decision, 30 AS severity, 'WORD-001: ' || path AS message FROM d WHERE regexp_matches(path, '\\.(py|tsx)$') AND regexp_matches(text, '(?i)\\b(idiot|moron)\\b')
+UNION ALL SELECT doc_id, 2, 'MARK-001', 'block', 40, 'marks in ' || path FROM d WHERE path NOT LIKE 'src0/%' AND regexp_matches(text, '(?m)\\*{{3}}$')
+UNION ALL SELECT doc_id, 3, 'PATH-001', 'ask', 10, 'PATH-001' FROM d WHERE regexp_matches(path, '^src1\\d/'))
+"""
+
+
+def ruled(spark, sf_dir):
+    """documents as write events with their findings."""
+    end = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".tsx").when(F.col("lang") == "de", ".rs").otherwise(".md")
+    d = read(spark, sf_dir, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end))
+    target = F.struct("path", F.col("text").alias("content"), F.lit("tool_input").alias("source"))
+    e = d.select("doc_id", F.lit("claude").alias("platform"), F.lit("PreToolUse").alias("event"), F.lit("Write").alias("tool"), F.array(target).alias("targets"), F.array("path").alias("paths"), F.lit("").alias("command"), F.lit("").alias("prompt"), F.lit("repo_strict").alias("mode"), F.lit(False).alias("skipped"))
+    return evaluate(e, [regex_rule(r) for r in RULES])
+
+
+@query(RULE_SQL + "SELECT doc_id, rule_id, message FROM f")
+def rule_content(spark, sf_dir):
+    return ruled(spark, sf_dir).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.message")
+
+
+@query(RULE_SQL + """, t AS (SELECT doc_id, arg_min(decision, (-(CASE decision WHEN 'ask' THEN 3 ELSE 4 END), -severity, ord)) AS decision FROM f GROUP BY 1)
+SELECT t.doc_id, t.decision, string_agg('[' || rule_id || ' | ' || CASE severity WHEN 30 THEN 'HIGH' WHEN 40 THEN 'CRITICAL' ELSE 'LOW' END || '] ' || message, chr(10) ORDER BY ord) AS reason FROM t JOIN f ON f.doc_id = t.doc_id AND f.decision = t.decision GROUP BY ALL""")
+def top_decision(spark, sf_dir):
+    return D.decide(ruled(spark, sf_dir).where(F.size("findings") > 0)).select("doc_id", "decision", "reason")
+
+
+@query(RULE_SQL + """, t AS (SELECT doc_id, arg_min(decision, (-(CASE decision WHEN 'ask' THEN 3 ELSE 4 END), -severity, ord)) AS decision FROM f GROUP BY 1)
+SELECT CASE decision WHEN 'block' THEN 'deny' ELSE decision END AS permission, count(*) AS n FROM t GROUP BY 1""")
+def render_permission(spark, sf_dir):
+    out = D.render(D.decide(ruled(spark, sf_dir))).where("output IS NOT NULL")
+    return out.select(F.get_json_object("output", "$.hookSpecificOutput.permissionDecision").alias("permission")).groupBy("permission").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 10 WHEN l.quality = 1 THEN 30 WHEN l.quality = 0 THEN 40 ELSE 20 END AS severity, CASE WHEN l.toxic = 1 THEN NULL ELSE 'deny' END AS decision
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def severity_override(spark, sf_dir):
+    own = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "warn").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "critical").alias("override"))
+    d = read(spark, sf_dir, "documents").join(own, "doc_id", "left")
+    warn = F.coalesce(F.col("override") == "warn", F.lit(False))
+    return d.select("doc_id", F.when(warn, 10).otherwise(D.severity_number(F.coalesce("override", F.lit("?")))).alias("severity"), F.when(~warn, "deny").alias("decision"))
+
+
+@query("""WITH r AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, chr(10) || chr(10) ORDER BY t) AS context FROM r GROUP BY 1""")
+def context_merge(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.array_distinct(F.transform("t", lambda x: x.role)), "\n\n").alias("context"))
+
+
+@query("SELECT CASE WHEN quality = 0 THEN 'outside_repo' WHEN toxic = 1 THEN 'repo_relaxed' ELSE 'repo_strict' END AS mode, count(*) AS n FROM labels GROUP BY 1")
+def enforcement_mode(spark, sf_dir):
+    return read(spark, sf_dir, "labels").groupBy(D.enforcement_mode(F.col("quality") == 1, F.col("toxic") == 1).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- built-in rules
+
+
+@query("SELECT page_id, regexp_matches(lower(url), 'example\\.com|/en/') AND NOT (lower(url) LIKE '%.test' OR lower(url) LIKE '%.bak') AS hit FROM pages")
+def sensitive_path(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", R.sensitive_path(F.col("url"), ["example.com", "/(en)/"]).alias("hit"))
+
+
+@query("SELECT page_id, lower(url) LIKE 'https://%' AS hit FROM pages")
+def system_prefix(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", R.system_path(F.col("url"), ["HTTPS://"]).alias("hit"))
+
+
+@query("SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) > 5000")
+def large_content(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.length("text") > 5000).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+NOISE = {"en": "Traceback (most recent call last)\nKeyError: x", "fr": "3 failed, 2 passed\n4 passed in 0.1s", "de": "Build FAILED\nerror[E1]\nSuccessfully built"}
+NOISE_SQL = "CASE lang WHEN 'en' THEN 'Traceback (most recent call last)' || chr(10) || 'KeyError: x' WHEN 'fr' THEN '3 failed, 2 passed' || chr(10) || '4 passed in 0.1s' WHEN 'de' THEN 'Build FAILED' || chr(10) || 'error[E1]' || chr(10) || 'Successfully built' ELSE '' END"
+
+
+def _sql_pattern(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query(
+    f"WITH o AS (SELECT doc_id, text || chr(10) || {NOISE_SQL} AS o FROM documents), c AS (SELECT doc_id, o, "
+    + " + ".join(f"regexp_matches(o, '{_sql_pattern(p)}')::INT" for p in R.ERROR_SIGNALS)
+    + " AS n, "
+    + " OR ".join(f"regexp_matches(o, '{_sql_pattern(p)}')" for p in R.SUCCESS_SIGNALS)
+    + " AS good FROM o) SELECT doc_id, n, length(trim(o)) >= 10 AND n > 0 AND NOT (good AND n <= 1) AS bad FROM c"
+)
+def error_signals(spark, sf_dir):
+    noise = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in NOISE.items() for x in kv)), F.col("lang")), F.lit(""))
+    o = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), noise).alias("o"))
+    return o.select("doc_id", R.signal_count(F.col("o")).alias("n"), R.error_signals(F.col("o")).alias("bad"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def last_assistant(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+
+@query("SELECT conv_id, CASE WHEN bool_or(contains(lower(text), 'was already')) THEN 'was already' END AS phrase FROM (SELECT conv_id, text || CASE role WHEN 'system' THEN ' It WAS already so' ELSE '' END AS text FROM conversations) GROUP BY 1")
+def preexisting(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").select("conv_id", F.concat("text", F.when(F.col("role") == "system", " It WAS already so").otherwise("")).alias("text"))
+    return said.groupBy("conv_id").agg(F.min(R.dismissal(F.col("text"))).alias("phrase"))
+
+
+@query("SELECT regexp_extract(url, '//([^/?#]+)', 1) AS host, count(DISTINCT regexp_extract(url, '//[^/]+/([^/?#]*)', 1)) AS langs FROM pages GROUP BY 1 HAVING langs > 2")
+def import_fanout(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "//[^/]+/([^/?#]*)", 1).alias("lang"))
+    return p.groupBy("host").agg(F.count_distinct("lang").alias("langs")).where("langs > 2")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n)::BIGINT AS total, arg_min(event_type, (-n, event_type)) AS event_type, max(n) AS n FROM p GROUP BY 1)
+SELECT user_id, event_type, n, total FROM t WHERE total >= 6 AND n / total > 0.3""")
+def feature_envy(spark, sf_dir):
+    return X.share_of_top(read(spark, sf_dir, "events"), "user_id", "event_type", 6, 0.3)
+
+
+@query("SELECT regexp_extract(url, '//[^/]*?\\.?([^./]+\\.[^./]+)/', 1) AS dir, regexp_extract(url, '//([a-z]{2})', 1) AS prefix, count(*) AS n FROM pages GROUP BY ALL HAVING n >= 3")
+def flat_siblings(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"//[^/]*?\.?([^./]+\.[^./]+)/", 1).alias("dir"), F.regexp_extract("url", "//([a-z]{2})", 1).alias("prefix"))
+    return p.groupBy("dir", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+# --- lines and repeats
+
+LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), l2 AS (SELECT l.* FROM l JOIN documents d USING (doc_id) WHERE NOT (line = '' AND line_no = len(string_split(d.text, chr(10)))))"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, length(line) AS length FROM l2 WHERE length(line) > 400 AND NOT starts_with(ltrim(line), '#') AND NOT regexp_matches(line, 'https?://')")
+def long_lines(spark, sf_dir):
+    return X.long_lines(X.lines(read(spark, sf_dir, "documents"), "doc_id"), 400).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("length").cast("long").alias("length"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, arg_min(line_no, (-length(line), line_no)) AS line_no, max(length(line)) AS length FROM l2 GROUP BY 1")
+def worst_line(spark, sf_dir):
+    return X.worst_line(X.lines(read(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+@query(f"WITH {LINES} SELECT CASE WHEN n > 30 THEN 'hard' WHEN n > 10 THEN 'soft' ELSE 'fine' END AS band, count(*) AS docs FROM (SELECT doc_id, count(*) AS n FROM l2 GROUP BY 1) GROUP BY 1")
+def oversized(spark, sf_dir):
+    n = read(spark, sf_dir, "documents").select(F.size(P.splitlines(F.col("text"))).alias("n")).where("n > 0")
+    return n.groupBy(F.when(F.col("n") > 30, "hard").when(F.col("n") > 10, "soft").otherwise("fine").alias("band")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT w AS literal, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}', 0)) AS w FROM documents) WHERE w NOT IN ('status', 'strings') GROUP BY 1 HAVING n > 10")
+def repeated_literals(spark, sf_dir):
+    return X.repeated_literals(read(spark, sf_dir, "documents"), "doc_id", "[A-Za-z]{6,}", 10, ["status", "strings"])
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, line_no, regexp_replace(trim(line), '\\s+', ' ', 'g') AS s FROM l2), k AS (SELECT * FROM s WHERE s <> ''),
+b AS (SELECT doc_id, line_no, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS block FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT left(sha256(block), 16) AS hash, count(*) AS n, min((doc_id, line_no))[1] AS first_key, min((doc_id, line_no))[2] AS first_line FROM b WHERE block IS NOT NULL GROUP BY 1 HAVING n >= 2""")
+def repeated_blocks(spark, sf_dir):
+    return X.repeated_blocks(X.lines(read(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+CLONE_SQL = r"WITH h AS (SELECT doc_id, left(sha256(regexp_replace(regexp_replace(lower(text), '[0-9]+', 'N', 'g'), '[ \t\n]+', ' ', 'g')), 16) AS hash FROM documents), g AS (SELECT hash, count(*) AS n, list(doc_id ORDER BY doc_id) AS ids FROM h GROUP BY 1 HAVING n >= 2)"
+
+
+@query(CLONE_SQL + " SELECT doc_id, h.hash, n, array_to_string(list_filter(ids, lambda x: x <> doc_id)[1:3], ',') AS others FROM h JOIN g USING (hash)")
+def semantic_clone(spark, sf_dir):
+    squeezed = F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]+", "N"), "[ \t\n]+", " ")
+    h = read(spark, sf_dir, "documents").select("doc_id", F.left(F.sha2(squeezed, 256), F.lit(16)).alias("hash"))
+    return X.groups_of(h, "hash", "doc_id").select("doc_id", "hash", "n", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
+
+
+@query("WITH s AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS seq, count(*) AS k FROM conversations GROUP BY 1) SELECT seq, count(*) AS n, min(conv_id) AS first_conv FROM s WHERE k >= 3 GROUP BY 1 HAVING n >= 2")
+def call_sequence(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    seq = turns.where(F.size("t") >= 3).select("conv_id", F.transform("t", lambda x: x.role).alias("s"))
+    return seq.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv")).where("n >= 2").select(F.array_join("s", ">").alias("seq"), "n", "first_conv")
+
+
+@query("""WITH r AS (SELECT user_id, event_type = 'view' AS hit, row_number() OVER w - sum((event_type = 'view')::INT) OVER w AS island FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, max(n) AS run FROM (SELECT user_id, island, count(*) AS n FROM r WHERE hit GROUP BY ALL) GROUP BY 1""")
+def assert_runs(spark, sf_dir):
+    return X.longest_runs(read(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "view")
+
+
+@query(f"WITH {LINES}, q AS (SELECT doc_id, coalesce(sum((length(line) - length(replace(line, '###', ''))) // 3) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AS outside FROM l2) SELECT doc_id, count(*) AS lines, count(*) FILTER (outside) AS outside FROM q GROUP BY 1")
+def docstring_parity(spark, sf_dir):
+    rows = X.outside_quotes(X.lines(read(spark, sf_dir, "documents"), "doc_id"), "doc_id", "###")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("outside").alias("outside"))
+
+
+# --- baseline
+
+BASE_SQL = """WITH cur AS (SELECT lang AS rule, concat_ws('|', lang, source, left(sha256(text), 8)) AS stable_id FROM documents),
+base AS (SELECT lang AS rule, concat_ws('|', lang, source, left(sha256(text), 8)) AS stable_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+UNION ALL SELECT 'en', concat_ws('|', 'en', 'benchmark', left(sha256(text), 8)) FROM benchmark)
+"""
+
+
+def violations(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    row = lambda rule, path: (rule.alias("rule"), B.stable_id(rule, path, B.short_hash(F.col("text")), F.lit("")).alias("stable_id"))
+    good = docs.join(read(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
+    base = good.select(*row(F.col("lang"), F.col("source"))).unionByName(read(spark, sf_dir, "benchmark").select(*row(F.lit("en"), F.lit("benchmark"))))
+    return docs.select(*row(F.col("lang"), F.col("source"))), base
+
+
+@query(BASE_SQL + "SELECT * FROM cur WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rule = cur.rule AND base.stable_id = cur.stable_id)")
+def baseline_new(spark, sf_dir):
+    return B.new_violations(*violations(spark, sf_dir))
+
+
+@query(BASE_SQL + "SELECT DISTINCT * FROM base WHERE NOT EXISTS (SELECT 1 FROM cur WHERE base.rule = cur.rule AND base.stable_id = cur.stable_id)")
+def baseline_fixed(spark, sf_dir):
+    return B.fixed_ids(*violations(spark, sf_dir))
+
+
+@query(BASE_SQL + """, c AS (SELECT rule, count(*) AS current_count FROM cur GROUP BY 1), b AS (SELECT rule, count(DISTINCT stable_id) AS baseline_count FROM base GROUP BY 1),
+n AS (SELECT rule, count(*) AS new_count FROM cur WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rule = cur.rule AND base.stable_id = cur.stable_id) GROUP BY 1),
+x AS (SELECT rule, count(DISTINCT stable_id) AS fixed_count FROM base WHERE NOT EXISTS (SELECT 1 FROM cur WHERE base.rule = cur.rule AND base.stable_id = cur.stable_id) GROUP BY 1)
+SELECT rule, current_count, coalesce(baseline_count, 0) AS baseline_count, coalesce(new_count, 0) AS new_count, coalesce(fixed_count, 0) AS fixed_count, coalesce(new_count, 0) <= 0 AS passed FROM c LEFT JOIN b USING (rule) LEFT JOIN n USING (rule) LEFT JOIN x USING (rule)""")
+def baseline_tally(spark, sf_dir):
+    return B.tally(*violations(spark, sf_dir))
+
+
+@query(BASE_SQL + ", c AS (SELECT rule, count(*) AS new_count FROM cur GROUP BY 1), b AS (SELECT rule, count(*) AS old_count FROM base GROUP BY 1) SELECT rule, coalesce(old_count, 0) AS old_count, new_count FROM c LEFT JOIN b USING (rule) WHERE new_count > coalesce(old_count, 0)")
+def baseline_increase(spark, sf_dir):
+    return B.increases(*violations(spark, sf_dir))
+
+
+# --- state
+
+
+@query("""WITH r AS (SELECT event_id, user_id, json_extract_string(props, '$.k') AS path, epoch(ts)::BIGINT AS at, event_type = 'view' AS f, floor(epoch(ts))::BIGINT AS s FROM events)
+SELECT event_id, coalesce(max(f::INT) OVER (PARTITION BY user_id, path ORDER BY s RANGE BETWEEN 360000 PRECEDING AND 1 PRECEDING), 0) = 1 OR coalesce(max(f::INT) OVER (PARTITION BY user_id, path, s ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS known FROM r""")
+def full_read_ttl(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("session"), F.get_json_object("props", "$.k").alias("path"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "view").alias("full"))
+    return S.known_full_reads(e, ttl=360000).select(F.col("ord").alias("event_id"), "known")
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1")
+def reminder_once(spark, sf_dir):
+    return S.first_of(read(spark, sf_dir, "events").where("event_type = 'click'"), ["user_id"], "event_id").select("user_id", "event_id")
+
+
+@query("""WITH w AS (SELECT event_id, user_id, event_type = 'purchase' AS r, event_type, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events WHERE event_type IN ('purchase', 'error'))
+SELECT event_id, n, n >= 3 AS escalates FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS n FROM w WHERE NOT r)""")
+def repeat_counter(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')").withColumn("fixed", F.col("event_type") == "purchase")
+    return S.repeat_counts(e, ["user_id"], "event_id", "fixed").select("event_id", F.col("n").cast("long").alias("n"), "escalates")
+
+
+# --- enrichment
+
+
+@query(r"""WITH k AS (SELECT regexp_extract(text, '^\w+', 0) AS value, min(item_id) AS item_id FROM benchmark GROUP BY 1) SELECT doc_id, item_id AS line, CASE WHEN k.value = '' THEN 'EXTRACTED_STRING' ELSE upper(k.value) END AS name FROM documents d LEFT JOIN k ON regexp_extract(d.text, '^\w+', 0) = k.value""")
+def constant_lookup(spark, sf_dir):
+    first = F.regexp_extract("text", r"^\w+", 0)
+    index = read(spark, sf_dir, "benchmark").select(first.alias("value"), "item_id").groupBy("value").agg(F.min("item_id").alias("line"))
+    d = read(spark, sf_dir, "documents").select("doc_id", first.alias("value")).join(index, "value", "left")
+    return d.select("doc_id", "line", F.when(F.col("line").isNotNull(), P.constant_name(F.col("value"))).alias("name"))
+
+
+@query(r"""WITH w AS (SELECT page_id, upper(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS w FROM pages)
+SELECT page_id, CASE WHEN w = '' THEN 'EXTRACTED_STRING' WHEN regexp_matches(w, '^[0-9]') THEN left('STR_' || w, 48) ELSE left(w, 48) END AS name FROM w""")
+def suggest_name(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", P.constant_name(F.col("url")).alias("name"))
+
+
+# --- syntax-tree facts: no SQL can make them; the tests compare them with hand-written rows
 
 
-QUERIES = {"stats_by_event": stats_by_event}
-SQL = {"stats_by_event": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
+@query()
+def ast_facts(spark, sf_dir):
+    return lint_documents(read(spark, sf_dir, "documents"))
