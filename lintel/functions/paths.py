@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LANGUAGES = {".py": "python", ".pyi": "python", ".js": "js_ts", ".jsx": "js_ts", ".ts": "js_ts", ".tsx": "js_ts", ".mjs": "js_ts", ".cjs": "js_ts", ".rs": "rust"}
 SHELL_PATH = r"([~./A-Za-z0-9_-]+/)*[A-Za-z0-9_.-]+\.[A-Za-z0-9]+"
 #: What ends a line, besides CR LF.
-LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def normalize_path(c: Column) -> Column:
@@ -31,7 +31,7 @@ def dirname(c: Column) -> Column:
 
 def suffix(c: Column) -> Column:
     """The last dot and what follows, lower case; none for names that start with their only dot or end with one."""
-    return F.lower(F.regexp_extract(basename(c), r"[^.].*?(\.[^.]+)\z", 1))
+    return F.lower(F.regexp_extract(basename(c), r"(?s).(\.[^.]+)\z", 1))
 
 
 def language(c: Column) -> Column:

@@ -153,7 +153,7 @@ def repeated_literals(f: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 def constants(f: DataFrame) -> DataFrame:
     """(text, constant, defined_in, defined_at): the first definition by path, line and name, in files of constants."""
-    home = basename(F.col("path")).rlike(r"^(constants|consts|settings|config|defaults|_constants)\.py$")
+    home = basename(F.col("path")).rlike(r"^(?:(?:constants|settings|config|defaults)|.*_constants)\.py$") | F.col("path").rlike(r"(?:^|/)config/[^/]+\.py$")
     first = F.min(F.struct("path", "line", "name"))
     return f.where((F.col("kind") == "constant") & home).groupBy("text").agg(first.alias("d")).select("text", F.col("d.name").alias("constant"), F.col("d.path").alias("defined_in"), F.col("d.line").alias("defined_at"))
 
@@ -188,6 +188,20 @@ def runtime_findings(f: DataFrame, limits: Limits | None = None) -> DataFrame:
     )
 
 
+def draft_findings(f: DataFrame) -> DataFrame:
+    """(rule_id, path, name, value): file-local rules that no rule set switches on by itself. The ids of tests also stand
+    for pattern rules of other meaning, so both must not be used together."""
+    row = lambda rule, df: df.select(F.lit(rule).alias("rule_id"), "path", "name", F.col("value").cast("long").alias("value"))
+    local = lambda kind: f.where(F.col("kind") == kind).groupBy("path", "text").agg(F.count(F.lit(1)).alias("value"), F.min_by("name", "line").alias("name")).where("value >= 2")
+    numbers = f.where((F.col("kind") == "number") & ~F.col("text").isin("0", "1", "-1", "2")).groupBy("path", "text").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line")).where("n > 3")
+    most = numbers.groupBy("path").agg(F.min_by(F.struct("text", "n"), F.struct(-F.col("n"), "line")).alias("w")).select("path", F.col("w.text").alias("name"), F.col("w.n").alias("value"))
+    return (
+        row("PY-DUP-001", local("block")).unionByName(row("PY-DUP-002", local("calls").where(F.size(F.split("text", "\x1f")) >= 3))).unionByName(row("PY-DUP-003", local("clone"))).unionByName(row("PY-DUP-004", most))
+        .unionByName(row("PY-TEST-001", f.where("kind = 'test_calls' AND value > 5"))).unionByName(row("PY-TEST-002", f.where("kind = 'bare_asserts' AND value > 3")))
+        .unionByName(row("PY-TEST-003", f.where("kind = 'fixture' AND NOT endswith(path, 'conftest.py')"))).unionByName(row("PY-TEST-004", f.where("kind = 'conditional'").withColumn("value", F.col("line"))))
+    )
+
+
 def flat_siblings(paths: DataFrame, least: int = 3) -> DataFrame:
     """(dir, prefix, n): directories with `least` or more files named _prefix_rest.py."""
     p = paths.select(dirname(F.col("path")).alias("dir"), F.regexp_extract(basename(F.col("path")), r"^_([a-z]+)_[a-z_]+\.py$", 1).alias("prefix")).where("prefix <> ''")
