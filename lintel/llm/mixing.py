@@ -3,7 +3,9 @@
 Every source gets a mean repetition rate (target share x output size / its documents). A document's count is the
 inverse Poisson distribution at uniforms hashed from (seed, doc_id, part): a rate above 16 is cut into equal parts
 whose counts add up, so any rate works. Each document is exploded by its count and the copies are dealt to
-partitions and sorted there by a hash of (seed, doc_id, copy), which is a global shuffle that a rerun repeats.
+partitions and sorted there by a hash of (seed, doc_id, copy), which is a global shuffle that a rerun repeats. The
+rates of up to `SOURCES` sources go to every worker, so that the documents are shuffled once; those of more are
+joined by shuffle, where skewed sources are split at run time.
 
 A null source is a source of its own. Rows that repeat a doc_id get equal counts. Documents with null ids share one
 uniform. The input's columns come back as they were; ours end in names given by `prefix`, so they do not clash.
@@ -14,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, table, written
 
-PART, TERMS = 16.0, 81  # P(count > 80 | mean 16) < 2^-52, the grain of a uniform
+PART, TERMS, SOURCES = 16.0, 81, 10_000  # P(count > 80 | mean 16) < 2^-52, the grain of a uniform
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, source_col: str = "source") -> DataFrame:
@@ -46,6 +48,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size:
     """docs' columns plus {prefix}copy (from 1), {prefix}copies, {prefix}rate, {prefix}key; in shuffled order."""
     c = lambda x: f"{prefix}{x}"
     rates = source_rates(docs, weights, size, source_col).select(*(F.col(x).alias(c(x)) for x in ("src", "rate", "parts", "cdf")))
+    rates = written(rates, "rates")
+    if rates.count() <= SOURCES:  # a checked size: about 700 bytes a source
+        rates = F.broadcast(rates)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     draw = lambda i: F.size(F.filter(F.col(c("cdf")), lambda x: x <= uniform(F.lit(str(seed)), ident, i.cast("string"))))
     count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(c("parts"))), draw), F.lit(0), lambda a, x: a + x)
