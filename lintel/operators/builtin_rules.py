@@ -6,6 +6,7 @@ a rule needs them: full_read_known, file_bytes, exit_codes, git_context, prompt_
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -34,6 +35,7 @@ ERROR_SIGNALS = [
     r"(?i)Found\s+\d+\s+error", r"(?i)error\[E\d+\]", "✗|✘",
 ]
 SUCCESS_SIGNALS = [r"(?m)^\s*\d+\s+passed(?:\s+in\s+[\d.]+s)?\s*$", "(?i)DEPRECATION:|DeprecationWarning|PendingDeprecationWarning", r"(?i)\d+\s+warnings?\s+found\s+\(use\s+docker", r"(?i)Successfully\s+(built|installed|tagged|created)"]
+BASELINE_COMMANDS = ["quality-gate baseline", "lint baseline"]
 LARGE_CHARS, LARGE_FILE_BYTES = 50_000, 40_000
 PRE = ("PreToolUse", "PermissionRequest")
 
@@ -133,9 +135,8 @@ def sensitive_command(command: Column, patterns: list[str]) -> Column:
     safe = "|".join(quoted(s) for s in SAFE_SUFFIXES)
     bare = "|".join(quoted(s[1:]) for s in SAFE_SUFFIXES)
     for p in sensitive_regex(patterns):
-        hits = F.regexp_extract_all(low, F.lit(f"({p})(?=([^ \\t\\n;|&><]*))"), F.lit(0))
-        tails = F.regexp_extract_all(low, F.lit(f"(?:{p})(?=([^ \\t\\n;|&><]*))"), F.lit(1)) if "(" not in p[6:] else None
-        out = out | (F.exists(tails, lambda t: ~t.rlike(rf"^(?:{safe})|^(?:{bare})\z")) if tails is not None else F.size(hits) > 0)
+        tail = re.compile(p).groups + 1
+        out = out | F.exists(F.regexp_extract_all(low, F.lit(f"{p}(?=([^ \\t\\n;|&><]*))"), F.lit(tail)), lambda t: ~t.rlike(rf"^(?:{safe})|^(?:{bare})\z"))
     return out
 
 
@@ -273,7 +274,8 @@ def _baseline() -> Column:
     ids = lambda text: F.from_json(text, "struct<rules:map<string,array<string>>>")["rules"]
     more = lambda new, old: F.map_filter(new, lambda k, v: F.size(v) > F.coalesce(F.size(F.try_element_at(old, k)), F.lit(0)))
     raised = F.exists(mine, lambda t: F.coalesce(F.size(more(ids(t.content), F.coalesce(ids(F.col("old_baseline")), F.create_map().cast("map<string,array<string>>")))), F.lit(0)) > 0)
-    return F.when(raised, finding("BASELINE-001", "HIGH", "deny", "The baseline may shrink, not grow."))
+    regenerates = contains_any(F.lower("command"), BASELINE_COMMANDS)
+    return F.when(raised | regenerates, finding("BASELINE-001", "HIGH", "deny", F.when(raised, "The baseline may shrink, not grow.").otherwise("Baselines of a whole repository are not to be generated.")))
 
 
 def builtin_rules(policy: Policy) -> list[Rule]:

@@ -57,7 +57,7 @@ def finding(rule_id: str, severity: str, decision: str | None = None, message: C
 
 def java_regex(pattern: str, case_sensitive: bool, multiline: bool) -> str:
     flags = ("ms" if multiline else "") + ("" if case_sensitive else "iu")
-    return f"(?{flags})({pattern})" if flags else pattern
+    return f"(?{flags})(?:{pattern})" if flags else pattern
 
 
 def any_pattern(c: Column, rule: RegexRule) -> Column:
