@@ -47,6 +47,22 @@ def read(texts) -> Text:
     return Text(distinct, stream, per, row[order], np.concatenate(gh)[order])
 
 
+def read_all(texts, at_once: int = 200) -> Text:
+    """As read(), a few texts at a time: what it takes besides its result does not grow with their number."""
+    parts = [read(texts.slice(i, at_once)) for i in range(0, max(1, len(texts)), at_once)]
+    base = np.cumsum([0, *(len(t.distinct) for t in parts)])
+    distinct, first, to = np.unique(np.concatenate([t.distinct for t in parts]), return_index=True, return_inverse=True)
+    word, gram = [], []
+    for t, lo in zip(parts, base, strict=False):
+        own = to[lo + t.gram_word]
+        new = first[own] == lo + t.gram_word  # a word's n-grams come from the first part that has it
+        word.append(own[new].astype(np.int32))
+        gram.append(t.gram_hash[new])
+    row = np.concatenate(word)
+    order = np.argsort(row, kind="stable")
+    return Text(distinct, np.concatenate([to[lo + t.stream] for t, lo in zip(parts, base, strict=False)]), np.concatenate([t.per for t in parts]), row[order], np.concatenate(gram)[order])
+
+
 @dataclass
 class Model:
     vocab: np.ndarray  # sorted hashes of the words that have a vector of their own
@@ -183,7 +199,7 @@ def odds(hash_: np.ndarray, text: np.ndarray, label: np.ndarray) -> tuple[np.nda
 
 def fit(texts, label: np.ndarray, seed: int = 11, epochs: int = 6, batch: int = 64, most_words: int = 1 << 15, rate: float = 0.01) -> Model:
     """Trains on whole texts: each text's loss is that of its highest window, with the classes weighted equally."""
-    rng, label, t = np.random.default_rng(seed), label.astype(np.float64), read(texts)
+    rng, label, t = np.random.default_rng(seed), label.astype(np.float64), read_all(texts)
     text_of = np.repeat(np.arange(len(t.per)), t.per)
     keys, lo, df = odds(t.distinct[t.stream], text_of, label)
     top = np.sort(np.lexsort((keys, -df))[:most_words])

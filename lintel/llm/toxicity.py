@@ -27,7 +27,7 @@ def held_out(c: Column, fold: int = 5, at: int = 0) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % fold == at, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = 2000, fit_chars: int = 6000, seed: int = 11) -> gru.Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = 1200, fit_chars: int = 6000, seed: int = 11) -> gru.Model:
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("id")))
     own = own.withColumn("order", F.xxhash64("id", F.lit(seed)))
     have = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
