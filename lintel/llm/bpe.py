@@ -216,7 +216,7 @@ def build_lexicon(m: Merges, words_: list[str]) -> bytes:
     return compile_words({t: x.tolist() for t, x in zip(texts, cuts, strict=True)})
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 16, digests: bool = False, slice_bytes: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 16, digests: bool = False, slice_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, ids array<int>, text decoded from them), or with `digests` (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     vocabulary: path of a byte-level BPE file that every worker has; it is opened there, never shipped."""
