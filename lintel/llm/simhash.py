@@ -135,8 +135,24 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) whose components are those of the whole graph."""
+def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, reach: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket that differ in more than `most` and at most `far` bits: each member with the next `reach` in order."""
+    order = np.lexsort((fps, keys))
+    keys, fps = keys[order], fps[order]
+    left, right = [fps[:0]], [fps[:0]]
+    for d in range(1, min(reach, len(fps) - 1) + 1):
+        gap = np.bitwise_count(fps[d:] ^ fps[:-d])
+        at = np.flatnonzero((keys[d:] == keys[:-d]) & (gap > most) & (gap <= far))
+        left.append(fps[at])
+        right.append(fps[at + d])
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18, far: int = 0) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (a, b, sure) whose components are those of the whole graph.
+
+    With `far`, rows that are not sure are pairs of up to so many bits that shared a key; not all such pairs do."""
     spark = fps.sparkSession
     parts = partitions(spark)
 
@@ -151,8 +167,10 @@ def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
         if got:
-            a, b = bucket_links(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]).view(np.uint64), most)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            keys, own = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]).view(np.uint64)
+            for sure in (True, False) if far > most else (True,):
+                a, b = bucket_links(keys, own, most) if sure else farther(keys, own, most, far)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([sure] * len(a), pa.bool_())], names=["a", "b", "sure"])
 
     keyed = fps.select("fp").repartition(parts).mapInArrow(emit, "key long, fp long")
     if fps.count() > heavy:  # no bucket can have more members than there are fingerprints
@@ -163,22 +181,60 @@ def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
         each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.greatest(o, own) * F.col("blocks") + F.least(o, own)))
         keyed = keyed.select(F.explode(each).alias("block"), "key", "fp").select((F.col("block").cast("long") * F.lit(1 << 26) + F.col("key")).alias("key"), "fp")
-    return keyed.repartition(4 * parts, "key").mapInArrow(search, "a long, b long")
+    return keyed.repartition(4 * parts, "key").mapInArrow(search, "a long, b long, sure boolean")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, heavy: int = 1 << 18) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """pairs (a, b, ra, rb: ids of documents) whose sets of shingles have at least that Jaccard similarity -> (a, b)."""
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        for t in texts.fill_null("").to_pylist():
+            w = t.translate(LOWER).encode().split()  # the white space of the contract
+            out.append(np.unique([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))]))
+        return out
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                both = [np.intersect1d(x, y, assume_unique=True).size / max(1, np.union1d(x, y).size) for x, y in zip(sets(part.column("ta")), sets(part.column("tb")), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array([j >= similarity for j in both], pa.bool_()))
+
+    ids = pairs.select(F.col("ra").alias("id")).unionByName(pairs.select(F.col("rb").alias("id"))).distinct()
+    texts = written(docs.join(ids, "id").dropDuplicates(["id"]), "near-texts")
+    side = lambda t, k: texts.select(F.col("id").alias(k), F.col("text").alias(t))
+    return pairs.join(side("ta", "ra"), "ra").join(side("tb", "rb"), "rb").select("a", "b", "ta", "tb").repartition(partitions(docs.sparkSession)).mapInArrow(check, "a long, b long")
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, heavy: int = 1 << 18, far: int = 0, similarity: float = 0.8, words_: int = 5) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+
+    With `far`, pairs of more than `most` and up to `far` bits that met in a bucket link too if their sets of `words_`-word
+    shingles are that similar; the pigeonhole covers 5 bits, beyond which a share of such pairs does not meet."""
     own = written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes, most, heavy))
+    found = links(nodes, most, heavy, far)
+    if far > most:
+        found = written(found.distinct(), "links")
+        reps = lambda k, r: nodes.select(F.col("fp").alias(k), F.col("rep").alias(r))
+        maybe = written(found.where("NOT sure").join(reps("a", "ra"), "a").join(reps("b", "rb"), "b"), "maybe")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        found = found.where("sure").select("a", "b").unionByName(alike(texts, maybe, similarity, words_))
+    found = components(found)
     rooted = nodes.join(found, nodes.fp == found.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns."""
-    keep = simhash_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: int = 10) -> DataFrame:
+    """One document of each group, the one with the smallest id, with its own columns.
+
+    Groups are linked as in simhash_components(), and beyond its 4 bits where five-word shingles are at least 0.8 alike."""
+    keep = simhash_components(docs, id_col, text_col, far=far).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
 
 

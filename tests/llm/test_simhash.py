@@ -92,10 +92,57 @@ def test_components(spark):
     want = brute([f for _, f in rows], [i for i, _ in rows])
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op4_simhash(spark, "/root/testdata/sf0.001").collect())
     assert got == [(i, f"{f:016x}", c) for (i, f), c in zip(rows, want, strict=True)]
-    kept = simhash.near_dedup(docs)
+    kept = simhash.near_dedup(docs, far=0)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def shingles(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def linked(rows, link):
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(rows)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if link(rows[i], rows[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    docs = []
+    for i in range(30):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        docs.append(" ".join(w))
+        for changes in (1, 2, 12):
+            x = list(w)
+            for _ in range(changes):
+                x[rng.randrange(len(x))] = f"y{rng.randrange(10**6)}"
+            docs.append(" ".join(x))
+    rows = {i: (plain(t), shingles(t)) for i, t in enumerate(docs)}
+    jaccard = lambda a, b: len(a[1] & b[1]) / len(a[1] | b[1])
+    bits = lambda a, b: (a[0] ^ b[0]).bit_count()
+    least = linked(rows, lambda a, b: bits(a, b) <= 4 or bits(a, b) == 5 and jaccard(a, b) >= 0.8)
+    most = linked(rows, lambda a, b: bits(a, b) <= 4 or bits(a, b) <= 10 and jaccard(a, b) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(df, far=10).collect()}
+    for i in rows:
+        for j in rows:
+            assert least[i] != least[j] or got[i] == got[j]
+            assert got[i] != got[j] or most[i] == most[j]
+    caught = sum(got[4 * i] == got[4 * i + k] for i in range(30) for k in (1, 2))
+    assert caught >= 50, caught
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, "One", "x"), (None, "One", "x")], "doc_id long, text string, fp string")
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df).collect()]
