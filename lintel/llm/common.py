@@ -90,6 +90,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _R = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+OTHER_TABLE = mix(_TABLE ^ np.uint64(0x5DEECE66D1CE4E5B))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -103,10 +104,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["r"][:n], _powers["i"][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums P with hash(data[a:b]) = mix((P[b] - P[a]) * R^-a); see span_hash."""
+def prefix_hash(data: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """Prefix sums P with hash(data[a:b]) = mix((P[b] - P[a]) * R^-a); see span_hash. Another table: another hash."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _power(len(data) or 1)[0][: len(data)], out=out[1:])
+    np.cumsum(table[data] * _power(len(data) or 1)[0][: len(data)], out=out[1:])
     return out
 
 

@@ -170,7 +170,7 @@ def layout(start: np.ndarray, length: np.ndarray, stream: np.ndarray) -> tuple[n
     return stream[np.where(mask, at, 0)] if len(stream) else np.zeros_like(at), mask.astype(np.float32)
 
 
-def scores(m: Model, t: Text, block: int = 2048) -> np.ndarray:
+def scores(m: Model, t: Text, block: int = 1024) -> np.ndarray:
     """Scores in (0, 1) of texts: the sigmoid of the highest window's logit; texts without words get that of no evidence."""
     out = np.full(len(t.per), m.p["none"][0], np.float32)
     text, start, length = windows(t.per)

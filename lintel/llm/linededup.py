@@ -7,6 +7,9 @@ what is left from the right). Keys that only one line has end there. Lines that
 bit-parallel edit distance, breadth first and only with what is not yet reached, so that a bucket gives a forest of
 links, not its pairs. Crowded buckets are cut in blocks, a task for each pair of blocks.
 
+A line is known by 128 bits of hash. Texts of lines are fetched only for lines that met another under some key, by a
+second scan with a bitmap of fixed size.
+
 The first line of a class stays: the smallest doc_id, in it the first. Lines shorter than `least` bytes are left
 alone. Null counts as empty, and an empty text has one empty line. Rows that repeat a doc_id are one document for the
 choice of what stays. Other columns are not read, or come back as they were.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, mix, partitions, prefix_hash, slices, span_hash, table, written
+from .common import OTHER_TABLE, flat, mix, partitions, prefix_hash, ragged, slices, span_hash, table, written
 from .components import components
 
 
@@ -101,10 +104,9 @@ def cuts(n: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def join_keys(lines: pa.Array, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, 1 for an index entry or 0 for a probe) of all lines."""
-    data, off = flat(lines)
-    prefix, start, n = prefix_hash(data), off[:-1], np.diff(off)
+def join_keys(data: np.ndarray, start: np.ndarray, n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, 1 for an index entry or 0 for a probe) of lines data[start:start + n]."""
+    prefix = prefix_hash(data)
     keys, rows, kinds = [], [], []
 
     def add(which: np.ndarray, at: np.ndarray, length: np.ndarray, of: np.ndarray, segment: int, kind: int) -> None:
@@ -125,7 +127,7 @@ def join_keys(lines: pa.Array, edits: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(kinds)
 
 
-def forest(ids: list[int], lines: list[bytes], edits: int) -> list[tuple[int, int]]:
+def forest(ids: list[str], lines: list[bytes], edits: int) -> list[tuple[str, str]]:
     """Links of a spanning forest of "within `edits` edits" over the lines of a bucket."""
     out, rest = [], list(range(len(ids)))
     while len(rest) > 1:
@@ -142,41 +144,120 @@ def forest(ids: list[int], lines: list[bytes], edits: int) -> list[tuple[int, in
     return out
 
 
+def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, text, number in the text, start, length) of all lines; a text has one more than it has line feeds."""
+    data, off = flat(texts)
+    feeds = np.flatnonzero(data == 10)
+    per = np.diff(np.searchsorted(feeds, off)) + 1
+    text, pos = ragged(per)
+    last = np.cumsum(per) - 1
+    ends = np.empty(len(text), np.int64)
+    ends[last] = off[1:]
+    inner = np.ones(len(text), bool)
+    inner[last] = False
+    ends[inner] = feeds
+    starts = np.empty(len(text), np.int64)
+    starts[1:] = ends[:-1] + 1
+    starts[last - per + 1] = off[:-1]
+    return data, text, pos, starts, ends - starts
+
+
+def hashed_lines(texts: pa.Array, least: int, both: bool = True):
+    """(bytes, text, number, start, length, h1, h2) of the lines of at least `least` bytes."""
+    data, text, pos, start, n = lines_of(texts)
+    ok = n >= least
+    text, pos, start, n = text[ok], pos[ok], start[ok], n[ok]
+    h1 = span_hash(prefix_hash(data), start, start + n)
+    return data, text, pos, start, n, h1, span_hash(prefix_hash(data, OTHER_TABLE), start, start + n) if both else None
+
+
+SLICE = 1_900_000
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(doc_id, pos, digest, line) of all lines of at least `least` bytes."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    return rows.where(F.octet_length("line") >= least).select("doc_id", "pos", F.unhex(F.md5("line")).alias("digest"), "line")
+    """(doc_id, pos, h1, h2) of all lines of at least `least` bytes; 128 bits of hash stand for a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                _, text, pos, _, _, h1, h2 = hashed_lines(part.column("text"), least)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "pos", "h1", "h2"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, pos int, h1 long, h2 long")
+
+
+def bit_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 2000) -> DataFrame:
-    """(digest, first_doc, n): lines with more than one occurrence in their class, the class's first document and size."""
+BITS, PIECES = 1 << 26, 64
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the lines that meet others, 8 MB whatever their number; filled in pieces, each by one task."""
+    size = BITS // PIECES
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = bit_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            for p in np.unique(at // size).tolist():
+                own = pieces.setdefault(p, np.zeros(size, bool))
+                own[at[at // size == p] % size] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in ids.select("id").repartition(PIECES, F.col("id").bitwiseAND(BITS - 1) / size).mapInArrow(fill, "piece int, bits binary").collect():
+        part = np.frombuffer(r.bits, np.uint8)
+        out[r.piece * len(part) : (r.piece + 1) * len(part)] |= part
+    return out
+
+
+def line_links(docs: DataFrame, text_col: str, edits: int, least: int, heavy: int) -> DataFrame:
+    """(a, b): links of a spanning forest of each class, lines by the hexadecimal form of their hashes."""
     spark = docs.sparkSession
-    lines = occurrences(docs, id_col, text_col, least).groupBy("digest", "line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    lines = written(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
+    texts = docs.select(F.col(text_col).alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "line", 1 << 20):
-                keys, rows, kinds = join_keys(part.column("line"), edits)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column("id").take(pa.array(rows)), pa.array(kinds)], names=["key", "id", "kind"])
+            for part in slices(batch, "text", SLICE):
+                data, _, _, start, n, h1, _ = hashed_lines(part.column("text"), least, False)
+                _, one = np.unique(h1, return_index=True)
+                for lo in range(0, len(one), 8192):
+                    at = one[lo : lo + 8192]
+                    keys, rows, kinds = join_keys(data, start[at], n[at], edits)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h1[at][rows].view(np.int64)), pa.array(kinds)], names=["key", "id", "kind"])
 
-    keyed = lines.select("id", "line").mapInArrow(emit, "key long, id long, kind byte")
     by = W.partitionBy("key")
+    keyed = texts.mapInArrow(emit, "key long, id long, kind byte")
     met = keyed.select("key", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.max("kind").over(by).alias("held"), F.count(F.lit(1)).over(by).alias("n"))
     met = written(met.where("lo <> hi AND held = 1").select("key", "id", "n").distinct(), "met")
+    marks = spark.sparkContext.broadcast(bitmap(met.select("id").distinct()))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                data, _, _, start, n, h1, h2 = hashed_lines(part.column("text"), least)
+                at = bit_of(h1)
+                ok = np.flatnonzero((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                ok = ok[np.unique(h1[ok], return_index=True)[1]] if len(ok) else ok
+                raw = data.tobytes() if len(ok) else b""
+                yield pa.RecordBatch.from_arrays([pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array([raw[a : a + m] for a, m in zip(start[ok].tolist(), n[ok].tolist(), strict=True)], pa.binary())], names=["id", "h2", "line"])
+
+    found = texts.mapInArrow(fetch, "id long, h2 long, line binary").dropDuplicates(["id", "h2"])
     blocks = F.ceil(F.col("n") / heavy)
     own = F.pmod(F.xxhash64("id"), blocks)
     each = F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.greatest(o, own) * blocks + F.least(o, own)))
-    dealt = met.select("id", "key", F.explode(each).alias("block")).join(lines.select("id", "line"), "id")
+    dealt = met.select("id", "key", F.explode(each).alias("block")).join(found, "id").select("key", "block", F.concat(F.lpad(F.hex("id"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")).alias("id"), "line")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        ids: list[int] = []
+        ids: list[str] = []
         texts: list[bytes] = []
 
         def found() -> pa.RecordBatch:
             links = forest(ids, texts, edits)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.string()), pa.array([b for _, b in links], pa.string())], names=["a", "b"])
 
         for batch in batches:  # sorted by bucket
             for key, block, id_, line in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "id", "line")), strict=True):
@@ -185,23 +266,30 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         yield found()
                     held, ids, texts = (key, block), [], []
                 ids.append(id_)
-                texts.append(line.encode())
+                texts.append(line)
         if len(ids) > 1:
             yield found()
 
-    links = dealt.select("key", "block", "id", "line").repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "a long, b long")
-    roots = components(links)
-    rooted = lines.select("digest", "id", "first_doc", "n").join(roots, lines.id == roots.v, "left").select("digest", "first_doc", "n", F.coalesce("root", "id").alias("root"))
-    sums = rooted.groupBy("root").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n")).where("n > 1")
-    return rooted.select("digest", "root").join(sums, "root").select("digest", "root", "first_doc", "n")
+    return dealt.repartition(4 * partitions(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "a string, b string")
+
+
+def line_classes(docs: DataFrame, rows: DataFrame, text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 2000) -> DataFrame:
+    """(h1, h2, root, first_doc): lines that are not alone in their class, and its first document. rows: occurrences(docs)."""
+    lines = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    lines = lines.withColumn("v", F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
+    roots = components(line_links(docs, text_col, edits, least, heavy))
+    named = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    rooted = lines.join(named, "v", "left").where("n > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "v").alias("root"), "first_doc")
+    firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("first"))
+    return rooted.join(firsts, "root").select("h1", "h2", "root", F.col("first").alias("first_doc"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 2000) -> DataFrame:
     """(doc_id, n_dropped, dropped): the 0-based numbers of the lines that go, for documents that lose any."""
-    classes = written(line_classes(docs, id_col, text_col, edits, least), "line-classes")
-    rows = occurrences(docs, id_col, text_col, least).select("doc_id", "pos", "digest").join(classes, "digest")
-    at = F.min("pos").over(W.partitionBy("doc_id", "root"))
-    gone = rows.withColumn("at", at).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("at"))))
+    made = written(occurrences(docs, id_col, text_col, least), "occurrences")
+    classes = line_classes(docs, made, text_col, edits, least, heavy)
+    rows = made.join(classes, ["h1", "h2"]).select("doc_id", "pos", "root", "first_doc")
+    gone = rows.withColumn("at", F.min("pos").over(W.partitionBy("doc_id", "root"))).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("at"))))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped")).select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 

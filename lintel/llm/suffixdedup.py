@@ -86,7 +86,7 @@ def stretches(at: np.ndarray) -> tuple[list[int], list[int]]:
     return at[np.concatenate(([0], brk + 1))].tolist(), (at[np.concatenate((brk, [len(at) - 1]))] + 1).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 24, text_col: str = "text", slice_bytes: int = 1 << 21) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 24, text_col: str = "text", slice_bytes: int = 1_900_000) -> DataFrame:
     """docs (dk, text) -> (dk, begins, ends): byte spans of repeated windows, unmerged, for documents that have any.
 
     dk: a number by which equal rows, and only they, are known."""

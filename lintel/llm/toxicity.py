@@ -40,7 +40,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return gru.fit(pc.utf8_lower(pa.array([r.text for r in got], pa.string())), np.array([r.y for r in got], np.int64), seed=seed)
 
 
-def score(docs: DataFrame, model: gru.Model, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
+def score(docs: DataFrame, model: gru.Model, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_000_000) -> DataFrame:
     """(doc_id, score)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: at most 2^15 words, 2^12 n-gram vectors, 2^17 odds
 
@@ -53,7 +53,7 @@ def score(docs: DataFrame, model: gru.Model, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col: str = "text", slice_bytes: int = 1_000_000) -> DataFrame:
     """The documents that are not rejected, with their own columns; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

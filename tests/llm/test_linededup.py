@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -39,11 +40,19 @@ def test_lines_within_the_threshold_meet(edits):
         b = edit(rng, a, rng.randrange(0, edits + 1))
         if len(b) <= edits:
             continue
-        keys, rows, kinds = ld.join_keys(pa.array([a.decode(), b.decode()]), edits)
+        data, n = np.frombuffer(a + b, np.uint8), np.array([len(a), len(b)])
+        keys, rows, kinds = ld.join_keys(data, np.array([0, len(a)]), n, edits)
         side = [{(int(k), int(t)) for k, r, t in zip(keys, rows, kinds, strict=True) if r == x} for x in (0, 1)]
         assert any((k, 1 - t) in side[1] for k, t in side[0])
 
 
+def test_lines_of():
+    texts = ["", "a", "a\n", "\n\nb", None, "é\nx"]
+    data, text, pos, start, n = ld.lines_of(pa.array(texts))
+    got = [(int(t), int(p), bytes(data[s : s + k]).decode()) for t, p, s, k in zip(text, pos, start, n, strict=True)]
+    assert got == [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n"))]
+
+
 def brute(rows, edits=2, least=24):
     occ = [(d, p, x) for d, t in rows for p, x in enumerate((t or "").split("\n")) if len(x.encode()) >= least]
     lines = sorted({x for _, _, x in occ})
@@ -72,8 +81,7 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, dropped string")
     want = {k: v for k, v in brute([r for r in rows if r[0] < 103]).items() if v} | {104: [0, 1], 105: [1]}
     assert {r.doc_id: r.dropped for r in ld.dropped_lines(docs).collect()} == want
-    heavy = ld.line_classes(docs, heavy=3)
-    assert heavy.count() == ld.line_classes(docs).count()
+    assert {r.doc_id: r.dropped for r in ld.dropped_lines(docs, heavy=3).collect()} == want
     out = {r.doc_id: r.text for r in ld.line_dedup(docs).collect()}
     assert out[100] is None and out[102] == "\n\n" and out[104] == "" and ld.line_dedup(docs).columns == docs.columns
     assert ld.line_dedup(docs.limit(0)).count() == 0
