@@ -35,10 +35,15 @@ def text(v: Column, key: str) -> Column:
 
 def first_text(v: Column, keys: list[str], strip: bool = True) -> Column:
     """The first member that is a string with more than white space, else ''."""
-    found = F.coalesce(*(F.when(F.length(trimmed(text(v, k))) > 0, text(v, k)) for k in keys), F.lit(""))
+    found = F.coalesce(*(F.when(filled(text(v, k)), text(v, k)) for k in keys), F.lit(""))
     return trimmed(found) if strip else found
 
 
+def filled(c: Column) -> Column:
+    """True for text with more than white space. It reads no further than the first such character."""
+    return c.rlike(r"(?U)\S")
+
+
 def trimmed(c: Column) -> Column:
     """Strips white space of all kinds, not only blanks."""
     return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+\z", "")

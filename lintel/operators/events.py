@@ -60,7 +60,7 @@ def canonical(raw: DataFrame, default_cwd: str = "/") -> DataFrame:
     e = e.withColumn("command", F.when(F.lower("tool") == "bash", F.coalesce(V.text(i, "command"), F.lit(""))).otherwise(""))
     # a key that the input has, whatever its type, hides the payload's
     above = lambda k: F.when(V.has(i, k), V.text(i, k)).otherwise(V.text(v, k))
-    heads = [F.when(F.length(V.trimmed(above(k))) > 0, V.trimmed(above(k))) for k in PATH_KEYS[:2]]
+    heads = [F.when(V.filled(above(k)), V.trimmed(above(k))) for k in PATH_KEYS[:2]]
     e = e.withColumn("path", F.coalesce(*heads, V.first_text(i, PATH_KEYS[2:])))
     e = e.withColumn("patch", V.first_text(i, PATCH_KEYS)).withColumn("edits", F.filter(V.members(i, "edits"), V.is_object))
     content = V.first_text(i, CONTENT_KEYS, strip=False)
