@@ -17,4 +17,4 @@ QUERIES = {
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 
-SQL = {"op8_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_pii": pii.SQL, "op8_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
