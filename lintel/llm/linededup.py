@@ -17,6 +17,7 @@ choice of what stays. Other columns are not read, or come back as they were.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,8 +194,8 @@ def bit_of(h: np.ndarray) -> np.ndarray:
 BITS, PIECES = 1 << 26, 64
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of the lines that meet others, 8 MB whatever their number; filled in pieces, each by one task."""
+def bitmap(ids: DataFrame) -> dict[int, bytes]:
+    """Bits of the lines that meet others, 8 MB whatever their number, in compressed pieces, each filled by one task."""
     size = BITS // PIECES
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +205,16 @@ def bitmap(ids: DataFrame) -> np.ndarray:
             for p in np.unique(at // size).tolist():
                 own = pieces.setdefault(p, np.zeros(size, bool))
                 own[at[at // size == p] % size] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in pieces.values()], pa.binary())], names=["piece", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([zlib.compress(np.packbits(v, bitorder="little").tobytes(), 1) for v in pieces.values()], pa.binary())], names=["piece", "bits"])
 
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in ids.select("id").repartition(PIECES, F.col("id").bitwiseAND(BITS - 1) / size).mapInArrow(fill, "piece int, bits binary").collect():
-        part = np.frombuffer(r.bits, np.uint8)
-        out[r.piece * len(part) : (r.piece + 1) * len(part)] |= part
+    dealt = ids.select("id", F.floor(F.col("id").bitwiseAND(BITS - 1) / size).alias("piece")).repartition(PIECES, "piece")
+    return {r.piece: bytes(r.bits) for r in dealt.select("id").mapInArrow(fill, "piece int, bits binary").collect()}
+
+
+def unpacked(pieces: dict[int, bytes]) -> np.ndarray:
+    out, size = np.zeros(BITS // 8, np.uint8), BITS // 8 // PIECES
+    for piece, bits in pieces.items():
+        out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return out
 
 
@@ -235,11 +240,12 @@ def line_links(docs: DataFrame, text_col: str, edits: int, least: int, heavy: in
     marks = spark.sparkContext.broadcast(bitmap(met.select("id").distinct()))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = unpacked(marks.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 data, _, _, start, n, h1, h2 = hashed_lines(part.column("text"), least)
                 at = bit_of(h1)
-                ok = np.flatnonzero((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                ok = np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 ok = ok[np.unique(h1[ok], return_index=True)[1]] if len(ok) else ok
                 raw = data.tobytes() if len(ok) else b""
                 yield pa.RecordBatch.from_arrays([pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array([raw[a : a + m] for a, m in zip(start[ok].tolist(), n[ok].tolist(), strict=True)], pa.binary())], names=["id", "h2", "line"])
