@@ -135,17 +135,44 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, reach: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket that differ in more than `most` and at most `far` bits: each member with the next `reach` in order."""
+def parts_of(own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Component number of each of the sorted values under the links of a forest."""
+    root = np.arange(len(own))
+    for i, j in zip(np.searchsorted(own, left).tolist(), np.searchsorted(own, right).tolist(), strict=True):
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    for i in range(len(root)):  # roots stand before their members
+        root[i] = root[root[i]]
+    return root
+
+
+def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that differ in more than `most` and at most `far` bits: all of a bucket of up to `small` members, else those
+    of a spanning forest, so that their number follows that of the members."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begin, len(keys)))
+    few = np.repeat(length <= small, length)
     left, right = [fps[:0]], [fps[:0]]
-    for d in range(1, min(reach, len(fps) - 1) + 1):
+    for d in range(1, min(small, len(fps))):
         gap = np.bitwise_count(fps[d:] ^ fps[:-d])
-        at = np.flatnonzero((keys[d:] == keys[:-d]) & (gap > most) & (gap <= far))
+        at = np.flatnonzero(few[d:] & (keys[d:] == keys[:-d]) & (gap > most) & (gap <= far))
         left.append(fps[at])
         right.append(fps[at + d])
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+    for lo, n in zip(begin[length > small].tolist(), length[length > small].tolist(), strict=True):
+        own = np.unique(fps[lo : lo + n])
+        x, y = (np.concatenate(z) if z else own[:0] for z in forest(own, far))
+        part = parts_of(own, *(np.concatenate(z) if z else own[:0] for z in forest(own, most)))
+        cross = part[np.searchsorted(own, x)] != part[np.searchsorted(own, y)]  # what links of up to `most` bits join needs no other
+        left.append(x[cross])
+        right.append(y[cross])
+    a, b = np.concatenate(left), np.concatenate(right)
+    wide = np.bitwise_count(a ^ b) > most
+    pairs = np.unique(np.stack([a[wide], b[wide]], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
