@@ -149,15 +149,16 @@ def parts_of(own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return root
 
 
-def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that differ in more than `most` and at most `far` bits: all of a bucket of up to `small` members, else those
-    of a spanning forest, so that their number follows that of the members."""
+def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, small: int = 8) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Pairs (lower, higher) that differ in more than `most` and at most `far` bits: all of a bucket of up to `small`
+    members, else those of a spanning forest, so that their number follows that of the members. Third, the members of
+    every tree that may have held back pairs: what those are is known once the given ones are verified; see held_pairs()."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.append(begin, len(keys)))
     few = np.repeat(length <= small, length)
-    left, right = [fps[:0]], [fps[:0]]
+    left, right, held = [fps[:0]], [fps[:0]], []
     for d in range(1, min(small, len(fps))):
         gap = np.bitwise_count(fps[d:] ^ fps[:-d])
         at = np.flatnonzero(few[d:] & (keys[d:] == keys[:-d]) & (gap > most) & (gap <= far))
@@ -170,16 +171,21 @@ def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, small: int =
         cross = part[np.searchsorted(own, x)] != part[np.searchsorted(own, y)]  # what links of up to `most` bits join needs no other
         left.append(x[cross])
         right.append(y[cross])
+        tree = parts_of(own, x, y)
+        mixed = np.zeros(len(own), bool)
+        mixed[tree[part != part[tree]]] = True
+        held += [own[tree == r] for r in np.flatnonzero(mixed & (np.bincount(tree, minlength=len(own)) > 2)).tolist()]
     a, b = np.concatenate(left), np.concatenate(right)
     wide = np.bitwise_count(a ^ b) > most
-    pairs = np.unique(np.stack([a[wide], b[wide]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs = np.unique(np.stack([np.minimum(a, b)[wide], np.maximum(a, b)[wide]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1], held
 
 
 def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18, far: int = 0) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b, sure) whose components are those of the whole graph.
+    """Distinct fingerprints (fp) -> links (a, b, sure, held) whose components are those of the whole graph.
 
-    With `far`, rows that are not sure are pairs of up to so many bits that shared a key; not all such pairs do."""
+    With `far`, rows that are not sure are pairs of up to so many bits that shared a key; not all such pairs do. Rows with
+    `held` have fingerprints of a crowded bucket some of whose pairs are not among them, and nothing else."""
     spark = fps.sparkSession
     parts = partitions(spark)
 
@@ -196,8 +202,15 @@ def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18, far: int = 0) ->
         if got:
             keys, own = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]).view(np.uint64)
             for sure in (True, False) if far > most else (True,):
-                a, b = bucket_links(keys, own, most) if sure else farther(keys, own, most, far)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([sure] * len(a), pa.bool_())], names=["a", "b", "sure"])
+                a, b, *more = bucket_links(keys, own, most) if sure else farther(keys, own, most, far)
+                n = len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([sure] * n, pa.bool_()), pa.nulls(n, pa.binary())], names=names)
+                for lo in range(0, len(more[0]) if more else 0, 256):
+                    blobs = [x.tobytes() for x in more[0][lo : lo + 256]]
+                    n = len(blobs)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(blobs, pa.binary())], names=names)
+
+    names = ["a", "b", "sure", "held"]
 
     keyed = fps.select("fp").repartition(parts).mapInArrow(emit, "key long, fp long")
     if fps.count() > heavy:  # no bucket can have more members than there are fingerprints
@@ -208,7 +221,43 @@ def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18, far: int = 0) ->
         own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
         each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.greatest(o, own) * F.col("blocks") + F.least(o, own)))
         keyed = keyed.select(F.explode(each).alias("block"), "key", "fp").select((F.col("block").cast("long") * F.lit(1 << 26) + F.col("key")).alias("key"), "fp")
-    return keyed.repartition(4 * parts, "key").mapInArrow(search, "a long, b long, sure boolean")
+    return keyed.repartition(4 * parts, "key").mapInArrow(search, "a long, b long, sure boolean, held binary")
+
+
+def held_pairs(held: DataFrame, roots: DataFrame, most: int, far: int) -> DataFrame:
+    """held (fingerprints that met) and roots (v, root) of what is joined so far -> (a, b), lower first: all pairs of more
+    than `most` and up to `far` bits that met and are not joined."""
+    parts = partitions(held.sparkSession)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, blob in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                own = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group, np.int64)), pa.array(own)], names=["met", "fp"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not got:
+            return
+        met, own, root = (np.concatenate(x) for x in zip(*got, strict=True))
+        own = own.view(np.uint64)
+        order = np.lexsort((own, met))
+        met, own, root = met[order], own[order], root[order]
+        begin = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
+        for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(met)).tolist(), strict=True):
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            step = max(1, (1 << 21) // (hi - lo))
+            for at in range(lo, hi, step):
+                x, y = slice(at, min(at + step, hi)), slice(at, hi)
+                gap = np.bitwise_count(own[x, None] ^ own[None, y])
+                i, j = np.nonzero((gap > most) & (gap <= far) & (root[x, None] != root[None, y]) & (own[x, None] < own[None, y]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[x][i].view(np.int64)), pa.array(own[y][j].view(np.int64))], names=["a", "b"])
+
+    rows = held.select(F.xxhash64("held").alias("met"), "held").mapInArrow(members, "met long, fp long")
+    rows = rows.join(roots, rows.fp == roots.v, "left").select("met", "fp", F.coalesce("root", "fp").alias("root"))
+    return rows.repartition(4 * parts, "met").mapInArrow(search, "a long, b long").distinct()
 
 
 def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -241,7 +290,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     With `far`, pairs of more than `most` and up to `far` bits that met in a bucket link too if their sets of `words_`-word
-    shingles are that similar; the pigeonhole covers 5 bits, beyond which a share of such pairs does not meet."""
+    shingles are that similar; the pigeonhole covers 5 bits, beyond which a share of such pairs does not meet. Of crowded
+    buckets a spanning forest is verified first, then every pair that verified links have not joined."""
     own = written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = links(nodes, most, heavy, far)
@@ -250,7 +300,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         reps = lambda k, r: nodes.select(F.col("fp").alias(k), F.col("rep").alias(r))
         maybe = written(found.where("NOT sure").join(reps("a", "ra"), "a").join(reps("b", "rb"), "b"), "maybe")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        held = found.where("held IS NOT NULL").select("held")
         found = found.where("sure").select("a", "b").unionByName(alike(texts, maybe, similarity, words_))
+        if held.head(1):
+            roots = components(found)
+            rest = held_pairs(held, roots, most, far).join(maybe, ["a", "b"], "left_anti")
+            rest = written(rest.join(reps("a", "ra"), "a").join(reps("b", "rb"), "b"), "held-pairs")
+            found = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(alike(texts, rest, similarity, words_))
     found = components(found)
     rooted = nodes.join(found, nodes.fp == found.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")

@@ -143,6 +143,30 @@ def test_near_copies(spark):
     assert caught >= 50, caught
 
 
+def test_hub_of_a_crowded_bucket(spark, monkeypatch):
+    """Ten fingerprints around a hub that is near all of them in bits and like none: pairs of the ten are alike."""
+    rng = random.Random(3)
+    around = []
+    while len(around) < 10:
+        x = sum(1 << 43 + b for b in rng.sample(range(21), 5))
+        if all(6 <= (x ^ y).bit_count() <= 10 for y in around):
+            around.append(x)
+    fps = [0, *around]
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = [" ".join(text())]
+    for _ in range(5):
+        w = text()
+        docs += [" ".join(w), " ".join([*w, "end"])]
+    keys, at = simhash.key_pairs(np.array(fps, np.uint64))
+    assert any(len(set(at[keys == k])) == 11 for k in set(keys))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    own = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: own)
+    want = {0: 0} | {i: i - (i + 1) % 2 for i in range(1, 11)}
+    for heavy in (1 << 18, 4):
+        assert {r.doc_id: r.component_id for r in simhash.simhash_components(df, far=10, heavy=heavy).collect()} == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, "One", "x"), (None, "One", "x")], "doc_id long, text string, fp string")
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df).collect()]
