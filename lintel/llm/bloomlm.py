@@ -5,8 +5,9 @@ deals the sums by segments of the hash range; each segment's task adds up its sh
 (1 + floor(log2 count)). Pairs seen once are left out, a fixed cutoff.
 
 Filter: an n-gram of level q is put in under levels 1 to q, so a level is read by membership probes that go up until one
-fails. Every segment fills a bit array of its own (`BITS` bits an entry); the filter is their concatenation. If it would
-be larger than `most_bytes`, the lowest levels are left out, pairs first, until it fits, so what is broadcast has a bound.
+fails. Every segment fills a bit array of its own (`BITS` bits an entry); the filter is their concatenation and holds every
+level at any size. Up to `most_bytes` it goes to every worker; a larger one stays a table, and the distinct n-grams of some
+million tokens at a time are asked of their segments' tasks, which look in the same bits, so both ways score alike.
 
 Probability of a word after another: a mixture of pair and word estimates from the quantised counts, the mixture's
 weight being the one that gives the training documents, each pair taken out once, the highest probability.
@@ -199,9 +200,9 @@ def fitting(word_hist: list[int], pair_hist: list[int], most_bytes: int) -> tupl
 
 
 class Model:
-    """What the workers get: the filter, the frequent words' exact counts, N and V."""
+    """What the workers get: the filter (None: its segments are in the count table), the frequent words' exact counts, N and V."""
 
-    def __init__(self, filter_: Filter, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, weight: float) -> None:
+    def __init__(self, filter_: Filter | None, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, weight: float) -> None:
         self.filter, self.frequent, self.counts, self.n, self.v = filter_, frequent, counts, n, v
         self.weight = weight  # of all words, each at the middle of its level
 
@@ -216,15 +217,17 @@ class Model:
         """(weights x texts) log10 probabilities; own: 1 for texts the counts hold, whose pairs are taken out once."""
         if not len(per):
             return np.zeros((len(WEIGHTS), 0))
-        # words at the middle of their level, over the sum of all middles: a distribution. Pairs at the bottom of
-        # theirs, over the top of their first word's: the followers of a word never add up to more than 1.
         distinct, at = np.unique(tok, return_inverse=True)
-        lv = self.filter.level(word_key(distinct), distinct)[at]
         keys, pat = np.unique(pair_keys(tok, per), return_inverse=True)
-        pl = self.filter.level(keys, keys)[pat]
+        return self.mixture(self.filter.level(word_key(distinct), distinct)[at], self.filter.level(keys, keys)[pat], per, own)
+
+    def mixture(self, lv: np.ndarray, pl: np.ndarray, per: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log_probs() from the levels of the tokens and of their pairs, for one text at least."""
+        # words at the middle of their level, over the sum of all middles: a distribution. Pairs at the bottom of
+        # theirs, over the top of their first word's: the followers of a word never add up to more than 1.
         begin, once = np.cumsum(per) - per, np.repeat(own, per)
         context = np.concatenate(([0], lv[:-1]))
-        context[begin] = self.filter.level(word_key(np.array([END])), np.array([END]))[0]
+        context[begin] = lv[-1]  # the last token is an end
         one = (np.maximum(middle(lv) - once, 0) + 1) / (self.weight + self.v + 1)
         below = 2.0**context - 1 - once
         two = np.where(pl > 0, np.maximum(2.0 ** (pl - 1) - once, 0), 0) / np.maximum(below, 1)
@@ -233,13 +236,13 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None, most_bytes: int = 64 << 20, dictionary: int = 1 << 19) -> tuple[Model, DataFrame]:
-    """(model, count table) of training documents."""
+    """(model, count table) of training documents; the table has the filter's segments too if the model has no filter."""
     spark = docs.sparkSession
     table_ = count_table(docs.select(F.col(text_col).alias("text")), n_segments or 4 * partitions(spark))
     hist = table_.agg(F.sum("n"), F.sum("v"), *(F.sum(F.col(c)[i]) for c in ("word_hist", "pair_hist") for i in range(LEVELS))).first()
     n, v, *hists = (int(x or 0) for x in hist)
     word_hist, pair_hist = hists[:LEVELS], hists[LEVELS:]
-    least = fitting(word_hist, pair_hist, most_bytes)
+    sent = fitting(word_hist, pair_hist, most_bytes) == (1, 1)
     floor_ = next((q for q in range(1, LEVELS) if sum(word_hist[q:]) <= dictionary), LEVELS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,45 +250,59 @@ def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None,
             for seg, w, wn, b, bl in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 w, wn = np.frombuffer(w, np.uint64), np.frombuffer(wn, np.int64)
                 lv = levels(wn)
-                bits, size = segment_bits(w, lv, np.frombuffer(b, np.uint64), np.frombuffer(bl, np.uint8), least)
+                bits, size = segment_bits(w, lv, np.frombuffer(b, np.uint64), np.frombuffer(bl, np.uint8), (1, 1))
                 yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits]), pa.array([size]), pa.array([w[lv >= floor_].tobytes()]), pa.array([wn[lv >= floor_].tobytes()])], names=["seg", "bits", "size", "w", "wn"])
 
-    rows = table_.select("seg", "words", "word_n", "pairs", "pair_level").mapInArrow(build, "seg int, bits binary, size long, w binary, wn binary").orderBy("seg").collect()
+    built = table_.select("seg", "words", "word_n", "pairs", "pair_level").mapInArrow(build, "seg int, bits binary, size long, w binary, wn binary")
+    if not sent:
+        built = written(built, "filter")
+        table_ = table_.join(built.select("seg", "bits", "size"), "seg")
+    rows = (built if sent else built.select("seg", "w", "wn")).orderBy("seg").collect()
     join = lambda k, kind: np.frombuffer(b"".join(bytes(r[k]) for r in rows), kind)
-    return Model(Filter(join("bits", np.uint8), np.array([r["size"] for r in rows], np.int64)), join("w", np.uint64), join("wn", np.int64), n, v, float(np.dot(middle(np.arange(LEVELS))[least[0] :], word_hist[least[0] :]))), table_
+    filter_ = Filter(join("bits", np.uint8), np.array([r["size"] for r in rows], np.int64)) if sent else None
+    return Model(filter_, join("w", np.uint64), join("wn", np.int64), n, v, float(np.dot(middle(np.arange(LEVELS)), word_hist))), table_
 
 
 def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_900_000, most_tokens: int = 1_000_000) -> DataFrame:
     """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    n_segments = max(1, len(model.filter.size))
+    n_segments = max(1, len(model.filter.size) if model.filter else table_.count())
+
+    def blobs(base: int, seg: list, keys: list[bytes], at: list[bytes], kind: str) -> pa.RecordBatch:
+        k = len(seg)
+        return pa.RecordBatch.from_arrays([pa.array([base] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()) for _ in range(2)), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.float64())), pa.array(seg, pa.int32()), pa.array(keys, pa.binary()), pa.array(at, pa.binary()), pa.array([kind] * k, pa.string())], names=names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         base = TaskContext.get().partitionId() << 40
         for rows, tok, per in chunks(batches, slice_bytes, most_tokens):
             own = np.concatenate([r.column("trained").to_numpy(zero_copy_only=False) for r in rows]).astype(np.int64)
-            logs = m.log_probs(tok, per, own)
+            size = len(per)
+            logs = m.log_probs(tok, per, own) if m.filter else np.zeros((len(WEIGHTS), size))
             c = m.exact(tok)
             row = np.repeat(np.arange(len(per)), per)
             ids = pa.chunked_array([r.column("doc_id") for r in rows]).combine_chunks()
-            size = len(per)
             yield pa.RecordBatch.from_arrays([
                 pa.array(base + np.arange(size)), ids, pa.array(own == 1), pa.array(per), pa.array(np.bincount(row, c > 0, size).astype(np.int64)), pa.array(np.bincount(row, np.log10(np.maximum(c, 0) + 1.0), size)),
-                pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * len(WEIGHTS), pa.int32()), pa.array(logs.T.ravel())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * len(WEIGHTS), pa.int32()), pa.array(logs.T.ravel())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), pa.array(["text"] * size, pa.string()),
             ], names=names)
             rare = np.flatnonzero(c < 0)
             rare = rare[np.argsort(tok[rare], kind="stable")]
             cut = segments(tok[rare], n_segments)
             asked = [i for i in range(n_segments) if cut[i] < cut[i + 1]]
-            k = len(asked)
-            blobs = [[a[cut[i] : cut[i + 1]].tobytes() for i in asked] for a in (tok[rare], row[rare].astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array([base] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()) for _ in range(2)), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.float64())), pa.array(asked, pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=names)
+            yield blobs(base, asked, *([a[cut[i] : cut[i + 1]].tobytes() for i in asked] for a in (tok[rare], row[rare].astype(np.uint32))), "rare")
+            if not m.filter:
+                w, at = np.unique(tok, return_inverse=True)
+                b, pat = np.unique(pair_keys(tok, per), return_inverse=True)
+                wb, bb = segments(w, n_segments), segments(b, n_segments)
+                every = [i for i in range(n_segments) if wb[i] < wb[i + 1] or bb[i] < bb[i + 1]]
+                yield blobs(base, every, *([a[to[i] : to[i + 1]].tobytes() for i in every] for a, to in ((w, wb), (b, bb))), "probe")
+                yield blobs(base, [None], [np.stack([at, pat]).astype(np.int32).tobytes()], [np.stack([per, own]).astype(np.int64).tobytes()], "body")
             base += 1 << 22
 
-    names = ["row", "doc_id", "trained", "n_tokens", "known", "logs", "scores", "seg", "keys", "at"]
+    names = ["row", "doc_id", "trained", "n_tokens", "known", "logs", "scores", "seg", "keys", "at", "kind"]
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), trained.alias("trained"))
-    made = written(kept.mapInArrow(local, "row long, doc_id long, trained boolean, n_tokens long, known long, logs double, scores array<double>, seg int, keys binary, at binary"), "lm-rows")
+    made = written(kept.mapInArrow(local, "row long, doc_id long, trained boolean, n_tokens long, known long, logs double, scores array<double>, seg int, keys binary, at binary, kind string"), "lm-rows")
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
@@ -301,10 +318,30 @@ def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_
         rows, at = np.unique(row[c > 0], return_inverse=True)
         return pd.DataFrame({"row": rows, "known": np.bincount(at, minlength=len(rows)), "logs": np.bincount(at, np.log10(c[c > 0] + 1.0), len(rows))})
 
-    asked = made.where("seg IS NOT NULL").select("seg", "row", "keys", "at")
+    def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        f = Filter(np.frombuffer(held["bits"][0], np.uint8), np.array([held["size"][0]])) if len(held) else Filter(np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        w, b = ([np.frombuffer(x, np.uint64) for x in asked[c]] for c in ("keys", "at"))
+        told = [(f.level(word_key(x), x), f.level(y, y)) for x, y in zip(w, b, strict=True)]
+        return pd.DataFrame({"row": asked["row"], "seg": asked["seg"], **{c: [t[i].astype(np.uint8).tobytes() for t in told] for i, c in enumerate(("w", "b"))}})
+
+    def mixed(body: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("seg")
+        lw, lb = (np.frombuffer(b"".join(told[c]), np.uint8).astype(np.int64) for c in ("w", "b"))
+        out = {"row": [], "scores": []}
+        for base, keys, at in zip(body["row"], body["keys"], body["at"], strict=True):
+            (w, b), (per, own) = np.frombuffer(keys, np.int32).reshape(2, -1), np.frombuffer(at, np.int64).reshape(2, -1)
+            out["scores"] += sent.value.mixture(lw[w], lb[b], per, own).T.tolist()
+            out["row"] += (base + np.arange(len(per))).tolist()
+        return pd.DataFrame(out)
+
+    asked = made.where("kind = 'rare'").select("seg", "row", "keys", "at")
     told = asked.groupBy("seg").cogroup(table_.select("seg", "words", "word_n").groupBy("seg")).applyInPandas(answer, "row long, known long, logs double")
     told = told.groupBy("row").agg(F.sum("known").alias("more"), F.sum("logs").alias("more_logs"))
-    rows = made.where("seg IS NULL")
+    rows = made.where("kind = 'text'")
+    if not model.filter:
+        level = made.where("kind = 'probe'").select("seg", "row", "keys", "at").groupBy("seg").cogroup(table_.select("seg", "bits", "size").groupBy("seg")).applyInPandas(probe, "row long, seg int, w binary, b binary")
+        got = made.where("kind = 'body'").select("row", "keys", "at").groupBy("row").cogroup(level.groupBy("row")).applyInPandas(mixed, "row long, scores array<double>")
+        rows = rows.drop("scores").join(written(got, "lm-scores"), "row")
     sums = rows.where("trained").agg(*(F.sum(F.col("scores")[i]) for i in range(len(WEIGHTS)))).first()
     best = max(range(len(WEIGHTS)), key=lambda i: sums[i] if sums[i] is not None else 0.0)
     below = float(np.log10(model.n + model.v + 1))

@@ -65,6 +65,20 @@ def test_bound():
         assert sum(n * q for q, n in enumerate(words) if q >= a) * lm.BITS / 8 + sum(n * q for q, n in enumerate(pairs) if q >= b) * lm.BITS / 8 <= most
 
 
+def test_a_filter_of_any_size_scores_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = lm.training(F.col("doc_id"))
+    scores = []
+    for most_bytes in (64 << 20, 1000):
+        out = lm.score(docs, *lm.fit(docs.where(learned), n_segments=5, most_bytes=most_bytes, dictionary=50), learned, most_tokens=2000)
+        scores.append({r.doc_id: (r.score, r.base_score, r.n_known) for r in out.collect()})
+    assert scores[0] == scores[1] and len(scores[0]) > 50
+    rows = spark.createDataFrame([(1, None), (2, "a a b"), (3, "a a b"), (4, "")], "doc_id long, text string")
+    few = lm.training(F.col("doc_id"))
+    a, b = (sorted((r.doc_id, r.score) for r in lm.score(rows, *lm.fit(rows.where(few), n_segments=3, most_bytes=m), few).collect()) for m in (1 << 20, 0))
+    assert a == b
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a a a"), (3, "a a a"), (4, "x" * 30000), (5, "b " * 9000), (6, " \n"), (9, "Ünï A\x0bb")]
     docs = spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id long, text string, row string")
