@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not kept.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="lintel-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -50,6 +52,16 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def one_row_each(docs: DataFrame, kept: DataFrame, group: str, id_col: str, digest: Column) -> DataFrame:
+    """The rows of docs that stay when of each group one does. kept: (doc_id, h, group) of the rows that may stay, h being
+    `digest` of a row. Of several a group has that with the smallest h; of rows that repeat id and h one is taken."""
+    one = kept.groupBy(group).agg(F.min(F.struct("h", "doc_id")).alias("k"), F.count(F.lit(1)).alias("n"))
+    one = one.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.h").alias("__keep_h"), (F.col("n") > 1).alias("__keep_many"))
+    met = docs.withColumn("__own_h", digest).join(one, F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")) & F.col("__own_h").eqNullSafe(F.col("__keep_h")))
+    rows = met.where("NOT __keep_many").unionByName(met.where("__keep_many").dropDuplicates(["__keep_id", "__keep_h"]))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as the contracts say."""
     return F.translate(c, UPPER, LOWER)

@@ -3,14 +3,23 @@
 A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits, each padded to a 23-bit word. Two fingerprints that
 differ in at most 4 bits differ in at most 2 bits in two of the three segments (two segments with 3 errors each would
 make 6), and words within 2 bits share a codeword key (golay.py). So the pairs of keys of two segments are join keys
-that miss no link. Distinct fingerprints are dealt by these keys; every bucket is searched breadth first, comparing
-only what is not yet reached, and gives the links of a spanning forest, each verified by its bit distance: at most
-one per member, never all pairs. A bucket of more than `heavy` members is cut in blocks, and every pair of blocks is
-searched by a task of its own. Components of these links are the components of the whole link graph.
-
-Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Repeated rows
-get equal answers. A null doc_id never names a component unless all of the component's ids are null. Only the id and
-text columns are read, so other names cannot clash. An empty table gives an empty result.
+that miss no link.
+
+Rounds. First every fingerprint is dealt by its nearest codewords only (3 keys), which joins most members of large
+groups. Then it is dealt by all its keys (about 85) with the label of its group so far: a bucket compares only members
+of different labels, and what a task finds in a stretch of sorted buckets is folded into one link a label. Rows
+are sorted by key before Python sees them and are read a stretch at a time, so a task's memory follows neither the table
+nor its share. A bucket of more than `heavy` members is cut in blocks, a task for each pair of blocks.
+
+With `far` (the pipeline's stage) a second fingerprint of the same shingles, by an independent hash, is dealt along with
+the first. Pairs within `far` bits of either are candidates whose five-word shingles are compared. Of the candidates
+between two labels a stretch gives a spanning forest; the fingerprints of all others are held, and are dealt once more
+after the forest is verified, giving every pair that verified links have not joined: none is dropped.
+
+Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Texts of any length
+are read whole, a few MB at a time. Repeated rows get equal answers. A null doc_id never names a component unless all of
+the component's ids are null; a group of null ids only is not compared beyond `most` bits. Only the id and text columns are
+read, so other names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,22 +34,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import dropped, flat, fold, partitions, ragged, slices, table, words, written
+from .common import flat, fold, mix, one_row_each, partitions, ragged, slices, table, words, written
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
-def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """uint64 fingerprints of texts. The texts of one call should be a few MB at most."""
+def bits_of(h: np.ndarray, begins: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Majority bits of the hashes of each text; h[begins[i]:begins[i] + count[i]] are those of text i, one at least."""
+    bits = np.zeros((len(begins), 64), np.int64)
+    for lo in range(0, len(h), 1 << 16):  # unpacked bits take 64 bytes a shingle
+        part = h[lo : lo + (1 << 16)]
+        cut = np.unique(np.concatenate(([0], begins[(begins > lo) & (begins < lo + len(part))] - lo)))
+        sums = np.add.reduceat(np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64), cut, axis=0, dtype=np.int64)
+        bits[np.searchsorted(begins, cut + lo, "right") - 1] += sums
+    return ((2 * bits > count[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def shingle_hashes(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of all shingles in order, how many each text has)."""
     ended = pc.binary_join_element_wise(pc.fill_null(texts, ""), "", "\n")  # a space after every word
     data, offsets = flat(ended)
     data = fold(data)
     starts, ends, per = words(data, offsets)
-    out = np.zeros(len(texts), np.uint64)
+    count = np.where(per == 0, 0, np.maximum(per - shingle + 1, 1))
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), count
     keep = np.zeros(len(data) + 1, np.int8)
     keep[starts] += 1
     keep[ends + 1] -= 1
@@ -49,215 +69,233 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     at = np.cumsum(keep) - 1
     joined = memoryview(data[keep].tobytes())
     a, b = at[starts], at[ends]
-    count = np.where(per == 0, 0, np.maximum(per - shingle + 1, 1))
     row, place = ragged(count)
     first = (np.cumsum(per) - per)[row] + place
     last = first + np.minimum(per, shingle)[row] - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[x:y], seed) for x, y in zip(a[first].tolist(), b[last].tolist(), strict=True)], np.uint64)
-    some = np.flatnonzero(count)
-    begins = (np.cumsum(count) - count)[some]
-    step = 1 << 16
-    bits = np.zeros((len(some), 64), np.int64)
-    for lo in range(0, len(h), step):  # unpacked bits take 64 bytes a shingle
-        part = h[lo : lo + step]
-        cut = np.unique(np.concatenate(([0], begins[(begins > lo) & (begins < lo + len(part))] - lo)))
-        sums = np.add.reduceat(np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64), cut, axis=0, dtype=np.int64)
-        bits[np.searchsorted(begins, cut + lo, "right") - 1] += sums
-    out[some] = ((2 * bits > count[some, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return out
+    return np.fromiter((digest(joined[x:y], seed) for x, y in zip(a[first].tolist(), b[last].tolist(), strict=True)), np.uint64, len(first)), count
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, slice_bytes: int = 1 << 22) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """uint64 fingerprints of texts. The texts of one call should be a few MB at most."""
+    return both_fingerprints(texts, shingle, seed)[0]
+
+
+def both_fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, fingerprints by an independent hash, numbers of distinct pairs of shingles that follow each other)."""
+    h, count = shingle_hashes(texts, shingle, seed)
+    one, two, sets = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), np.minimum(count, 1)
+    some = np.flatnonzero(count)
+    if len(some):
+        begins = (np.cumsum(count) - count)[some]
+        one[some] = bits_of(h, begins, count[some])
+        two[some] = bits_of(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), begins, count[some])
+        inner = np.ones(len(h), bool)
+        inner[np.append(begins[1:], len(h)) - 1] = False  # a text's last shingle begins no pair
+        at = np.flatnonzero(inner)
+        row = np.repeat(np.arange(len(texts)), count)[at]
+        pair = mix(h[at] * np.uint64(0x9FB21C651E98DF25) + h[at + 1])
+        order = np.lexsort((pair, row))
+        row, pair = row[order], pair[order]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))) if len(row) else np.zeros(0, bool)
+        sets = np.maximum(sets, np.bincount(row[new], minlength=len(texts)))
+    return one, two, sets
+
+
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, slice_bytes: int = 1 << 21) -> DataFrame:
+    """(doc_id, h, fp, other, n): a hash of the text, both fingerprints as signed longs, the size of its set of longer shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text"), shingle).view(np.int64))], names=["doc_id", "fp"])
+                one, two, n = both_fingerprints(part.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["doc_id", "h", "fp", "other", "n"])
+
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, fp long, other long, n long")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
+OTHER = 1 << 26  # marks the keys of the second fingerprint; the first ones are less
 
-def key_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, index of the fingerprint of each): two bits for the pair of segments, 12 for each of the two codewords."""
+
+def key_pairs(fps: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, index of the fingerprint of each): two bits for the pair of segments, 12 for each of the two codewords.
+    nearest: by the nearest codewords only."""
     per = []
     for shift, width in SEGMENTS:
         per.append(golay.keys((fps >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)))
     keys, rows = [], []
+    many = 1 if nearest else 6
     for i, (x, y) in enumerate(PAIRS):
         (kx, nx), (ky, ny) = per[x], per[y]
-        for s in range(6):
-            for t in range(6):
+        for s in range(many):
+            for t in range(many):
                 at = np.flatnonzero((s < nx) & (t < ny))
                 keys.append(i << 24 | kx[at, s] << 12 | ky[at, t])
                 rows.append(at)
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def forest(fps: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links of a spanning forest of the graph "at most `most` bits differ" over distinct fingerprints."""
-    left, right, rest = [], [], fps
-    while len(rest) > 1:
-        stack, rest = [rest[0]], rest[1:]
-        while stack and len(rest):
-            x = stack.pop()
-            near = np.bitwise_count(rest ^ x) <= most
-            if near.any():
-                got = rest[near]
-                left.append(np.full(len(got), x))
-                right.append(got)
-                stack.extend(got)
-                rest = rest[~near]
-    return left, right
-
-
-def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets: runs of up to 4 members are compared at once, longer ones by forest()."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    length = np.diff(np.append(begin, len(keys)))
-    left, right = [fps[:0]], [fps[:0]]
-    for d in (1, 2, 3):
-        some = begin[(length > d) & (length <= 4)]
-        span = length[(length > d) & (length <= 4)]
-        for o in range(4 - d):
-            at = some[span > d + o] + o
-            near = np.bitwise_count(fps[at] ^ fps[at + d]) <= most
-            left.append(fps[at[near]])
-            right.append(fps[at[near] + d])
-    for lo, n in zip(begin[length > 4].tolist(), length[length > 4].tolist(), strict=True):
-        x, y = forest(np.unique(fps[lo : lo + n]), most)
-        left += x
-        right += y
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def parts_of(own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Component number of each of the sorted values under the links of a forest."""
-    root = np.arange(len(own))
-    for i, j in zip(np.searchsorted(own, left).tolist(), np.searchsorted(own, right).tolist(), strict=True):
-        while root[i] != i:
-            i = root[i]
-        while root[j] != j:
-            j = root[j]
-        root[max(i, j)] = min(i, j)
-    for i in range(len(root)):  # roots stand before their members
-        root[i] = root[root[i]]
-    return root
-
-
-def farther(keys: np.ndarray, fps: np.ndarray, most: int, far: int, small: int = 8) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Pairs (lower, higher) that differ in more than `most` and at most `far` bits: all of a bucket of up to `small`
-    members, else those of a spanning forest, so that their number follows that of the members. Third, the members of
-    every tree that may have held back pairs: what those are is known once the given ones are verified; see held_pairs()."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    length = np.diff(np.append(begin, len(keys)))
-    few = np.repeat(length <= small, length)
-    left, right, held = [fps[:0]], [fps[:0]], []
-    for d in range(1, min(small, len(fps))):
-        gap = np.bitwise_count(fps[d:] ^ fps[:-d])
-        at = np.flatnonzero(few[d:] & (keys[d:] == keys[:-d]) & (gap > most) & (gap <= far))
-        left.append(fps[at])
-        right.append(fps[at + d])
-    for lo, n in zip(begin[length > small].tolist(), length[length > small].tolist(), strict=True):
-        own = np.unique(fps[lo : lo + n])
-        x, y = (np.concatenate(z) if z else own[:0] for z in forest(own, far))
-        part = parts_of(own, *(np.concatenate(z) if z else own[:0] for z in forest(own, most)))
-        cross = part[np.searchsorted(own, x)] != part[np.searchsorted(own, y)]  # what links of up to `most` bits join needs no other
-        left.append(x[cross])
-        right.append(y[cross])
-        tree = parts_of(own, x, y)
-        mixed = np.zeros(len(own), bool)
-        mixed[tree[part != part[tree]]] = True
-        held += [own[tree == r] for r in np.flatnonzero(mixed & (np.bincount(tree, minlength=len(own)) > 2)).tolist()]
-    a, b = np.concatenate(left), np.concatenate(right)
-    wide = np.bitwise_count(a ^ b) > most
-    pairs = np.unique(np.stack([np.minimum(a, b)[wide], np.maximum(a, b)[wide]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1], held
-
-
-def links(fps: DataFrame, most: int = 4, heavy: int = 1 << 18, far: int = 0) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b, sure, held) whose components are those of the whole graph.
-
-    With `far`, rows that are not sure are pairs of up to so many bits that shared a key; not all such pairs do. Rows with
-    `held` have fingerprints of a crowded bucket some of whose pairs are not among them, and nothing else."""
-    spark = fps.sparkSession
+def parts_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest vertex reachable from each of n vertices under the links (a, b)."""
+    part = np.arange(n)
+    while True:
+        low = np.minimum(part[a], part[b])
+        new = part.copy()
+        for at in (a, b, part[a], part[b]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == part).all():
+            return part
+        part = new
+
+
+def near_pairs(key: np.ndarray, bits: np.ndarray, label: np.ndarray, limit: int, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of the pairs of a bucket that have different labels and differ in `limit` bits at most. Rows
+    are sorted by key and label."""
+    if not len(key):
+        return
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    length = np.diff(np.append(begin, len(key)))
+    mixed = label[begin] != label[begin + length - 1]
+    few = np.repeat(mixed & (length <= 16), length)
+    for d in range(1, 16):
+        at = np.flatnonzero(few[d:] & (key[d:] == key[:-d]) & (label[d:] != label[:-d]))
+        if len(at):
+            gap = np.bitwise_count(bits[at] ^ bits[at + d])
+            ok = gap <= limit
+            yield at[ok], at[ok] + d, gap[ok]
+    for lo, n in zip(begin[mixed & (length > 16)].tolist(), length[mixed & (length > 16)].tolist(), strict=True):
+        hi, step = lo + n, max(1, cells // n)
+        for x in range(lo, hi, step):
+            y = min(x + step, hi)
+            after = x if label[x] != label[y - 1] else int(np.searchsorted(label[x:hi], label[x], "right")) + x
+            if after >= hi:
+                continue
+            gap = np.bitwise_count(bits[x:y, None] ^ bits[None, after:hi])
+            i, j = np.nonzero((gap <= limit) & (label[x:y, None] < label[None, after:hi]))
+            yield x + i, after + j, gap[i, j]
+
+
+def one_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Index of the first of each distinct pair (a, b)."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    return order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))] if len(order) else order
+
+
+def sure_parts(key: np.ndarray, bits: np.ndarray, label: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Part of each of n labels under the pairs of the first fingerprint within `most` bits."""
+    links = [np.zeros((2, 0), np.int64)]
+    first = key & OTHER == 0
+    for i, j, _ in near_pairs(key[first], bits[first], label[first], most):
+        x, y = label[first][i], label[first][j]
+        one = one_each(x, y)
+        links.append(np.stack([x[one], y[one]]))
+    return parts_of(n, *np.concatenate(links, 1))
+
+
+def candidates(key: np.ndarray, bits: np.ndarray, part: np.ndarray, far: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of rows within `far` bits and of different parts: all with `every`, else the edges of a spanning forest over
+    the parts; in that case last, with True, the rows of pairs that were not given (twice)."""
+    order = np.lexsort((part, key))
+    root = list(range(int(part.max(initial=-1)) + 1))
+    held = np.zeros(len(key), bool)
+    for i, j, _ in near_pairs(key[order], bits[order], part[order], far):
+        i, j = order[i], order[j]
+        if every:
+            yield i, j, False
+            continue
+        chosen = np.zeros(len(i), bool)
+        for n in one_each(np.minimum(part[i], part[j]), np.maximum(part[i], part[j])).tolist():
+            u, v = int(part[i[n]]), int(part[j[n]])
+            while root[u] != u:
+                root[u] = u = root[root[u]]
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                chosen[n] = True
+        yield i[chosen], j[chosen], False
+        held[i[~chosen]] = held[j[~chosen]] = True
+    rest = np.flatnonzero(held)
+    yield rest, rest, True
+
+
+def stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """Sorted rows (key first) in stretches of about so many rows that cut no key."""
+    kept: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n >= rows:
+            now = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+            kept, n = [[x[cut:] for x in now]], len(now[0]) - cut
+            if cut:
+                yield [x[:cut] for x in now]
+    if n:
+        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
+
+
+FOUND = "a long, b long, kind int, held array<long>"
+CROWDED = 1 << 16  # keys that are broadcast at most
+SURE, FIRST, SECOND = 0, 1, 2  # kinds: a link of two labels; candidates by the first and by the second fingerprint
+
+
+def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, every: bool = False, heavy: int = 1 << 18, rows: int = 1 << 20) -> DataFrame:
+    """nodes (bits, second: which fingerprint they are of, label) -> FOUND: links of two labels, candidates (lower first), and in
+    rows of their own the fingerprints some of whose candidates are not given, unless with `every` all are."""
+    spark = nodes.sparkSession
     parts = partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for lo in range(0, len(own), 4096):
-                part = own[lo : lo + 4096]
-                keys, rows = key_pairs(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], names=["key", "fp"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if got:
-            keys, own = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]).view(np.uint64)
-            for sure in (True, False) if far > most else (True,):
-                a, b, *more = bucket_links(keys, own, most) if sure else farther(keys, own, most, far)
-                n = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([sure] * n, pa.bool_()), pa.nulls(n, pa.binary())], names=names)
-                for lo in range(0, len(more[0]) if more else 0, 256):
-                    blobs = [x.tobytes() for x in more[0][lo : lo + 256]]
-                    n = len(blobs)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(blobs, pa.binary())], names=names)
-
-    names = ["a", "b", "sure", "held"]
-
-    keyed = fps.select("fp").repartition(parts).mapInArrow(emit, "key long, fp long")
-    if fps.count() > heavy:  # no bucket can have more members than there are fingerprints
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                own, second, label = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                keys, at = key_pairs(own.view(np.uint64), nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(keys | np.where(second[at], OTHER, 0)), pa.array(own[at]), pa.array(label[at])], names=["key", "bits", "label"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind.astype(np.int32)), pa.nulls(len(a), pa.list_(pa.int64()))], names=names)
+
+        names = ["a", "b", "kind", "held"]
+        for key, own, label in stretches(batches, rows):
+            bits = own.view(np.uint64)
+            known, at = np.unique(label, return_inverse=True)
+            part = sure_parts(key, bits, at, len(known), most)
+            moved = np.flatnonzero(part != np.arange(len(known)))
+            yield out(known[moved], known[part[moved]], np.full(len(moved), SURE))
+            for i, j, rest in candidates(key, bits, part[at], far, every) if far > most else ():
+                kind = np.where(key[i] & OTHER, SECOND, FIRST)
+                if not rest:
+                    x, y = np.minimum(bits[i], bits[j]), np.maximum(bits[i], bits[j])
+                    one = one_each(x ^ kind.astype(np.uint64), y)  # a pair may meet in several buckets
+                    yield out(x[one], y[one], kind[one])
+                    continue
+                for k in (FIRST, SECOND):
+                    some = np.unique(own[i[kind == k]])
+                    for lo in range(0, len(some), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([some[lo : lo + (1 << 16)]], pa.list_(pa.int64()))], names=names)
+
+    keyed = nodes.select("bits", "second", "label").repartition(parts).mapInArrow(emit, "key long, bits long, label long")
+    if nodes.count() > heavy:  # no bucket can have more members than there are nodes
         crowd = keyed.groupBy("key").count().where(F.col("count") > heavy).select("key", F.ceil(F.col("count") / heavy).cast("int").alias("blocks"))
         crowd = written(crowd, "crowded-keys")
-        # at most 84 * fingerprints / heavy keys: small enough to send to every worker at any size of the input
-        keyed = keyed.join(F.broadcast(crowd), "key", "left")
-        own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+        if crowd.count() <= CROWDED:
+            crowd = F.broadcast(crowd)
+        keyed = keyed.join(crowd, "key", "left")
+        own = F.pmod(F.xxhash64("bits"), "blocks").cast("int")
         each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.greatest(o, own) * F.col("blocks") + F.least(o, own)))
-        keyed = keyed.select(F.explode(each).alias("block"), "key", "fp").select((F.col("block").cast("long") * F.lit(1 << 26) + F.col("key")).alias("key"), "fp")
-    return keyed.repartition(4 * parts, "key").mapInArrow(search, "a long, b long, sure boolean, held binary")
+        keyed = keyed.select(F.explode(each).alias("block"), "key", "bits", "label").select((F.col("block").cast("long") * F.lit(1 << 27) + F.col("key")).alias("key"), "bits", "label")
+    return keyed.repartition(4 * parts, "key").sortWithinPartitions("key", "label").mapInArrow(find, FOUND)
 
 
-def held_pairs(held: DataFrame, roots: DataFrame, most: int, far: int) -> DataFrame:
-    """held (fingerprints that met) and roots (v, root) of what is joined so far -> (a, b), lower first: all pairs of more
-    than `most` and up to `far` bits that met and are not joined."""
-    parts = partitions(held.sparkSession)
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for group, blob in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                own = np.frombuffer(blob, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group, np.int64)), pa.array(own)], names=["met", "fp"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not got:
-            return
-        met, own, root = (np.concatenate(x) for x in zip(*got, strict=True))
-        own = own.view(np.uint64)
-        order = np.lexsort((own, met))
-        met, own, root = met[order], own[order], root[order]
-        begin = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
-        for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(met)).tolist(), strict=True):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            step = max(1, (1 << 21) // (hi - lo))
-            for at in range(lo, hi, step):
-                x, y = slice(at, min(at + step, hi)), slice(at, hi)
-                gap = np.bitwise_count(own[x, None] ^ own[None, y])
-                i, j = np.nonzero((gap > most) & (gap <= far) & (root[x, None] != root[None, y]) & (own[x, None] < own[None, y]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[x][i].view(np.int64)), pa.array(own[y][j].view(np.int64))], names=["a", "b"])
-
-    rows = held.select(F.xxhash64("held").alias("met"), "held").mapInArrow(members, "met long, fp long")
-    rows = rows.join(roots, rows.fp == roots.v, "left").select("met", "fp", F.coalesce("root", "fp").alias("root"))
-    return rows.repartition(4 * parts, "met").mapInArrow(search, "a long, b long").distinct()
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -286,40 +324,69 @@ def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) ->
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, heavy: int = 1 << 18, far: int = 0, similarity: float = 0.8, words_: int = 5) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, heavy: int = 1 << 18, far: int = 0, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, h (a hash of its text), group (a number), fingerprint (16 hex digits), component_id.
 
-    With `far`, pairs of more than `most` and up to `far` bits that met in a bucket link too if their sets of `words_`-word
-    shingles are that similar; the pigeonhole covers 5 bits, beyond which a share of such pairs does not meet. Of crowded
-    buckets a spanning forest is verified first, then every pair that verified links have not joined."""
+    With `far`, documents link too that are up to so many bits apart by either fingerprint, share a key of it and are that
+    similar by their sets of shingles one word longer. Keys guarantee a meeting up to 5 bits; beyond that a share of such
+    pairs does not meet under one fingerprint, and fewer under neither."""
     own = written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = links(nodes, most, heavy, far)
     if far > most:
-        found = written(found.distinct(), "links")
-        reps = lambda k, r: nodes.select(F.col("fp").alias(k), F.col("rep").alias(r))
-        maybe = written(found.where("NOT sure").join(reps("a", "ra"), "a").join(reps("b", "rb"), "b"), "maybe")
+        first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other", "n")).alias("m"))
+        nodes = first.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.other").alias("other"), F.col("m.n").alias("n"))
+    else:
+        nodes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = written(nodes, "nodes")
+    links = written(search(nodes.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), F.col("fp").alias("label")), most, nearest=True, heavy=heavy).select("a", "b").distinct(), "links")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        roots = components(edges)
+        return nodes.join(roots, nodes.fp == roots.v, "left").withColumn("label", F.coalesce("root", "fp")).drop("v", "root")
+
+    now = labelled(links)
+    entries = now.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label")
+    if far > most:
+        now = written(now, "labels")
+        entries = now.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label").unionByName(now.select(F.col("other").alias("bits"), F.lit(True).alias("second"), "label"))
+    found = search(entries, most, far, heavy=heavy)
+    if far > most:
+        found = written(found, "found")
+    links = links.unionByName(found.where("kind = 0").select("a", "b"))
+    if far > most:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        held = found.where("held IS NOT NULL").select("held")
-        found = found.where("sure").select("a", "b").unionByName(alike(texts, maybe, similarity, words_))
-        if held.head(1):
-            roots = components(found)
-            rest = held_pairs(held, roots, most, far).join(maybe, ["a", "b"], "left_anti")
-            rest = written(rest.join(reps("a", "ra"), "a").join(reps("b", "rb"), "b"), "held-pairs")
-            found = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(alike(texts, rest, similarity, words_))
-    found = components(found)
-    rooted = nodes.join(found, nodes.fp == found.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: int = 10) -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns.
+
+        def compared(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+            """(the pairs of nodes that candidates stand for, those of them that are alike)."""
+            met = None
+            for kind, bits in ((FIRST, "fp"), (SECOND, "other")):
+                side = lambda k: nodes.select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
+                part = pairs.where(F.col("kind") == kind).join(side("a"), "a").join(side("b"), "b").where(f"fa <> fb AND least(na, nb) >= {similarity} * greatest(na, nb)")
+                part = part.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), F.when(F.col("fa") < F.col("fb"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("fa") < F.col("fb"), F.col("rb")).otherwise(F.col("ra")).alias("rb"))
+                met = part if met is None else met.unionByName(part)
+            met = written((met if known is None else met.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct(), "met")
+            return met, alike(texts, met, similarity, shingle + 1)
+
+        tried, same = compared(found.where("kind > 0 AND held IS NULL"))
+        links = written(links.unionByName(same), "links")
+        left = found.where("held IS NOT NULL").select("kind", F.explode("held").alias("bits")).distinct()
+        if found.where("held IS NOT NULL").limit(1).count():
+            now = written(labelled(links), "labels")
+            again = left.where(F.col("kind") == FIRST).join(now, F.col("bits") == F.col("fp")).select("bits", F.lit(False).alias("second"), "label")
+            again = again.unionByName(left.where(F.col("kind") == SECOND).join(now, F.col("bits") == F.col("other")).select("bits", F.lit(True).alias("second"), "label").distinct())
+            rest = search(written(again, "held"), most, far, every=True, heavy=heavy)
+            links = links.unionByName(compared(rest.where("kind > 0"), tried)[1])
+    named = labelled(links)
+    named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id")
+    return own.join(named, "fp").select("doc_id", "h", F.col("label").alias("group"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: int = 11) -> DataFrame:
+    """One row of each group, with its own columns: one that has the group's smallest id.
 
     Groups are linked as in simhash_components(), and beyond its 4 bits where five-word shingles are at least 0.8 alike."""
-    keep = simhash_components(docs, id_col, text_col, far=far).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    groups = simhash_components(docs, id_col, text_col, far=far).select("doc_id", "h", "group", "component_id")
+    return one_row_each(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "group", id_col, F.xxhash64(F.col(text_col)))
 
 
 def op4_simhash(spark, sf_dir):
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(table(spark, sf_dir, "documents")).drop("h", "group")

@@ -49,7 +49,7 @@ def test_stages(spark):
     fps = {i: (plain(rows[i].text), shingles(rows[i].text)) for i in ids}
     jaccard = lambda a, b: len(a[1] & b[1]) / len(a[1] | b[1])
     bits = lambda a, b: (a[0] ^ b[0]).bit_count()
-    most = set(linked(fps, lambda a, b: bits(a, b) <= 4 or bits(a, b) <= 10 and jaccard(a, b) >= 0.8).values())
+    most = set(linked(fps, lambda a, b: bits(a, b) <= 4 or jaccard(a, b) >= 0.8).values())
     got = cp.drop_near_copies(spark, got, SF)
     keep = {r.doc_id for r in got.collect()}
     assert got.columns == docs.columns and most <= keep <= set(brute([plain(rows[i].text) for i in ids], ids))
