@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lintel.llm import exact_dedup as ed
 
 
@@ -24,12 +26,20 @@ def test_directory():
     assert ed.directory({}, 4, 10) == [0]
 
 
+def folded(rows):
+    return ["".join(c.lower() if c.isascii() else c for c in t or "") for _, t in rows]
+
+
 def plain(rows):
-    low = ["".join(c.lower() if c.isascii() else c for c in t or "") for _, t in rows]
+    return sorted(plain_in_order(rows), key=repr)
+
+
+def plain_in_order(rows):
+    low = folded(rows)
     n, keep = Counter(low), {}
     for (i, _), t in zip(rows, low, strict=True):
         keep[t] = i if keep.get(t) is None else max(keep[t], i) if i is not None else keep[t]
-    return sorted(((i, keep[t], n[t], i == keep[t]) for (i, _), t in zip(rows, low, strict=True)), key=repr)
+    return [(i, keep[t], n[t], i == keep[t]) for (i, _), t in zip(rows, low, strict=True)]
 
 
 def test_groups(spark):
@@ -40,16 +50,26 @@ def test_groups(spark):
     for room in (1 << 14, 3):
         got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in ed.exact_groups(df, bucket_rows=room).collect()), key=repr)
         assert got == plain(rows)
+    few = lambda c: F.xxhash64(F.length(c) % 3)
+    for room in (1 << 14, 1):  # three hashes for all texts
+        got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in ed.exact_groups(df, bucket_rows=room, hash_of=few).collect()), key=repr)
+        assert got == plain(rows)
     kept = ed.exact_dedup(df)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _, k in plain(rows) if k}
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({t: i for (i, _, _, k), t in zip(plain_in_order(rows), folded(rows), strict=True) if k}.values(), key=repr)
+    twice = spark.createDataFrame([(1, "same", 5), (1, "same", 5), (2, "u", 6), (2, "v", 6), (3, "V", 7)], "doc_id long, text string, __keep long")
+    assert sorted(map(tuple, ed.exact_dedup(twice).collect())) == [(1, "same", 5), (2, "u", 6), (3, "V", 7)]
     assert ed.exact_groups(df.limit(0)).count() == 0
 
 
 def test_buckets_hold_key_ranges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = ed.build_index(docs, bucket_rows=20).collect()
+    for bits in (16, 2, 1):
+        check_buckets(ed.build_index(docs, bucket_rows=20, bits=bits).collect(), 20 if bits == 16 else 40)
+
+
+def check_buckets(rows, room):
     by = {}
     for r in rows:
         by.setdefault(r.bucket, []).append(r.h % (1 << 64))
     spans = sorted((min(v), max(v), len(v)) for v in by.values())
-    assert len(by) > 5 and all(n <= 20 for *_, n in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert len(by) > 5 and all(n <= room for *_, n in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
