@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,68 @@ def one_row_each(docs: DataFrame, kept: DataFrame, group: str, id_col: str, dige
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+BITS, PIECES = 1 << 26, 64
+
+
+def bit_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def bitmap(ids: DataFrame) -> dict[int, bytes]:
+    """ids (id: hashes) -> bits by which most others are told apart: 8 MB whatever their number, in compressed pieces, each
+    filled by one task. A bit that is not set proves that a hash is not among them."""
+    size = BITS // PIECES
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = bit_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            for p in np.unique(at // size).tolist():
+                own = pieces.setdefault(p, np.zeros(size, bool))
+                own[at[at // size == p] % size] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([zlib.compress(np.packbits(v, bitorder="little").tobytes(), 1) for v in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    dealt = ids.select("id", F.floor(F.col("id").bitwiseAND(BITS - 1) / size).alias("piece")).repartition(PIECES, "piece")
+    return {r.piece: bytes(r.bits) for r in dealt.select("id").mapInArrow(fill, "piece int, bits binary").collect()}
+
+
+def unpacked(pieces: dict[int, bytes]) -> np.ndarray:
+    out, size = np.zeros(BITS // 8, np.uint8), BITS // 8 // PIECES
+    for piece, bits in pieces.items():
+        out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(bits), np.uint8)
+    return out
+
+
+def marked(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in an unpacked bitmap."""
+    at = bit_of(h)
+    return (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def digests(data: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n x 2 int64) XXH3 digests of 128 bits of data[start:end]."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+def stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, a long, in stretches of about so many rows that cut no value of it."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            now = pa.Table.from_batches(kept)
+            key = now.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield now.slice(0, cut)
+            kept, n = now.slice(cut).to_batches(), now.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as the contracts say."""
     return F.translate(c, UPPER, LOWER)

@@ -17,7 +17,6 @@ choice of what stays. Other columns are not read, or come back as they were.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import OTHER_TABLE, flat, mix, partitions, prefix_hash, ragged, slices, span_hash, table, written
+from .common import bitmap, digests, flat, marked, mix, partitions, prefix_hash, ragged, slices, span_hash, table, unpacked, written
 from .components import components
 
 
@@ -187,37 +186,6 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, pos int, h1 long, h2 long")
 
 
-def bit_of(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(BITS - 1)).astype(np.int64)
-
-
-BITS, PIECES = 1 << 26, 64
-
-
-def bitmap(ids: DataFrame) -> dict[int, bytes]:
-    """Bits of the lines that meet others, 8 MB whatever their number, in compressed pieces, each filled by one task."""
-    size = BITS // PIECES
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = bit_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            for p in np.unique(at // size).tolist():
-                own = pieces.setdefault(p, np.zeros(size, bool))
-                own[at[at // size == p] % size] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([zlib.compress(np.packbits(v, bitorder="little").tobytes(), 1) for v in pieces.values()], pa.binary())], names=["piece", "bits"])
-
-    dealt = ids.select("id", F.floor(F.col("id").bitwiseAND(BITS - 1) / size).alias("piece")).repartition(PIECES, "piece")
-    return {r.piece: bytes(r.bits) for r in dealt.select("id").mapInArrow(fill, "piece int, bits binary").collect()}
-
-
-def unpacked(pieces: dict[int, bytes]) -> np.ndarray:
-    out, size = np.zeros(BITS // 8, np.uint8), BITS // 8 // PIECES
-    for piece, bits in pieces.items():
-        out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(bits), np.uint8)
-    return out
-
-
 def line_links(docs: DataFrame, text_col: str, edits: int, least: int, heavy: int) -> DataFrame:
     """(a, b): links of a spanning forest of each class, lines by the hexadecimal form of their hashes."""
     spark = docs.sparkSession

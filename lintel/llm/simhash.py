@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import flat, fold, mix, one_row_each, partitions, ragged, slices, table, words, written
+from .common import flat, fold, mix, one_row_each, partitions, ragged, slices, stretches, table, words, written
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -223,23 +223,6 @@ def candidates(key: np.ndarray, bits: np.ndarray, part: np.ndarray, far: int, ev
     yield rest, rest, True
 
 
-def stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
-    """Sorted rows (key first) in stretches of about so many rows that cut no key."""
-    kept: list[list[np.ndarray]] = []
-    n = 0
-    for batch in batches:
-        kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        n += batch.num_rows
-        if n >= rows:
-            now = [np.concatenate(x) for x in zip(*kept, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            kept, n = [[x[cut:] for x in now]], len(now[0]) - cut
-            if cut:
-                yield [x[:cut] for x in now]
-    if n:
-        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
-
-
 FOUND = "a long, b long, kind int, held array<long>"
 CROWDED = 1 << 16  # keys that are broadcast at most
 SURE, FIRST, SECOND = 0, 1, 2  # kinds: a link of two labels; candidates by the first and by the second fingerprint
@@ -264,13 +247,14 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind.astype(np.int32)), pa.nulls(len(a), pa.list_(pa.int64()))], names=names)
 
         names = ["a", "b", "kind", "held"]
-        for key, own, label in stretches(batches, rows):
+        for part in stretches(batches, rows):
+            key, own, label = (c.to_numpy() for c in part.columns)
             bits = own.view(np.uint64)
             known, at = np.unique(label, return_inverse=True)
-            part = sure_parts(key, bits, at, len(known), most)
-            moved = np.flatnonzero(part != np.arange(len(known)))
-            yield out(known[moved], known[part[moved]], np.full(len(moved), SURE))
-            for i, j, rest in candidates(key, bits, part[at], far, every) if far > most else ():
+            root = sure_parts(key, bits, at, len(known), most)
+            moved = np.flatnonzero(root != np.arange(len(known)))
+            yield out(known[moved], known[root[moved]], np.full(len(moved), SURE))
+            for i, j, rest in candidates(key, bits, root[at], far, every) if far > most else ():
                 kind = np.where(key[i] & OTHER, SECOND, FIRST)
                 if not rest:
                     x, y = np.minimum(bits[i], bits[j]), np.maximum(bits[i], bits[j])

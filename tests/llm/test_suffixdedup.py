@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import string
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lintel.llm import suffixdedup as sd
+from lintel.llm import windows
 
 
 def brute(texts, length):
@@ -40,6 +43,31 @@ def test_pieces(spark, seed):
     texts += [shared[0] * 3, "".join(shared), texts[20], word(40000) + shared[1]]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, dk int")
     same(sd.suffix_dedup(docs), texts, 400)
+    same(sd.suffix_dedup(docs, crowd=(1, 2, 5)[seed]), texts, 400)
+
+
+def test_a_text_that_is_read_in_parts(monkeypatch):
+    rng = random.Random(5)
+    passage = rng.randbytes(900)
+    whole = rng.randbytes(3000) + passage + rng.randbytes(5000) + passage + rng.randbytes(100) + passage[:399]
+    data = np.frombuffer(whole, np.uint8)
+    for most in (1 << 21, 1000, 401, 64):
+        got = {}
+        for text, start, n, m, place in zip(*windows.runs(data, np.array([0, 0, len(data)]), 400, 24, most), strict=True):
+            assert text == 1
+            got |= {int(start) + k: (int(m), int(place) - int(start) - k) for k in range(int(n))}
+        assert sorted(got) == list(range(len(data) - 399))
+        assert all(got[3000 + k] == got[8900 + k] for k in range(501))
+
+
+def test_a_very_long_text(spark):
+    """A passage beyond 16 MiB of a text is found again in another."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=1500))
+    long = "".join(rng.choices(string.printable[:64], k=17_000_000)) + passage + "end"
+    docs = spark.createDataFrame([(1, long), (2, "zz" + passage)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.begins, r.ends) for r in sd.suffix_dedup(docs).drop("kept").collect()}
+    assert got == {1: (17_001_503, 1500, [17_000_000], [17_001_500]), 2: (1502, 1500, [2], [1502])}
 
 
 def test_whole_table(spark):
