@@ -54,13 +54,21 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def one_row_each(docs: DataFrame, kept: DataFrame, group: str, id_col: str, digest: Column) -> DataFrame:
     """The rows of docs that stay when of each group one does. kept: (doc_id, h, group) of the rows that may stay, h being
     `digest` of a row. Of several a group has that with the smallest h; of rows that repeat id and h one is taken."""
+    keep_id, keep_h, many, own = (fresh(docs, x) for x in ("keep_id", "keep_h", "many", "own_h"))
     one = kept.groupBy(group).agg(F.min(F.struct("h", "doc_id")).alias("k"), F.count(F.lit(1)).alias("n"))
-    one = one.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.h").alias("__keep_h"), (F.col("n") > 1).alias("__keep_many"))
-    met = docs.withColumn("__own_h", digest).join(one, F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")) & F.col("__own_h").eqNullSafe(F.col("__keep_h")))
-    rows = met.where("NOT __keep_many").unionByName(met.where("__keep_many").dropDuplicates(["__keep_id", "__keep_h"]))
+    one = one.select(F.col("k.doc_id").alias(keep_id), F.col("k.h").alias(keep_h), (F.col("n") > 1).alias(many))
+    met = docs.withColumn(own, digest).join(one, F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)) & F.col(own).eqNullSafe(F.col(keep_h)))
+    rows = met.where(~F.col(many)).unionByName(met.where(many).dropDuplicates([keep_id, keep_h]))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -166,7 +174,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _R = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-OTHER_TABLE = mix(_TABLE ^ np.uint64(0x5DEECE66D1CE4E5B))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -180,10 +187,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["r"][:n], _powers["i"][:n]
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
-    """Prefix sums P with hash(data[a:b]) = mix((P[b] - P[a]) * R^-a); see span_hash. Another table: another hash."""
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix sums P with hash(data[a:b]) = mix((P[b] - P[a]) * R^-a); see span_hash. Strings of 1,024 bytes can be made that
+    collide whatever R is, so this groups what is compared later; see digests() for what stands for its bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * _power(len(data) or 1)[0][: len(data)], out=out[1:])
+    np.cumsum(_TABLE[data] * _power(len(data) or 1)[0][: len(data)], out=out[1:])
     return out
 
 

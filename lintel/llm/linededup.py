@@ -7,11 +7,12 @@ what is left from the right). Keys that only one line has end there. Lines that
 bit-parallel edit distance, breadth first and only with what is not yet reached, so that a bucket gives a forest of
 links, not its pairs. Crowded buckets are cut in blocks, a task for each pair of blocks.
 
-A line is known by 128 bits of hash. Texts of lines are fetched only for lines that met another under some key, by a
+A line is known by a digest of 128 bits. Keys that different lines share are found by a count that folds before it
+shuffles, and only their entries are made again and dealt. Texts of lines are fetched only for lines that met another under some key, by a
 second scan with a bitmap of fixed size.
 
-The first line of a class stays: the smallest doc_id, in it the first. Lines shorter than `least` bytes are left
-alone. Null counts as empty, and an empty text has one empty line. Rows that repeat a doc_id are one document for the
+The first line of a class stays: the smallest doc_id, in it the first. Lines shorter than `least` bytes are linked only if
+they are equal; empty lines are left alone. Lines of any length are compared whole, over a band of 64 rows. Null counts as empty, and an empty text has one empty line. Rows that repeat a doc_id are one document for the
 choice of what stays. Other columns are not read, or come back as they were.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, digests, flat, marked, mix, partitions, prefix_hash, ragged, slices, span_hash, table, unpacked, written
+from .common import bitmap, digests, flat, fresh, marked, mix, partitions, prefix_hash, ragged, slices, span_hash, table, unpacked, written
 from .components import components
 
 
@@ -69,15 +70,19 @@ def distance(a: bytes, b: bytes, most: int) -> int:
     a, b = a[: len(a) - n], b[: len(b) - n]
     if min(len(a), len(b)) <= 2 * most:
         return min(small_distance(a, b), most + 1) if max(len(a), len(b)) <= 4 * most + 4 else most + 1
-    at: dict[int, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
+    # of each symbol its last 64 rows and the column they were read in; row j + most enters the band with column j
+    seen: dict[int, tuple[int, int]] = {}
+    for i in range(min(most, len(a))):
+        bits, last = seen.get(a[i], (0, 0))
+        seen[a[i]] = bits | 1 << (63 - most + i), 0
     vp, vn, score, low = M64 << (63 - most) & M64, 0, most, 1 << 62
     turn = len(a) - most
     for j, y in enumerate(b):
-        rows = at.get(y, 0)
-        shift = j + most - 63
-        match = (rows >> shift if shift >= 0 else rows << -shift) & M64
+        if j + most < len(a):
+            bits, last = seen.get(a[j + most], (0, 0))
+            seen[a[j + most]] = (bits >> min(64, j - last) | 1 << 63), j
+        bits, last = seen.get(y, (0, 0))
+        match = bits >> min(64, j - last)
         d0 = (((match & vp) + vp & M64) ^ vp) | match | vn
         hp = (vn | ~(d0 | vp)) & M64
         hn = d0 & vp
@@ -127,20 +132,29 @@ def join_keys(data: np.ndarray, start: np.ndarray, n: np.ndarray, edits: int) ->
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(kinds)
 
 
+def histograms(lines: list[bytes]) -> np.ndarray:
+    """How often each byte, folded to 64 values, stands in each line."""
+    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.int64) & 63
+    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(row * 64 + data, minlength=64 * len(lines)).reshape(-1, 64).astype(np.int32)
+
+
 def forest(ids: list[str], lines: list[bytes], edits: int) -> list[tuple[str, str]]:
-    """Links of a spanning forest of "within `edits` edits" over the lines of a bucket."""
-    out, rest = [], list(range(len(ids)))
+    """Links of a spanning forest of "within `edits` edits" over the lines of a bucket. An edit changes at most two counts of
+    a line's bytes by one, so only lines whose counts are that near are compared."""
+    held = histograms(lines)
+    out, rest = [], np.arange(len(ids))
     while len(rest) > 1:
         stack, rest = [rest[0]], rest[1:]
-        while stack and rest:
-            x, left = stack.pop(), []
-            for y in rest:
-                if distance(lines[x], lines[y], edits) <= edits:
-                    out.append((ids[x], ids[y]))
-                    stack.append(y)
-                else:
-                    left.append(y)
-            rest = left
+        while stack and len(rest):
+            x = int(stack.pop())
+            near = np.flatnonzero(np.abs(held[rest] - held[x]).sum(1) <= 2 * edits)
+            hit = [n for n in near.tolist() if distance(lines[x], lines[rest[n]], edits) <= edits]
+            if hit:
+                got = rest[hit]
+                out += [(ids[x], ids[y]) for y in got.tolist()]
+                stack += got.tolist()
+                rest = np.delete(rest, hit)
     return out
 
 
@@ -162,13 +176,13 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, text, pos, starts, ends - starts
 
 
-def hashed_lines(texts: pa.Array, least: int, both: bool = True):
-    """(bytes, text, number, start, length, h1, h2) of the lines of at least `least` bytes."""
+def hashed_lines(texts: pa.Array, least: int):
+    """(bytes, text, number, start, length, h1, h2) of the lines of at least `least` bytes; h1, h2: a digest of 128 bits."""
     data, text, pos, start, n = lines_of(texts)
     ok = n >= least
     text, pos, start, n = text[ok], pos[ok], start[ok], n[ok]
-    h1 = span_hash(prefix_hash(data), start, start + n)
-    return data, text, pos, start, n, h1, span_hash(prefix_hash(data, OTHER_TABLE), start, start + n) if both else None
+    own = digests(memoryview(data.tobytes()), start, start + n).view(np.uint64)
+    return data, text, pos, start, n, own[:, 0], own[:, 1]
 
 
 SLICE = 1_900_000
@@ -191,20 +205,33 @@ def line_links(docs: DataFrame, text_col: str, edits: int, least: int, heavy: in
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                data, _, _, start, n, h1, _ = hashed_lines(part.column("text"), least, False)
-                _, one = np.unique(h1, return_index=True)
-                for lo in range(0, len(one), 8192):
-                    at = one[lo : lo + 8192]
-                    keys, rows, kinds = join_keys(data, start[at], n[at], edits)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h1[at][rows].view(np.int64)), pa.array(kinds)], names=["key", "id", "kind"])
-
-    by = W.partitionBy("key")
-    keyed = texts.mapInArrow(emit, "key long, id long, kind byte")
-    met = keyed.select("key", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.max("kind").over(by).alias("held"), F.count(F.lit(1)).over(by).alias("n"))
-    met = written(met.where("lo <> hi AND held = 1").select("key", "id", "n").distinct(), "met")
+    def emit(marks) -> DataFrame:
+        """(key, id, kind) of all keys of lines, or only of keys that have their bit in marks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = unpacked(marks.value) if marks else None
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    data, _, _, start, n, h1, _ = hashed_lines(part.column("text"), least)
+                    _, one = np.unique(h1, return_index=True)
+                    for lo in range(0, len(one), 8192):
+                        at = one[lo : lo + 8192]
+                        keys, rows, kinds = join_keys(data, start[at], n[at], edits)
+                        if known is not None:
+                            ok = marked(known, keys)
+                            keys, rows, kinds = keys[ok], rows[ok], kinds[ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h1[at][rows].view(np.int64)), pa.array(kinds)], names=["key", "id", "kind"])
+
+        return texts.mapInArrow(run, "key long, id long, kind byte")
+
+    # keys under which different lines meet: folded before the shuffle, so a hot key is a few rows
+    def meeting(keyed: DataFrame) -> DataFrame:
+        by = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("kind").alias("held"), F.count(F.lit(1)).alias("n"))
+        return by.where("lo <> hi AND held = 1").select("key", "n")
+
+    marks = spark.sparkContext.broadcast(bitmap(meeting(emit(None)).select(F.col("key").alias("id"))))
+    some = written(emit(marks).distinct(), "keys")
+    met = written(some.join(meeting(some), "key").select("key", "id", "n").distinct(), "met")
     marks = spark.sparkContext.broadcast(bitmap(met.select("id").distinct()))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +239,7 @@ def line_links(docs: DataFrame, text_col: str, edits: int, least: int, heavy: in
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 data, _, _, start, n, h1, h2 = hashed_lines(part.column("text"), least)
-                at = bit_of(h1)
-                ok = np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                ok = np.flatnonzero(marked(known, h1))
                 ok = ok[np.unique(h1[ok], return_index=True)[1]] if len(ok) else ok
                 raw = data.tobytes() if len(ok) else b""
                 yield pa.RecordBatch.from_arrays([pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array([raw[a : a + m] for a, m in zip(start[ok].tolist(), n[ok].tolist(), strict=True)], pa.binary())], names=["id", "h2", "line"])
@@ -247,7 +273,7 @@ def line_links(docs: DataFrame, text_col: str, edits: int, least: int, heavy: in
     return dealt.repartition(4 * partitions(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "a string, b string")
 
 
-def line_classes(docs: DataFrame, rows: DataFrame, text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 2000) -> DataFrame:
+def line_classes(docs: DataFrame, rows: DataFrame, text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 8192) -> DataFrame:
     """(h1, h2, root, first_doc): lines that are not alone in their class, and its first document. rows: occurrences(docs)."""
     lines = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     lines = lines.withColumn("v", F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
@@ -258,9 +284,9 @@ def line_classes(docs: DataFrame, rows: DataFrame, text_col: str = "text", edits
     return rooted.join(firsts, "root").select("h1", "h2", "root", F.col("first").alias("first_doc"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 2000) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, heavy: int = 8192) -> DataFrame:
     """(doc_id, n_dropped, dropped): the 0-based numbers of the lines that go, for documents that lose any."""
-    made = written(occurrences(docs, id_col, text_col, least), "occurrences")
+    made = written(occurrences(docs, id_col, text_col, 1), "occurrences")
     classes = line_classes(docs, made, text_col, edits, least, heavy)
     rows = made.join(classes, ["h1", "h2"]).select("doc_id", "pos", "root", "first_doc")
     gone = rows.withColumn("at", F.min("pos").over(W.partitionBy("doc_id", "root"))).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("at"))))
@@ -269,10 +295,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
     """docs with the lines that go taken out of their texts; all columns stay."""
-    gone = dropped_lines(docs, id_col, text_col, edits, least).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    return out.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    own, lost = fresh(docs, "own_id"), fresh(docs, "lost_lines")
+    gone = dropped_lines(docs, id_col, text_col, edits, least).select(F.col("doc_id").alias(own), F.col("dropped").alias(lost))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left")
+    return out.withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
 
 
 def op6_line_dedup(spark, sf_dir):

@@ -54,7 +54,7 @@ def test_lines_of():
 
 
 def brute(rows, edits=2, least=24):
-    occ = [(d, p, x) for d, t in rows for p, x in enumerate((t or "").split("\n")) if len(x.encode()) >= least]
+    occ = [(d, p, x) for d, t in rows for p, x in enumerate((t or "").split("\n")) if x]
     lines = sorted({x for _, _, x in occ})
     root = {x: x for x in lines}
 
@@ -65,6 +65,8 @@ def brute(rows, edits=2, least=24):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
+            if min(len(a.encode()), len(b.encode())) < least:
+                continue
             if ld.small_distance(a.encode(), b.encode()) <= edits if abs(len(a.encode()) - len(b.encode())) <= edits else False:
                 root[find(a)] = find(b)
     first = {}
@@ -85,3 +87,21 @@ def test_against_brute_force(spark):
     out = {r.doc_id: r.text for r in ld.line_dedup(docs).collect()}
     assert out[100] is None and out[102] == "\n\n" and out[104] == "" and ld.line_dedup(docs).columns == docs.columns
     assert ld.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_lines_that_collide_under_a_polynomial(spark):
+    """Thue-Morse words of 1,024 bytes and their complements have equal polynomial hashes modulo 2^64 in any base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    docs = spark.createDataFrame([(1, word), (2, word.translate({97: "b", 98: "a"})), (3, word), (4, "short"), (5, "short\nshorn")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in ld.dropped_lines(docs).collect()} == {3: [0], 5: [0]}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a line of some bytes, long enough", 7, 8, 9), (2, "a line of some bytes, long enough", 7, 8, 9)], "doc_id long, text string, __dropped int, own_id int, lost_lines int")
+    assert sorted(map(tuple, ld.line_dedup(docs).collect())) == [(1, "a line of some bytes, long enough", 7, 8, 9), (2, "", 7, 8, 9)]
+
+
+def test_long_distance():
+    rng = random.Random(2)
+    a = bytes(rng.choices(b"abcd", k=100_000))
+    assert ld.distance(a, edit(rng, edit(rng, a, 1), 1), 2) <= 2 and ld.distance(a, a[::-1], 2) == 3
