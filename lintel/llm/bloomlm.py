@@ -2,7 +2,7 @@
 
 Counting: one pass over all training documents hashes words and word pairs to 64 bits, adds up what a slice holds and
 deals the sums by segments of the hash range; each segment's task adds up its share and quantises counts to levels
-(1 + floor(log2 count)). Pairs seen once are left out, a fixed cutoff.
+(1 + floor(log2 count)). Every n-gram is kept, those seen once too. There are more segments where there is more text.
 
 Filter: an n-gram of level q is put in under levels 1 to q, so a level is read by membership probes that go up until one
 fails. Every segment fills a bit array of its own (`BITS` bits an entry); the filter is their concatenation and holds every
@@ -10,12 +10,14 @@ level at any size. Up to `most_bytes` it goes to every worker; a larger one stay
 million tokens at a time are asked of their segments' tasks, which look in the same bits, so both ways score alike.
 
 Probability of a word after another: a mixture of pair and word estimates from the quantised counts, the mixture's
-weight being the one that gives the training documents, each pair taken out once, the highest probability.
+weight being the one that gives the training documents, each token and pair taken out once, the highest probability. A
+score itself takes nothing out: equal texts score equal, trained or held out.
 
 Base score: exact counts. The most frequent words' counts (at most `dictionary` of them) go to every worker; the rest
 are asked of their segment's task, which adds up each document's share.
 
-Null counts as empty; an empty text is its end token alone. Repeated rows are scored one by one, and count as
+Null counts as empty; an empty text is its end token alone. Texts of any length are scored whole, a slice of rows at a time.
+A word is known by 64 bits of hash, those of more than 64 bytes by a digest. Repeated rows are scored one by one, and count as
 training rows of their own. Without training rows all counts are zero. Null ids train. Other columns are not read.
 """
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +37,10 @@ from .common import flat, fold, mix, partitions, prefix_hash, slices, span_hash,
 
 END = np.uint64(0x5851F42D4C957F2D)
 PROBES, BITS = 6, 9
+LONG = 64
 WEIGHTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8)
 LEVELS = 48
+SEGMENT = 1 << 30  # bytes of training text a segment's task counts, where there are that many
 
 
 def training(c: Column, fold_: int = 7, at: int = 2) -> Column:
@@ -47,8 +52,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(texts)
     data = fold(data)
     starts, ends, per = words(data, offsets)
+    own = span_hash(prefix_hash(data), starts, ends)
+    long = np.flatnonzero(ends - starts > LONG)  # beyond that words can be made that collide under the fast hash
+    if len(long):
+        raw = memoryview(data.tobytes())
+        own[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
     out = np.full(len(starts) + len(per), END)
-    out[np.arange(len(starts)) + np.repeat(np.arange(len(per)), per)] = span_hash(prefix_hash(data), starts, ends)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(per)), per)] = own
     return out, per + 1
 
 
@@ -75,6 +85,25 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
 
 
+class Folded:
+    """Sums of (keys, counts) blobs; what waits to be added up is bounded, whatever their number."""
+
+    def __init__(self, most: int = 1 << 21) -> None:
+        self.keys, self.counts, self.waiting, self.n, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, most
+
+    def add(self, keys: bytes, counts: bytes) -> None:
+        self.waiting.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)))
+        self.n += len(self.waiting[-1][0])
+        if self.n >= max(self.most, len(self.keys)):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self.keys, self.counts = summed(np.concatenate([self.keys, *(x for x, _ in self.waiting)]), np.concatenate([self.counts, *(x for _, x in self.waiting)]))
+            self.waiting, self.n = [], 0
+        return self.keys, self.counts
+
+
 def middle(level: np.ndarray) -> np.ndarray:
     """The mean of the counts of a level, 0 for level 0."""
     top = 2.0 ** np.asarray(level, np.float64)
@@ -115,21 +144,28 @@ def count_table(docs: DataFrame, n_segments: int, slice_bytes: int = 1_900_000,
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.int32())] + [pa.array([cut(a, to, i, kind) for i in every], pa.binary()) for a, to, kind in ((w, wb, np.uint64), (wn, wb, np.uint32), (b, bb, np.uint64), (bn, bb, np.uint32))], names=["seg", "w", "wn", "b", "bn"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for batch in batches:
-            for seg, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                by.setdefault(seg, []).append(blobs)
-        for seg in sorted(by):
-            got = by.pop(seg)
-            join = lambda i, kind: np.frombuffer(b"".join(x[i] for x in got), kind)
-            w, wn = summed(join(0, np.uint64), join(1, np.uint32).astype(np.int64))
-            b, bn = summed(join(2, np.uint64), join(3, np.uint32).astype(np.int64))
-            b, bl, wl = b[bn > 1], levels(bn[bn > 1]), levels(wn)
+        at, words_, pairs = None, Folded(), Folded()
+
+        def done() -> pa.RecordBatch:
+            (w, wn), (b, bn) = words_.sums(), pairs.sums()
+            bl, wl = levels(bn), levels(wn)
             hist = lambda x: np.bincount(x, minlength=LEVELS).tolist()
-            yield pa.RecordBatch.from_pylist([{"seg": seg, "words": w.tobytes(), "word_n": wn.tobytes(), "pairs": b.tobytes(), "pair_level": bl.tobytes(), "n": int(wn.sum()), "v": len(w), "word_hist": hist(wl), "pair_hist": hist(bl)}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"seg": at, "words": w.tobytes(), "word_n": wn.tobytes(), "pairs": b.tobytes(), "pair_level": bl.tobytes(), "n": int(wn.sum()), "v": len(w), "word_hist": hist(wl), "pair_hist": hist(bl)}], schema=schema)
+
+        for batch in batches:  # sorted by segment
+            for i in range(batch.num_rows):
+                seg, w, wn, b, bn = (batch.column(k)[i].as_py() for k in range(5))
+                if at is not None and seg != at:
+                    yield done()
+                    words_, pairs = Folded(), Folded()
+                at = seg
+                words_.add(w, wn)
+                pairs.add(b, bn)
+        if at is not None:
+            yield done()
 
     schema = pa.schema([("seg", pa.int32()), ("words", pa.binary()), ("word_n", pa.binary()), ("pairs", pa.binary()), ("pair_level", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("word_hist", pa.list_(pa.int64())), ("pair_hist", pa.list_(pa.int64()))])
-    parts = docs.mapInArrow(local, "seg int, w binary, wn binary, b binary, bn binary").repartition(n_segments, "seg")
+    parts = docs.mapInArrow(local, "seg int, w binary, wn binary, b binary, bn binary").repartition(n_segments, "seg").sortWithinPartitions("seg")
     return written(parts.mapInArrow(total, "seg int, words binary, word_n binary, pairs binary, pair_level binary, n long, v long, word_hist array<long>, pair_hist array<long>"), "ngrams")
 
 
@@ -173,32 +209,18 @@ class Filter:
         return out
 
 
-def segment_bits(words_: np.ndarray, word_level: np.ndarray, pairs: np.ndarray, pair_level: np.ndarray, least: tuple[int, int]) -> tuple[bytes, int]:
-    """One segment's bit array and its size; least: the lowest level that goes in, of words and of pairs."""
-    entries = [(word_key(words_), word_level, least[0]), (pairs, pair_level, least[1])]
-    total = sum(int(lv[lv >= lo].astype(np.int64).sum()) for _, lv, lo in entries)
-    size = -(-total * BITS // 64) * 64
+def segment_bits(words_: np.ndarray, word_level: np.ndarray, pairs: np.ndarray, pair_level: np.ndarray) -> tuple[bytes, int]:
+    """One segment's bit array and its size."""
+    entries = [(word_key(words_), word_level), (pairs, pair_level)]
+    size = -(-sum(int(lv.astype(np.int64).sum()) for _, lv in entries) * BITS // 64) * 64
     bits = np.zeros(size, bool)
-    for keys, lv, lo in entries:
-        for q in range(1, LEVELS):
-            own = keys[(lv >= q) & (lv >= lo)]
-            if not len(own):
-                continue
-            for place in places(own, q, np.uint64(size)):
+    for keys, lv in entries:
+        for q in range(1, int(lv.max(initial=0)) + 1):
+            for place in places(keys[lv >= q], q, np.uint64(size)):
                 bits[place.astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes(), size
 
 
-def fitting(word_hist: list[int], pair_hist: list[int], most_bytes: int) -> tuple[int, int]:
-    """Lowest levels to keep so that the filter stays within most_bytes."""
-    need = lambda hist, lo: sum(n * q for q, n in enumerate(hist) if q >= lo) * BITS / 8
-    for lo in range(1, LEVELS):
-        for word_lo, pair_lo in ((max(1, lo - 1), lo), (lo, lo)):
-            if need(word_hist, word_lo) + need(pair_hist, pair_lo) <= most_bytes:
-                return word_lo, pair_lo
-    return LEVELS, LEVELS
-
-
 class Model:
     """What the workers get: the filter (None: its segments are in the count table), the frequent words' exact counts, N and V."""
 
@@ -213,16 +235,22 @@ class Model:
         at = np.minimum(np.searchsorted(self.frequent, tok), len(self.frequent) - 1)
         return np.where(self.frequent[at] == tok, self.counts[at], -1)
 
-    def log_probs(self, tok: np.ndarray, per: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """(weights x texts) log10 probabilities; own: 1 for texts the counts hold, whose pairs are taken out once."""
-        if not len(per):
-            return np.zeros((len(WEIGHTS), 0))
+    def log_probs(self, tok: np.ndarray, per: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """See both_ways()."""
         distinct, at = np.unique(tok, return_inverse=True)
         keys, pat = np.unique(pair_keys(tok, per), return_inverse=True)
-        return self.mixture(self.filter.level(word_key(distinct), distinct)[at], self.filter.level(keys, keys)[pat], per, own)
+        return self.both_ways(self.filter.level(word_key(distinct), distinct)[at], self.filter.level(keys, keys)[pat], per, own)
+
+    def both_ways(self, lv: np.ndarray, pl: np.ndarray, per: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((weights x texts) log10 probabilities, their sums over texts that the counts hold (own 1) when each token and
+        pair of such a text is taken out once). The sums choose the weight; a text's score does not know where it is from."""
+        if not len(per):
+            return np.zeros((len(WEIGHTS), 0)), np.zeros(len(WEIGHTS))
+        less = self.mixture(lv, pl, per, own)[:, own == 1].sum(1) if own.any() else np.zeros(len(WEIGHTS))
+        return self.mixture(lv, pl, per, np.zeros_like(own)), less
 
     def mixture(self, lv: np.ndarray, pl: np.ndarray, per: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """log_probs() from the levels of the tokens and of their pairs, for one text at least."""
+        """(weights x texts) from the levels of the tokens and of their pairs, for one text at least; own: taken out so often."""
         # words at the middle of their level, over the sum of all middles: a distribution. Pairs at the bottom of
         # theirs, over the top of their first word's: the followers of a word never add up to more than 1.
         begin, once = np.cumsum(per) - per, np.repeat(own, per)
@@ -237,12 +265,14 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None, most_bytes: int = 64 << 20, dictionary: int = 1 << 19) -> tuple[Model, DataFrame]:
     """(model, count table) of training documents; the table has the filter's segments too if the model has no filter."""
-    spark = docs.sparkSession
-    table_ = count_table(docs.select(F.col(text_col).alias("text")), n_segments or 4 * partitions(spark))
+    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
+    if n_segments is None:
+        n_segments = max(4 * partitions(spark), -(-int(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SEGMENT))
+    table_ = count_table(texts, n_segments)
     hist = table_.agg(F.sum("n"), F.sum("v"), *(F.sum(F.col(c)[i]) for c in ("word_hist", "pair_hist") for i in range(LEVELS))).first()
     n, v, *hists = (int(x or 0) for x in hist)
     word_hist, pair_hist = hists[:LEVELS], hists[LEVELS:]
-    sent = fitting(word_hist, pair_hist, most_bytes) == (1, 1)
+    sent = sum(q * (a + b) for q, (a, b) in enumerate(zip(word_hist, pair_hist, strict=True))) * BITS / 8 <= most_bytes
     floor_ = next((q for q in range(1, LEVELS) if sum(word_hist[q:]) <= dictionary), LEVELS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +280,7 @@ def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None,
             for seg, w, wn, b, bl in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 w, wn = np.frombuffer(w, np.uint64), np.frombuffer(wn, np.int64)
                 lv = levels(wn)
-                bits, size = segment_bits(w, lv, np.frombuffer(b, np.uint64), np.frombuffer(bl, np.uint8), (1, 1))
+                bits, size = segment_bits(w, lv, np.frombuffer(b, np.uint64), np.frombuffer(bl, np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits]), pa.array([size]), pa.array([w[lv >= floor_].tobytes()]), pa.array([wn[lv >= floor_].tobytes()])], names=["seg", "bits", "size", "w", "wn"])
 
     built = table_.select("seg", "words", "word_n", "pairs", "pair_level").mapInArrow(build, "seg int, bits binary, size long, w binary, wn binary")
@@ -278,7 +308,7 @@ def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_
         for rows, tok, per in chunks(batches, slice_bytes, most_tokens):
             own = np.concatenate([r.column("trained").to_numpy(zero_copy_only=False) for r in rows]).astype(np.int64)
             size = len(per)
-            logs = m.log_probs(tok, per, own) if m.filter else np.zeros((len(WEIGHTS), size))
+            logs, less = m.log_probs(tok, per, own) if m.filter else (np.zeros((len(WEIGHTS), size)), np.zeros(len(WEIGHTS)))
             c = m.exact(tok)
             row = np.repeat(np.arange(len(per)), per)
             ids = pa.chunked_array([r.column("doc_id") for r in rows]).combine_chunks()
@@ -286,6 +316,7 @@ def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_
                 pa.array(base + np.arange(size)), ids, pa.array(own == 1), pa.array(per), pa.array(np.bincount(row, c > 0, size).astype(np.int64)), pa.array(np.bincount(row, np.log10(np.maximum(c, 0) + 1.0), size)),
                 pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * len(WEIGHTS), pa.int32()), pa.array(logs.T.ravel())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), pa.array(["text"] * size, pa.string()),
             ], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([base]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), *(pa.nulls(1, pa.int64()) for _ in range(2)), pa.nulls(1, pa.float64()), pa.array([less], pa.list_(pa.float64())), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array(["fit"])], names=names)
             rare = np.flatnonzero(c < 0)
             rare = rare[np.argsort(tok[rare], kind="stable")]
             cut = segments(tok[rare], n_segments)
@@ -327,11 +358,13 @@ def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_
     def mixed(body: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("seg")
         lw, lb = (np.frombuffer(b"".join(told[c]), np.uint8).astype(np.int64) for c in ("w", "b"))
-        out = {"row": [], "scores": []}
+        out: dict[str, list] = {"row": [], "scores": [], "kind": []}
         for base, keys, at in zip(body["row"], body["keys"], body["at"], strict=True):
             (w, b), (per, own) = np.frombuffer(keys, np.int32).reshape(2, -1), np.frombuffer(at, np.int64).reshape(2, -1)
-            out["scores"] += sent.value.mixture(lw[w], lb[b], per, own).T.tolist()
-            out["row"] += (base + np.arange(len(per))).tolist()
+            logs, less = sent.value.both_ways(lw[w], lb[b], per, own)
+            out["scores"] += [*logs.T.tolist(), less.tolist()]
+            out["row"] += [*(base + np.arange(len(per))).tolist(), base]
+            out["kind"] += ["text"] * len(per) + ["fit"]
         return pd.DataFrame(out)
 
     asked = made.where("kind = 'rare'").select("seg", "row", "keys", "at")
@@ -340,9 +373,10 @@ def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_
     rows = made.where("kind = 'text'")
     if not model.filter:
         level = made.where("kind = 'probe'").select("seg", "row", "keys", "at").groupBy("seg").cogroup(table_.select("seg", "bits", "size").groupBy("seg")).applyInPandas(probe, "row long, seg int, w binary, b binary")
-        got = made.where("kind = 'body'").select("row", "keys", "at").groupBy("row").cogroup(level.groupBy("row")).applyInPandas(mixed, "row long, scores array<double>")
-        rows = rows.drop("scores").join(written(got, "lm-scores"), "row")
-    sums = rows.where("trained").agg(*(F.sum(F.col("scores")[i]) for i in range(len(WEIGHTS)))).first()
+        got = made.where("kind = 'body'").select("row", "keys", "at").groupBy("row").cogroup(level.groupBy("row")).applyInPandas(mixed, "row long, scores array<double>, kind string")
+        got = written(got, "lm-scores")
+        rows = rows.drop("scores").join(got.where("kind = 'text'").drop("kind"), "row")
+    sums = (made if model.filter else got).where("kind = 'fit'").agg(*(F.sum(F.col("scores")[i]) for i in range(len(WEIGHTS)))).first()
     best = max(range(len(WEIGHTS)), key=lambda i: sums[i] if sums[i] is not None else 0.0)
     below = float(np.log10(model.n + model.v + 1))
     known, logs = F.col("known") + F.coalesce("more", F.lit(0)), F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
