@@ -5,21 +5,23 @@ scale that is fitted on a bounded sample. A query visits its own bucket and then
 order of their estimated success: the sets of small perturbations come from the expected squared distances of sorted
 cell borders, and each query fills in its own borders. Candidates of all tables are merged and ranked by exact distance.
 
-Queries in blocks meet the rows in shards of bounded size, one task for each pair; a task indexes its shard, probes
-it and returns the nearest it found, so neither all candidates nor a bucket's pairs leave a task. A vector that many
-rows repeat stands for its smallest ids only, as many as can be among the nearest. A query that found too few is
-answered by comparing it with every row, in the same blocks and shards.
+Rows are dealt once, in shards of bounded size; a task indexes its shard once and the queries come past it in batches, so
+its memory follows neither the table nor the query set, and neither all candidates nor a bucket's pairs leave a task: only
+each query's nearest of the shard do. A vector that many rows repeat stands for its smallest ids only, as many as can be
+among the nearest. A query that found too few is answered by comparing it with every row, past the same shards.
 
 Vectors that are null, zero, or hold null, NaN or infinite parts take no part, nor do null ids; vectors of another
-length are no candidates. A row that repeats id and vector counts once. Ties go to the smaller id.
+length are no candidates. A row that repeats id and vector counts once. Ties go to the smaller id. Vectors of any
+length are read whole. Other columns are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,21 +75,43 @@ class Hash:
             return np.stack([base + sum((step[:, j - 1] for j in s), np.zeros(len(q), np.int64)) for s in self.sets], 1)
 
 
+class Index:
+    """The buckets of all tables over the rows of a shard, built once: rows in the order of their keys."""
+
+    def __init__(self, h: Hash, x: np.ndarray) -> None:
+        self.h, self.n, self.keys, self.order = h, len(x), [], []
+        for t in range(h.tables):
+            keys = h.keys(x, t)
+            order = np.argsort(keys, kind="stable")
+            self.keys.append(keys[order])
+            self.order.append(order.astype(np.int32))
+
+    def candidates(self, q: np.ndarray) -> list[np.ndarray]:
+        """Rows that each query's probes meet in any table."""
+        cut = max(1, (1 << 25) // max(1, self.n))
+        if len(q) > cut:
+            return [c for i in range(0, len(q), cut) for c in self.candidates(q[i : i + cut])]
+        hit = np.zeros((len(q), self.n), bool)
+        for t in range(self.h.tables):
+            probe = self.h.probe_keys(q, t)
+            lo, hi = np.searchsorted(self.keys[t], probe, "left"), np.searchsorted(self.keys[t], probe, "right")
+            row, _ = ragged((hi - lo).sum(1))
+            span, inner = ragged((hi - lo).ravel())
+            hit[row, self.order[t][lo.ravel()[span] + inner]] = True
+        return [np.flatnonzero(r) for r in hit]
+
+
 def candidates(h: Hash, x: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
-    """Rows of x that each query's probes meet."""
-    hit = np.zeros((len(q), len(x)), bool) if len(q) * len(x) <= 1 << 26 else None
-    if hit is None:
-        cut = max(1, (1 << 26) // len(x))
-        return [c for i in range(0, len(q), cut) for c in candidates(h, x, q[i : i + cut])]
-    for t in range(h.tables):
-        keys = h.keys(x, t)
-        order = np.argsort(keys, kind="stable")
-        probe = h.probe_keys(q, t)
-        lo, hi = np.searchsorted(keys[order], probe, "left"), np.searchsorted(keys[order], probe, "right")
-        row, place = ragged((hi - lo).sum(1))
-        span, inner = ragged((hi - lo).ravel())
-        hit[row, order[lo.ravel()[span] + inner]] = True
-    return [np.flatnonzero(r) for r in hit]
+    return Index(h, x).candidates(q)
+
+
+def by_length(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of a batch's rows (id, v) by the length of their vectors."""
+    ids, v = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
+    off = np.asarray(v.offsets)
+    values = v.values.to_numpy(zero_copy_only=False)
+    size = np.diff(off)
+    return {int(d): (ids[size == d], values[off[:-1][size == d][:, None] + np.arange(d)]) for d in np.unique(size)}
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, found: list[np.ndarray] | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +138,7 @@ def fitted_scale(rows: DataFrame, n: int, k: int, sample: int, dim: int, seed: i
     return float(d[d > 1e-9].mean()) if (d > 1e-9).any() else 1.0
 
 
-def ann_search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 56, width: int = 10, cell: float = 1.65, probes: int = 80, sample: int = 1000, shard_rows: int = 20000, block_rows: int = 4096, seed: int = 5) -> DataFrame:
+def ann_search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 56, width: int = 10, cell: float = 1.65, probes: int = 80, sample: int = 1000, shard_rows: int = 10000, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by `every`, against all rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)).distinct()
@@ -122,28 +146,40 @@ def ann_search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str =
     # of equal vectors only the k + 1 smallest ids can be among a query's k nearest
     stand = written(rows.selectExpr("*", "row_number() OVER (PARTITION BY v ORDER BY id) AS nth").where(F.col("nth") <= k + 1).drop("nth"), "stand-ins")
     asks = rows.where(F.col("id") % every == 0)
-    n, nq = stand.count(), asks.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
+    n = stand.count()
+    shards = max(1, -(-n // shard_rows))
     dims = {r.d: fitted_scale(stand, n, k, sample, r.d, seed) for r in stand.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(64).collect()}
 
     def search(every_row: bool):
-        def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
-            have, want = held["v"].map(len), asked["v"].map(len)
-            for dim in sorted(set(want)):
-                h, a = held[have == dim], asked[want == dim]
-                if len(h):
-                    x, q = np.array(h["v"].tolist(), np.float64), np.array(a["v"].tolist(), np.float64)
-                    found = None if every_row or dim not in dims else candidates(Hash(dim, dims[dim], tables, width, cell, probes, seed), x, q)
-                    out.append(nearest(x, h["id"].to_numpy(), q, a["id"].to_numpy(), found, k))
-            return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held, ready = None, {}, {}
+            for batch in batches:  # by shard; in each its rows, then the queries
+                shard, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "ask"))
+                cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    if lo == hi:
+                        continue
+                    if shard[lo] != at:
+                        at, held, ready = shard[lo], {}, {}
+                    for dim, (ids, v) in by_length(batch.slice(lo, hi - lo)).items():
+                        if not asks[lo]:
+                            held.setdefault(dim, []).append((ids, v))
+                            continue
+                        if dim not in held:
+                            continue
+                        if dim not in ready:
+                            own, x = (np.concatenate(p) for p in zip(*held[dim], strict=True))
+                            ready[dim] = own, x, None if every_row or dim not in dims else Index(Hash(dim, dims[dim], tables, width, cell, probes, seed), x)
+                        own, x, index = ready[dim]
+                        got = nearest(x, own, v, ids, index.candidates(v) if index else None, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
 
         return run
 
     def answers(queries: DataFrame, every_row: bool) -> DataFrame:
-        left = stand.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        got = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search(every_row), "query_id long, vec_id long, score double")
+        rows = stand.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("ask"), "id", "v")
+        rows = rows.unionByName(queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("ask"), "id", "v"))
+        got = rows.repartition(shards, "shard").sortWithinPartitions("shard", "ask").mapInArrow(search(every_row), "query_id long, vec_id long, score double")
         return got.selectExpr("*", "row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank").where(F.col("rank") <= k)
 
     first = written(answers(asks, False), "neighbours")

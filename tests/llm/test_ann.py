@@ -42,7 +42,7 @@ def test_odd_vectors(spark):
     assert set(got) == {0, 100, 300, 1000} and got[0] == [100, 1, *range(1000, 1008)] and got[300] == [7]
     assert got[1000] == [*range(1001, 1011)]
     assert ann.ann_search(df.limit(0)).count() == 0
-    split = ann.ann_search(df, shard_rows=7, block_rows=1)
+    split = ann.ann_search(df, shard_rows=7)
     assert {(r.query_id, r.vec_id) for r in split.collect()} == {(q, v) for q, vs in got.items() for v in vs}
 
 
