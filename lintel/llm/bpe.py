@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding with a lexicon of frequent words in a minimal acyclic transducer.
 
 The corpus's words are counted over all documents; the most frequent `lexicon_words` are encoded once and compiled
-into the transducer, whose image (a bounded size) goes to the workers, which memory-map it. A slice of text is cut
+into the transducer, whose image (a bounded size) is a file of the shared folder that the workers memory-map. A slice of text is cut
 into pre-tokens, its distinct pre-tokens are walked through the transducer together, and those it does not hold are
 merged exactly, all at once: each round finds every word's lowest-ranked pair and merges it. The lexicon only saves
 work; no result depends on it.
 
 The special token's text is the special id, as in the tokenizer's own default. Null counts as empty; an empty text
-has no ids. Repeated rows are encoded one by one, other columns are not read.
+has no ids. Texts of any length are encoded whole. Repeated rows are encoded one by one, other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, flat, ragged, slices, table, written
-from .transducer import compile_words, mapped
+from .common import dropped, filesystem, flat, ragged, scratch, slices, table, written
+from .transducer import Transducer, compile_words, mapped
 
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NONE = 1 << 40
@@ -146,7 +147,7 @@ def pretokens(m: Merges, text: str) -> list[str]:
     return PRETOKEN.findall(text)
 
 
-def encode_batch(m: Merges, image: bytes, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def encode_batch(m: Merges, lexicon: Transducer, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(pre-token number of every pre-token, pre-tokens per text, distinct pre-tokens, flat ids of those, offsets, counts)."""
     found, per = [], []
     for t in texts:
@@ -157,7 +158,6 @@ def encode_batch(m: Merges, image: bytes, texts: list[str]) -> tuple[np.ndarray,
     distinct = coded.dictionary
     data, off = flat(distinct)
     starts, ends = off[:-1], off[1:]
-    lexicon = mapped(image)
     number = lexicon.lookup(data, starts, ends)
     counts = np.zeros(len(distinct), np.int64)
     known = np.flatnonzero(number >= 0)
@@ -221,14 +221,17 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     vocabulary: path of a byte-level BPE file that every worker has; it is opened there, never shipped."""
     spark = docs.sparkSession
-    image = spark.sparkContext.broadcast(build_lexicon(merges(vocabulary), frequent_words(docs, text_col, lexicon_words)))
+    lexicon_file = scratch(spark, "lexicon")
+    fs, path = filesystem(lexicon_file)
+    with fs.open_output_stream(path) as out:
+        out.write(build_lexicon(merges(vocabulary), frequent_words(docs, text_col, lexicon_words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(vocabulary)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 texts = part.column("text").fill_null("").to_pylist()
-                which, per, _, ids, offsets, counts = encode_batch(m, image.value, texts)
+                which, per, _, ids, offsets, counts = encode_batch(m, mapped(lexicon_file), texts)
                 lens = counts[which]
                 ends = np.concatenate(([0], np.cumsum(per)))
                 tokens = np.concatenate(([0], np.cumsum(lens)))[ends]

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made() -> int:
+    """How many paths this driver has made so far; see released()."""
+    return len(_made)
+
+
+def released(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes what was made in the shared folder since then, but for the tables given. Only for those who know that nothing
+    else that is still to run reads it: a lazy result reads its operator's tables."""
+    kept = {x.rsplit("/", 2)[-2] for df in keep for x in df.inputFiles()}
+    for path in _made[since:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            delete(spark, path)
+            _made.remove(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path of the shared folder, for workers, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,10 +79,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by written(), once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        delete(df.sparkSession, f)
 
 
 def fresh(docs: DataFrame, name: str) -> str:

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, digests, dropped, flat, marked, partitions, scratch, slices, stretches, table, unpacked, written
+from .common import bitmap, digests, dropped, filesystem, flat, marked, partitions, scratch, slices, stretches, table, unpacked, written
 from .windows import pieces, runs
 
 
@@ -45,7 +44,7 @@ class Columns:
     `block` strings one after the other, column by column in each."""
 
     def __init__(self, folder: str, strings: list[bytes], first: np.ndarray, columns: int, block: int = 2048, panel: int = 32) -> None:
-        self.fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        self.fs, base = filesystem(folder)
         self.fs.create_dir(base, recursive=True)
         self.path, self.n, self.columns, self.block, self.panel = f"{base}/{uuid.uuid4().hex}", len(strings), columns, block, panel
         with self.fs.open_output_stream(self.path) as out:

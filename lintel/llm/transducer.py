@@ -7,13 +7,10 @@ walks all words of a batch at once, one byte a round.
 
 from __future__ import annotations
 
-import contextlib
-import glob
-import hashlib
-import os
-import tempfile
-
 import numpy as np
+from pyarrow.fs import LocalFileSystem
+
+from .common import filesystem
 
 
 def compile_words(entries: dict[bytes, list[int]]) -> bytes:
@@ -65,10 +62,9 @@ def compile_words(entries: dict[bytes, list[int]]) -> bytes:
 
 
 class Transducer:
-    """A compiled lexicon, mapped from a file."""
+    """A compiled lexicon over its image."""
 
-    def __init__(self, path: str) -> None:
-        whole = np.memmap(path, np.int64, "r")
+    def __init__(self, whole: np.ndarray) -> None:
         self.root, at, parts = int(whole[0]), 7, []
         for n in whole[1:7]:
             parts.append(whole[at : at + int(n)])
@@ -102,19 +98,15 @@ class Transducer:
 _open: dict[str, Transducer] = {}
 
 
-def mapped(image: bytes) -> Transducer:
-    """The image as a memory-mapped file of this machine, written once and shared by its workers."""
-    name = hashlib.sha256(image).hexdigest()[:32]
-    if name not in _open:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}.bin")
-        if not os.path.exists(path):
-            fd, part = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(fd, "wb") as f:
-                f.write(image)
-            for old in glob.glob(os.path.join(tempfile.gettempdir(), "lexicon-*.bin")):  # one lexicon a machine; those mapped stay readable
-                with contextlib.suppress(FileNotFoundError):
-                    os.unlink(old)
-            os.replace(part, path)
+def mapped(path: str) -> Transducer:
+    """The image at a path of the shared folder, memory-mapped where the folder is mounted, else read."""
+    if path not in _open:
+        fs, own = filesystem(path)
+        if isinstance(fs, LocalFileSystem):
+            whole = np.memmap(own, np.int64, "r")
+        else:
+            with fs.open_input_file(own) as f:
+                whole = np.frombuffer(f.read(), np.int64)
         _open.clear()
-        _open[name] = Transducer(path)
-    return _open[name]
+        _open[path] = Transducer(whole)
+    return _open[path]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lintel.llm import bpe
-from lintel.llm.transducer import Transducer, compile_words
+from lintel.llm.transducer import compile_words, mapped
 
 TEXTS = [
     None, "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "'s's 'S don't we'll I'VE", "  \n\n x  y \t z   ", "a" * 3000, "=" * 5000, "é" * 3000, " \x1c\x1d\x85\xa0  x x", "١٢٣ ⅷ ²",
@@ -20,7 +20,7 @@ def test_transducer(tmp_path):
     rng = random.Random(5)
     entries = {"".join(rng.choices("abc", k=rng.randrange(1, 9))).encode(): [rng.randrange(99) for _ in range(rng.randrange(4))] for _ in range(600)}
     (tmp_path / "x").write_bytes(compile_words(entries))
-    t = Transducer(str(tmp_path / "x"))
+    t = mapped(str(tmp_path / "x"))
     asked = [*entries, b"", b"abcabcabcabc", b"d", b"aaaaaaaaaa"]
     data, ends = np.frombuffer(b"".join(asked), np.uint8), np.cumsum([len(a) for a in asked])
     got = t.lookup(data, ends - [len(a) for a in asked], ends)
@@ -30,7 +30,7 @@ def test_transducer(tmp_path):
             assert t.ids[t.id_offsets[n] : t.id_offsets[n + 1]].tolist() == entries[a]
     assert len(t.finals) < 600 * 3  # suffixes are shared
     (tmp_path / "y").write_bytes(compile_words({}))
-    assert Transducer(str(tmp_path / "y")).lookup(data, ends - 1, ends).max() == -1
+    assert mapped(str(tmp_path / "y")).lookup(data, ends - 1, ends).max() == -1
 
 
 def test_like_the_library(spark):
