@@ -6,7 +6,7 @@ touching the text again. Digit limits, octets of at most 255, Luhn (cards) and m
 the four of the contract) drop proposals that fail. Scores start at a value by kind and rise when a word of the kind
 stands within 40 characters before or after.
 
-Null text counts as empty; an empty text has no spans. Places are code points, end exclusive. Repeated rows are
+Null text counts as empty; an empty text has no spans. Texts of any length are read whole, at a cost that follows their length. Places are code points, end exclusive. Repeated rows are
 answered one by one, other columns are not read.
 """
 
@@ -37,6 +37,7 @@ CONTEXT = {
     "iban": "iban|bank|account|konto|compte|cuenta",
 }
 NEAR, BONUS = 40, 0.1
+PART = 512
 
 
 def digits(c: Column) -> Column:
@@ -81,8 +82,18 @@ def spans_of(kind: str, text: Column) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x.hit.alias("match"), F.round(F.lit(BASE_SCORE[kind]) + bonus, 3).alias("score"))
         return F.struct(end.alias("at"), F.when(confirmed(kind, x.hit), F.concat(a.spans, F.array(span))).otherwise(a.spans).alias("spans"))
 
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,match:string,score:double>>")
-    found = F.aggregate(F.filter(tried, lambda x: x.hit.isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("spans")), place, lambda a: a.spans)
+    kinds = "array<struct<kind:string,start:int,end:int,match:string,score:double>>"
+    empty = F.array().cast(kinds)
+
+    def some(a, part):  # a bounded number of matches at a time, so that adding to an array never copies all before
+        got = F.aggregate(part, F.struct(a.at.alias("at"), empty.alias("spans")), place)
+        return F.struct(got.at.alias("at"), F.concat(a.parts, F.array(got.spans)).alias("parts"))
+
+    def all_of(hit):
+        parts = F.transform(F.sequence(F.lit(0), F.size(hit), F.lit(PART)), lambda i: F.slice(hit, i + 1, F.lit(PART)))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kinds}>").alias("parts")), some, lambda a: F.flatten(a.parts))
+
+    found = F.transform(F.array(F.filter(tried, lambda x: x.hit.isNotNull())), all_of)[0]  # names the matches, so they are found once
     gate = F.contains(text, F.lit(GATES[kind])) if GATES[kind] else text.rlike("[A-Z]{2}[0-9]{2}" if kind == "iban" else "[0-9](?:[ -]?[0-9]){15}")
     return F.when(gate, found).otherwise(empty)
 
