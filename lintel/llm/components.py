@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Every round is two aggregations over edges; a hot vertex's edges are grouped by a minimum first (pre-aggregated on the
-map side) and only then joined. Rounds are cut by tables in the shared folder, so a lost executor repeats one round.
+map side) and only then joined. Loops and repeated edges change nothing; an empty table has no components. Rounds are cut by tables in the shared folder, so a lost executor repeats one round.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ partitions and sorted there by a hash of (seed, doc_id, copy), which is a global
 rates of up to `SOURCES` sources go to every worker, so that the documents are shuffled once; those of more are
 joined by shuffle, where skewed sources are split at run time.
 
-A null source is a source of its own. Rows that repeat a doc_id get equal counts. Documents with null ids share one
+A null source is a source of its own. Where no source of the table has a weight above 0 the result is empty; negative weights
+raise. Texts of any length are carried whole. An empty table gives an empty result. Rows that repeat a doc_id get equal counts. Documents with null ids share one
 uniform. The input's columns come back as they were; ours end in names given by `prefix`, so they do not clash.
 """
 
@@ -23,6 +24,8 @@ PART, TERMS, SOURCES = 16.0, 81, 10_000  # P(count > 80 | mean 16) < 2^-52, the
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, source_col: str = "source") -> DataFrame:
     """(src, rate, parts, cdf) by source. weights: target shares (default: equal); size: output rows over input rows."""
+    if any(not 0 <= v < float("inf") for v in (weights or {}).values()):
+        raise ValueError("weights must be finite and not negative")
     n = docs.groupBy(F.col(source_col).alias("src")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         share = F.lit(1.0)
@@ -32,7 +35,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
             share = F.when(F.col("src") == k, float(v)).otherwise(share)
     n = n.withColumn("share", share)
     total = n.agg(F.sum("n").alias("rows"), F.sum("share").alias("shares"))
-    rate = F.col("share") / F.col("shares") * F.col("rows") * float(size) / F.col("n")
+    rate = F.when(F.col("shares") > 0, F.col("share") / F.nullif("shares", F.lit(0.0)) * F.col("rows") * float(size) / F.col("n")).otherwise(0.0)
     one = n.join(F.broadcast(total)).select("src", rate.alias("rate"), F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int").alias("parts")).withColumn("mean", F.col("rate") / F.col("parts"))
     step = lambda a, k: F.struct((a.p * F.col("mean") / k).alias("p"), F.concat(a.cdf, F.array(F.element_at(a.cdf, -1) + a.p * F.col("mean") / k)).alias("cdf"))
     first = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))

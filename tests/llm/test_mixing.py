@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lintel.llm import mixing
@@ -43,3 +44,10 @@ def test_odd_rows(spark):
     out = mixing.poisson_mix(df, size=5)
     assert {r[0] for r in out.groupBy("doc_id").agg(F.count_distinct("mix_copies")).select("count(DISTINCT mix_copies)").collect()} <= {1}
     assert mixing.poisson_mix(df.limit(0)).count() == 0
+
+
+def test_no_source_with_a_weight(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, None, 6)], "doc_id long, source string, mix_copy int")
+    assert mixing.poisson_mix(df, {"absent": 1.0}, prefix="own_").count() == 0 and mixing.poisson_mix(df, {"a": 0.0}, prefix="own_").count() == 0
+    with pytest.raises(ValueError):
+        mixing.poisson_mix(df, {"a": -1.0})
