@@ -1,12 +1,13 @@
 """Toxicity scores of whole texts by a bidirectional gated recurrent network (gru.py), over all overlapping windows.
 
 The network is fitted on the driver on a bounded sample of labelled documents: of each label at most `fit_docs`
-documents of at most `fit_chars` characters, in the order of a hash of doc_id, never from the held-out fifth. Every
-document is then scored whole; only its text is an input of the score.
+documents, those of at most `fit_chars` characters first, in the order of a hash of doc_id, and at most fit_docs x fit_chars
+characters in all (one document at least), never from the held-out fifth. Every document is then scored whole, whatever its
+length; only its text is an input of the score.
 
 Null counts as empty; a text without words scores as one without evidence. Repeated rows get equal scores. Labels
-that are null are not learned from. Where either label is missing, the untrained network scores. Other columns are
-not read.
+that are null are not learned from. Where either label is missing, all texts score the smoothed share of label 1 (0.25
+without labels). Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import gru
@@ -34,9 +36,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # of each label the ids with the lowest hashes, about twice fit_docs of them: a share that shrinks as labels grow
     share = {y: int(((min(1.0, 2 * fit_docs / n) * 2) - 1) * (2**63 - 1)) for y, n in have.items()}
     ids = own.where(" OR ".join(f"(y = {y} AND order <= {s})" for y, s in share.items()) or "false")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") <= fit_chars) & (F.length("text") > 0))
-    got = sorted(rows.join(F.broadcast(ids), "id").select("order", "id", "text", "y").collect())
-    got = [r for y in (0, 1) for r in [r for r in got if r.y == y][:fit_docs]]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.length(text_col).alias("chars")).where("chars > 0").join(F.broadcast(ids.dropDuplicates(["id", "y"])), "id")
+    # shorter texts first; longer ones are learned from whole, as many as there is room for
+    by = W.partitionBy("y").orderBy(F.col("chars") > fit_chars, "order", "id", F.xxhash64("text"))
+    first = rows.select("id", "y", "order", "chars", "text").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= fit_docs)
+    room = F.sum("chars").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    got = sorted(first.withColumn("used", room).where((F.col("used") <= fit_docs * fit_chars) | (F.col("nth") == 1)).select("y", "nth", "text").collect())
     return gru.fit(pc.utf8_lower(pa.array([r.text for r in got], pa.string())), np.array([r.y for r in got], np.int64), seed=seed)
 
 

@@ -65,3 +65,15 @@ def test_odd_rows(spark):
     kept = toxicity.clean(docs, labels)
     assert kept.columns == docs.columns
     assert toxicity.clean(docs.limit(0), labels).count() == 0
+
+
+def test_long_and_missing_labels(spark):
+    """Labelled texts that are all long are learned from; where a label is missing nothing is called toxic."""
+    docs = spark.createDataFrame([(i, ("calm words only here " if i % 2 else "you idiot fool moron ") * 400, i) for i in range(60)] + [(3, None, 0), (100, "", 0)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)] + [(5, 0), (7, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fit_docs=20)
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where("text is not null"), model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 0) for i in range(60)) and got[100] < 0.5
+    for some in (labels.where("toxic = 0"), labels.limit(0)):
+        assert {r.score < 0.5 for r in toxicity.score(docs, toxicity.fit(docs, some)).collect()} == {True}
+    assert toxicity.score(docs.limit(0), model).count() == 0
