@@ -53,7 +53,7 @@ def made() -> int:
 def released(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Deletes what was made in the shared folder since then, but for the tables given. Only for those who know that nothing
     else that is still to run reads it: a lazy result reads its operator's tables."""
-    kept = {x.rsplit("/", 2)[-2] for df in keep for x in df.inputFiles()}
+    kept = {name for df in keep for x in df.inputFiles() for name in x.split("/")}
     for path in _made[since:]:
         if path.rsplit("/", 1)[1] not in kept:
             delete(spark, path)

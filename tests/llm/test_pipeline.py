@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 from tokenizers import Tokenizer
@@ -66,6 +67,28 @@ def test_stages(spark):
         assert r.n_tokens == len(tk.encode(rows[r.doc_id].text or "", add_special_tokens=False).ids)
 
 
+def test_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, very long texts, and columns named as ours are."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    same, long = words(40), words(60_000)
+    rows = [(1, same), (1, same), (2, words(40)), (2, same), (3, same.upper()), (4, None), (5, ""), (None, words(30)), (None, None), (6, long), (7, long + " end"), (8, words(50))]
+    names = "doc_id long, text string, lang string, source string, n_chars long, h string, own_h int, keep_id string, mix_copy2 int, `group` int, label int"
+    docs = spark.createDataFrame([(i, t, None, None if i == 8 else "s", None, "h", 1, "k", 2, 3, 4) for i, t in rows], names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(100, 120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    got = cp.drop_toxic(spark, docs, str(tmp_path))
+    assert got.schema == docs.schema and got.count() == len(rows)
+    got = cp.drop_copies(spark, got, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in got.collect()) == sorted((str(i), len(t or "")) for i, t in [(2, rows[2][1]), (3, same), (5, ""), (None, rows[7][1]), (6, long), (7, long + " end"), (8, rows[11][1])])
+    got = cp.drop_near_copies(spark, got, str(tmp_path))
+    assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == ["2", "3", "5", "6", "8", "None"]
+    assert cp.mix_sources(spark, got, str(tmp_path)).columns == docs.columns
+    assert cp.run(spark, str(tmp_path)).where("n_tokens >= 0").count() > 0
+
+
 def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in cp.STAGES:
