@@ -3,7 +3,13 @@ target weights, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents. A document that the mixing stage repeats stands there once for
-each copy; one whose count is 0 is out of this epoch of the mixture.
+each copy; one whose count is 0 is out of this epoch of the mixture. Once a stage is written, all that it and those before
+it left in the shared folder is deleted.
+
+Null and empty texts score as ones without evidence and are one group of exact copies. Rows that repeat an id are documents
+of their own until a copy of their text or a near copy stays in their place; of equal rows one stays. Documents with
+null ids lose to any other of their group and share one draw of the mixture. Texts of any length are read whole. Whatever
+other columns the table has come back as they were. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from lintel.llm.common import table, written
+from lintel.llm.common import made, released, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), made()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, name.replace(" ", "-"))
+            released(spark, since, docs)
     return docs
