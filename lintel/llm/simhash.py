@@ -228,7 +228,7 @@ CROWDED = 1 << 16  # keys that are broadcast at most
 SURE, FIRST, SECOND = 0, 1, 2  # kinds: a link of two labels; candidates by the first and by the second fingerprint
 
 
-def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, every: bool = False, heavy: int = 1 << 18, rows: int = 1 << 20) -> DataFrame:
+def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, every: bool = False, heavy: int = 1 << 18, rows: int = 1 << 18) -> DataFrame:
     """nodes (bits, second: which fingerprint they are of, label) -> FOUND: links of two labels, candidates (lower first), and in
     rows of their own the fingerprints some of whose candidates are not given, unless with `every` all are."""
     spark = nodes.sparkSession

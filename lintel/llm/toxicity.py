@@ -1,6 +1,6 @@
 """Toxicity scores of whole texts by a bidirectional gated recurrent network (gru.py), over all overlapping windows.
 
-The network is fitted on the driver on a bounded sample of labelled documents: of each label at most `fit_docs`
+The network is fitted by one task on a bounded sample of labelled documents: of each label at most `fit_docs`
 documents, those of at most `fit_chars` characters first, in the order of a hash of doc_id, and at most fit_docs x fit_chars
 characters in all (one document at least), never from the held-out fifth. Every document is then scored whole, whatever its
 length; only its text is an input of the score.
@@ -12,6 +12,7 @@ without labels). Other columns are not read. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by = W.partitionBy("y").orderBy(F.col("chars") > fit_chars, "order", "id", F.xxhash64("text"))
     first = rows.select("id", "y", "order", "chars", "text").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= fit_docs)
     room = F.sum("chars").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
-    got = sorted(first.withColumn("used", room).where((F.col("used") <= fit_docs * fit_chars) | (F.col("nth") == 1)).select("y", "nth", "text").collect())
-    return gru.fit(pc.utf8_lower(pa.array([r.text for r in got], pa.string())), np.array([r.y for r in got], np.int64), seed=seed)
+    got = first.withColumn("used", room).where((F.col("used") <= fit_docs * fit_chars) | (F.col("nth") == 1)).select("y", "nth", "text")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        model = gru.fit(pc.utf8_lower(pa.array([t for *_, t in rows], pa.string())), np.array([y for y, *_ in rows], np.int64), seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = got.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0].model) if made else gru.fit(pa.array([], pa.string()), np.zeros(0, np.int64), seed=seed)
 
 
 def score(docs: DataFrame, model: gru.Model, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_000_000) -> DataFrame:
