@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import flat, fold, mix, one_row_each, partitions, ragged, slices, stretches, table, words, written
+from .common import ascii_lower, flat, fold, mix, one_row_each, partitions, ragged, slices, stretches, table, words, written
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -279,33 +279,20 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
     return keyed.repartition(4 * parts, "key").sortWithinPartitions("key", "label").mapInArrow(find, FOUND)
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
+def shingle_set(text: Column, shingle: int) -> Column:
+    """array<long>: hashes of a text's distinct shingles of so many words; of all its words if they are fewer."""
+    words_ = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+", -1), lambda w: w != "")
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(shingle)), " ")))
+    return F.transform(F.array(words_), lambda w: F.array_distinct(each(w)))[0]  # names the words, so they are split once
 
 
 def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """pairs (a, b, ra, rb: ids of documents) whose sets of shingles have at least that Jaccard similarity -> (a, b)."""
-
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        out = []
-        for t in texts.fill_null("").to_pylist():
-            w = t.translate(LOWER).encode().split()  # the white space of the contract
-            out.append(np.unique([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))]))
-        return out
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                both = [np.intersect1d(x, y, assume_unique=True).size / max(1, np.union1d(x, y).size) for x, y in zip(sets(part.column("ta")), sets(part.column("tb")), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array([j >= similarity for j in both], pa.bool_()))
-
     ids = pairs.select(F.col("ra").alias("id")).unionByName(pairs.select(F.col("rb").alias("id"))).distinct()
-    texts = written(docs.join(ids, "id").dropDuplicates(["id"]), "near-texts")
-    side = lambda t, k: texts.select(F.col("id").alias(k), F.col("text").alias(t))
-    return pairs.join(side("ta", "ra"), "ra").join(side("tb", "rb"), "rb").select("a", "b", "ta", "tb").repartition(partitions(docs.sparkSession)).mapInArrow(check, "a long, b long")
-
-
-LOWER = {c: c + 32 for c in range(65, 91)}
+    sets = written(docs.join(ids, "id").dropDuplicates(["id"]).select("id", shingle_set(F.col("text"), shingle).alias("s")), "shingles")
+    side = lambda k: sets.select(F.col("id").alias(f"r{k}"), F.col("s").alias(f"s{k}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(side("a"), "ra").join(side("b"), "rb").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, heavy: int = 1 << 18, far: int = 0, similarity: float = 0.8) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import slices, table
+from .common import slices, table, trimmed
 
 
 def held_out(c: Column, fold: int = 5, at: int = 0) -> Column:
@@ -48,6 +48,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
         model = gru.fit(pc.utf8_lower(pa.array([t for *_, t in rows], pa.string())), np.array([y for y, *_ in rows], np.int64), seed=seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del rows, model
+        trimmed()
 
     made = got.repartition(1).mapInArrow(train, "model binary").collect()
     return pickle.loads(made[0].model) if made else gru.fit(pa.array([], pa.string()), np.zeros(0, np.int64), seed=seed)
