@@ -318,7 +318,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = now.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label")
     if far > most:
         now = written(now, "labels")
-        entries = now.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label").unionByName(now.select(F.col("other").alias("bits"), F.lit(True).alias("second"), "label"))
+        # one node stands for a second fingerprint; others that have it are candidates with that one
+        seconds = written(nodes.groupBy("other").agg(F.min(F.struct("fp", "rep", "n")).alias("m")).select("other", "m.*"), "seconds")
+        named = now.select("fp", "label")
+        entries = named.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label").unionByName(seconds.join(named, "fp").select(F.col("other").alias("bits"), F.lit(True).alias("second"), "label"))
     found = search(entries, most, far, heavy=heavy)
     if far > most:
         found = written(found, "found")
@@ -330,22 +333,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             """(the pairs of nodes that candidates stand for, those of them that are alike)."""
             met = None
             for kind, bits in ((FIRST, "fp"), (SECOND, "other")):
-                side = lambda k: nodes.select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
+                side = lambda k: (nodes if kind == FIRST else seconds).select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
                 part = pairs.where(F.col("kind") == kind).join(side("a"), "a").join(side("b"), "b").where(f"fa <> fb AND least(na, nb) >= {similarity} * greatest(na, nb)")
                 part = part.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), F.when(F.col("fa") < F.col("fb"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("fa") < F.col("fb"), F.col("rb")).otherwise(F.col("ra")).alias("rb"))
                 met = part if met is None else met.unionByName(part)
             met = written((met if known is None else met.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct(), "met")
             return met, alike(texts, met, similarity, shingle + 1)
 
-        tried, same = compared(found.where("kind > 0 AND held IS NULL"))
+        one = seconds.select("other", F.col("fp").alias("b")).join(named.select(F.col("fp").alias("b"), F.col("label").alias("with")), "b")
+        stars = now.join(one, "other").where(F.col("label") != F.col("with")).select(F.col("fp").alias("a"), "b", F.lit(FIRST).alias("kind"))
+        tried, same = compared(found.where("kind > 0 AND held IS NULL").select("a", "b", "kind").unionByName(stars))
         links = written(links.unionByName(same), "links")
         left = found.where("held IS NOT NULL").select("kind", F.explode("held").alias("bits")).distinct()
         if found.where("held IS NOT NULL").limit(1).count():
             now = written(labelled(links), "labels")
             again = left.where(F.col("kind") == FIRST).join(now, F.col("bits") == F.col("fp")).select("bits", F.lit(False).alias("second"), "label")
-            again = again.unionByName(left.where(F.col("kind") == SECOND).join(now, F.col("bits") == F.col("other")).select("bits", F.lit(True).alias("second"), "label").distinct())
+            again = again.unionByName(left.where(F.col("kind") == SECOND).join(seconds.select(F.col("other").alias("bits"), "fp"), "bits").join(now.select("fp", "label"), "fp").select("bits", F.lit(True).alias("second"), "label"))
             rest = search(written(again, "held"), most, far, every=True, heavy=heavy)
-            links = links.unionByName(compared(rest.where("kind > 0"), tried)[1])
+            links = links.unionByName(compared(rest.where("kind > 0").select("a", "b", "kind"), tried)[1])
     named = labelled(links)
     named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id")
     return own.join(named, "fp").select("doc_id", "h", F.col("label").alias("group"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
