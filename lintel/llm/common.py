@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+ROWS = 2000  # rows of text that go to a Python worker at once; a session's smaller setting stands
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= ROWS:
+        spark.conf.set(setting, str(ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -66,14 +66,18 @@ def shingle_hashes(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray
     keep[ends + 1] -= 1
     keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)  # each word and the byte after it
     data[ends] = 32
-    at = np.cumsum(keep) - 1
+    at = np.cumsum(keep, dtype=np.int32)
     joined = memoryview(data[keep].tobytes())
-    a, b = at[starts], at[ends]
+    a, b = at[starts] - 1, at[ends] - 1
+    del data, keep, at, starts, ends
     row, place = ragged(count)
     first = (np.cumsum(per) - per)[row] + place
     last = first + np.minimum(per, shingle)[row] - 1
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[x:y], seed) for x, y in zip(a[first].tolist(), b[last].tolist(), strict=True)), np.uint64, len(first)), count
+    out, digest = np.empty(len(first), np.uint64), xxhash.xxh64_intdigest
+    for lo in range(0, len(first), 1 << 15):  # as numbers of Python a few at a time
+        part = slice(lo, lo + (1 << 15))
+        out[part] = [digest(joined[x:y], seed) for x, y in zip(a[first[part]].tolist(), b[last[part]].tolist(), strict=True)]
+    return out, count
 
 
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
