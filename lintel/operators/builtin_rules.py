@@ -236,8 +236,12 @@ def _stop() -> Column:
     return F.when(phrase.isNotNull(), finding("STOP-001", "HIGH", "block", "Problems that were found must be fixed or flagged, not dismissed.", None, F.struct(phrase.alias("matched_phrase"))))
 
 
+def large_targets(targets: Column, most: int = LARGE_CHARS) -> Column:
+    return F.filter(targets, lambda t: F.length(t.content) > most)
+
+
 def _large() -> Column:
-    big = F.filter("targets", lambda t: F.length(t.content) > LARGE_CHARS)
+    big = large_targets(F.col("targets"))
     return F.transform(big, lambda t: finding("WARN-LARGE-001", "MEDIUM", None, None, F.concat(F.lit("WARNING: "), t.path, F.lit(" has "), F.format_number(F.length(t.content), 0), F.lit(" characters. Consider splitting it.")), F.struct(t.path.alias("path"), F.length(t.content).alias("chars"))))
 
 
@@ -306,6 +310,7 @@ def builtin_rules(policy: Policy) -> list[Rule]:
 #: Columns of outside facts and the types they have where an input lacks them.
 FACTS = {
     "full_read_known": "boolean", "file_bytes": "bigint", "old_baseline": "string", "enrolled": "boolean", "repo_disabled": "boolean", "skipped": "boolean", "git_context": "array<string>",
+    "files": "array<struct<path:string,source:string>>", "siblings": "array<string>", "graph_project": "boolean",
     "prompt_context": "array<struct<name:string,text:string>>", "exit_codes": "array<struct<command:string,code:int,output:string,block:boolean>>", "transcript": "array<struct<turn:bigint,role:string,text:string>>",
 }
 

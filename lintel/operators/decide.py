@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import FINDING, RANKS, SEVERITIES
+from .rules import FINDING, RANKS, SEVERITIES, once
 
 
 def enforcement_mode(enrolled: Column, disabled: Column) -> Column:
@@ -71,8 +71,11 @@ def joined_messages(findings: Column) -> Column:
 
 def decide(events: DataFrame) -> DataFrame:
     """Adds decision, context, updated_input and reason: the messages of findings whose decision is the top one itself."""
-    e = events.withColumn("decision", top_decision(F.col("findings"))).withColumn("context", merged_context(F.col("findings"))).withColumn("updated_input", merged_input(F.col("findings")))
-    return e.withColumn("reason", joined_messages(F.filter("findings", lambda f: f.decision.eqNullSafe(F.col("decision")))))
+    names = [c for c in events.columns if c not in ("decision", "context", "updated_input", "reason")]
+    e = events.select(*names, once(top_decision(F.col("findings")).alias("decision")).alias("own")).select(*names, "own.decision")
+    said = joined_messages(F.filter("findings", lambda f: f.decision.eqNullSafe(F.col("decision"))))
+    own = once(merged_context(F.col("findings")).alias("context"), merged_input(F.col("findings")).alias("updated_input"), said.alias("reason"))
+    return e.select("*", own.alias("own")).select(*names, "decision", "own.context", "own.updated_input", "own.reason")
 
 
 def render(events: DataFrame) -> DataFrame:

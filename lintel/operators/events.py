@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.paths import language, patch_added, patch_paths, shell_paths
+from .rules import settled
 
 #: Keys in their order of precedence, tool names, and the dotted event names of one platform.
 PATH_KEYS = ["resolved_file_path", "original_file_path", "file_path", "filePath", "path", "relative_path", "relativePath", "target_file", "target_filepath", "targetPath", "notebook_path", "notebookPath"]
@@ -56,6 +57,7 @@ def canonical(raw: DataFrame, default_cwd: str = "/") -> DataFrame:
         F.coalesce(F.when(F.length(F.trim(V.text(v, "cwd"))) > 0, V.text(v, "cwd")), F.lit(default_cwd)).alias("cwd"),
         F.when(V.kind(V.member(v, "session_id")) == "VOID", "").otherwise(V.trimmed(V.python_str(v, "session_id", ""))).alias("session"), F.coalesce(V.text(v, "prompt"), F.lit("")).alias("prompt"),
     )
+    e = settled(e)
     v, i = F.col("v"), F.col("i")
     e = e.withColumn("command", F.when(F.lower("tool") == "bash", F.coalesce(V.text(i, "command"), F.lit(""))).otherwise(""))
     # a key that the input has, whatever its type, hides the payload's
@@ -63,6 +65,7 @@ def canonical(raw: DataFrame, default_cwd: str = "/") -> DataFrame:
     heads = [F.when(V.filled(above(k)), V.trimmed(above(k))) for k in PATH_KEYS[:2]]
     e = e.withColumn("path", F.coalesce(*heads, V.first_text(i, PATH_KEYS[2:])))
     e = e.withColumn("patch", V.first_text(i, PATCH_KEYS)).withColumn("edits", F.filter(V.members(i, "edits"), V.is_object))
+    e = settled(e)
     content = V.first_text(i, CONTENT_KEYS, strip=False)
     single = _some(F.when((F.col("path") != "") & (content != ""), _target(F.col("path"), content, "tool_input")))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import any_matches
@@ -48,6 +48,7 @@ class Rule:
     find: Callable[[], Column]
     always: bool = False
     many: bool = False
+    patterns: tuple[str, ...] = ()  # what the engine has to compile
 
 
 def finding(rule_id: str, severity: str, decision: str | None = None, message: Column | str | None = None, context: Column | str | None = None, metadata: Column | None = None, title: str = "") -> Column:
@@ -96,22 +97,56 @@ def regex_rule(rule: RegexRule) -> Rule:
         quiet = rule.action == "context"
         return F.when(found, finding(rule.rule_id, rule.severity, None if quiet else rule.action, None if quiet else message, rule.context, F.struct(F.lit(rule.target).alias("target"), hits.alias("hits")), rule.title))
 
-    return Rule(rule.rule_id, tuple(rule.events), find)
+    return Rule(rule.rule_id, tuple(rule.events), find, patterns=(*(java_regex(p, rule.case_sensitive, rule.multiline) for p in rule.patterns), *rule.tool_matchers))
+
+
+def once(*columns: Column) -> Column:
+    """A struct as the one row of a generator. Spark merges projections, and would evaluate what many later columns refer to
+    once for each of them; a generator it leaves alone."""
+    return F.explode(F.array(F.struct(*columns)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns evaluated here, for the same reason."""
+    return df.select(once(*(F.col(c) for c in df.columns)).alias("own")).select("own.*")
+
+
+def pattern_error(patterns: tuple[str, ...]) -> str | None:
+    """What is wrong with the first pattern that the engine cannot compile."""
+    compile_ = SparkSession.active()._jvm.java.util.regex.Pattern.compile
+    for p in patterns:
+        try:
+            compile_(p)
+        except Exception as e:  # noqa: BLE001
+            return str(e).strip().splitlines()[0]
+    return None
 
 
 def evaluate(events: DataFrame, rules: list[Rule], disabled: tuple[str, ...] = ()) -> DataFrame:
-    """events (canonical, with `mode` and `skipped`) plus `findings`, in the rules' order."""
-    parts = []
+    """events (canonical, with `mode` and `skipped`) plus `findings`, in the rules' order, and `errors`: of each rule that
+    cannot be evaluated and would apply, its id and why. Such a rule stops no other."""
+    parts, errors = [], []
     for r in rules:
         if r.rule_id in disabled:
             continue
         applies = F.col("event").isin(*r.events)
         if not r.always:
             applies = applies & (F.col("mode") == "repo_strict") & ~F.col("skipped")
-        got = r.find() if r.many else F.array(r.find())
-        parts.append(F.when(applies, got).otherwise(F.array().cast(f"array<{FINDING}>")).cast(f"array<{FINDING}>"))
+        why = pattern_error(r.patterns)
+        try:
+            got = None if why else r.find() if r.many else F.array(r.find())
+        except Exception as e:  # noqa: BLE001
+            why = str(e)
+        if why:
+            errors.append(F.when(applies, f"{r.rule_id}: {why}"))
+            continue
+        none = F.array().cast(f"array<{FINDING}>")
+        parts.append(F.coalesce(F.when(applies, got).cast(f"array<{FINDING}>"), none))
     found = F.concat(*parts) if parts else F.array().cast(f"array<{FINDING}>")
-    return events.withColumn("findings", F.filter(found, lambda f: f.isNotNull()))
+    failed = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
+    names = [c for c in events.columns if c not in ("findings", "errors")]
+    own = once(F.filter(found, lambda f: f.isNotNull()).alias("findings"), failed.alias("errors"))
+    return events.select(*names, own.alias("own")).select(*names, "own.findings", "own.errors")
 
 
 def with_message(rule: RegexRule, message: str) -> RegexRule:

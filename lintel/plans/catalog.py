@@ -7,6 +7,8 @@ per-id settings, benchmark for a baseline and a constants file.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,16 @@ from ..functions.globs import any_matches
 from ..operators import baseline as B
 from ..operators import builtin_rules as R
 from ..operators import decide as D
+from ..operators import lint as L
+from ..operators import rulebook as rules_of
 from ..operators import state as S
 from ..operators import stats as T
 from ..operators import text_checks as X
+from ..operators.engine import evaluate_events, full_reads
+from ..operators.events import canonical
 from ..operators.lint import lint_documents
-from ..operators.rules import RegexRule, evaluate, regex_rule
+from ..operators.rules import FINDING, RegexRule, evaluate, finding, regex_rule
+from .cases import RULE_CASES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,17 +58,17 @@ def log(spark, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")
 def stats_by_event(spark, sf_dir):
-    return T.counted(log(spark, sf_dir).withColumnRenamed("rule_id", "event"), "event").select("event", "n")
+    return T.report(typed_entries(spark, sf_dir))["by_event"].select("event", "n")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def stats_daily(spark, sf_dir):
-    return log(spark, sf_dir).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return T.report(typed_entries(spark, sf_dir))["daily_counts"]
 
 
 @query("SELECT min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day FROM events")
 def stats_date_range(spark, sf_dir):
-    return log(spark, sf_dir).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return T.report(typed_entries(spark, sf_dir))["date_range"]
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, repeat('█', least(count(*) // 50, 60)::INT) AS bar FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
@@ -71,9 +78,7 @@ def stats_daily_bars(spark, sf_dir):
 
 @query("SELECT count(*) AS total_events, count(*) FILTER (user_id::VARCHAR LIKE '1%') AS fixture_filtered, count(DISTINCT user_id) FILTER (user_id::VARCHAR NOT LIKE '1%') AS sessions FROM events")
 def stats_totals(spark, sf_dir):
-    made = log(spark, sf_dir).withColumn("session", F.when(F.col("session").startswith("1"), F.concat(F.lit("test-"), "session")).otherwise(F.col("session")))
-    fixture = T.is_fixture(F.col("session"))
-    return made.agg(F.count(F.lit(1)).alias("total_events"), F.count_if(fixture).alias("fixture_filtered"), F.count_distinct(F.when(~fixture, F.col("session"))).alias("sessions"))
+    return T.report(typed_entries(spark, sf_dir, fixtures=True))["totals"]
 
 
 ENTRY_SQL = """WITH f AS (SELECT CASE event_type WHEN 'error' THEN 'deny' WHEN 'purchase' THEN 'ask' END AS decision FROM events)
@@ -89,19 +94,35 @@ def entries(spark, sf_dir):
     return T.entries_of(e.select("ord", line.alias("value")))
 
 
+def typed_entries(spark, sf_dir, fixtures: bool = False):
+    """The log as entries without a detour through text. fixtures: sessions that start with 1 are those of tests."""
+    e = log(spark, sf_dir)
+    session = F.when(F.col("session").startswith("1"), F.concat(F.lit("test-"), "session")).otherwise(F.col("session")) if fixtures else F.col("session")
+    decision = F.when(F.col("rule_id") == "error", "deny").when(F.col("rule_id") == "purchase", "ask")
+    none = F.array().cast("array<string>")
+    found = F.array(F.struct("rule_id", F.lit("LOW").alias("severity"), decision.alias("decision"), F.lit("").alias("message"), F.concat(F.lit("f"), "file").alias("path"), none.alias("hits"), decision.isNotNull().alias("has_decision")))
+    return e.select("ord", session.alias("session"), F.col("rule_id").alias("event"), F.lit("(none)").alias("tool"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), found.alias("findings"))
+
+
 @query(ENTRY_SQL)
-def stats_decisions(spark, sf_dir):
+def log_entries(spark, sf_dir):
+    """The same counts from JSON lines, parsed."""
     return T.decisions(entries(spark, sf_dir)).select("decision", "n")
 
 
+@query(ENTRY_SQL)
+def stats_decisions(spark, sf_dir):
+    return T.decisions(typed_entries(spark, sf_dir)).select("decision", "n")
+
+
 @query("SELECT 'f' || json_extract_string(props, '$.k') AS file, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 15")
 def stats_top_files(spark, sf_dir):
-    return T.denied_files(entries(spark, sf_dir)).select("file", "n")
+    return T.denied_files(typed_entries(spark, sf_dir)).select("file", "n")
 
 
 @query("SELECT event_type AS rule_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC LIMIT 20")
 def stats_top_rules(spark, sf_dir):
-    return T.counted(T.denied(entries(spark, sf_dir)), "rule_id", k=20).select("rule_id", "n")
+    return T.counted(T.denied(typed_entries(spark, sf_dir)), "rule_id", k=20).select("rule_id", "n")
 
 
 @query("SELECT json_extract_string(props, '$.k') AS file, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 10")
@@ -111,7 +132,7 @@ def stats_top_tools(spark, sf_dir):
 
 @query("SELECT 'LOW' AS severity, count(*) AS n FROM events")
 def stats_severity(spark, sf_dir):
-    return T.counted(T.exploded(entries(spark, sf_dir)), "severity").select("severity", "n")
+    return T.counted(T.exploded(typed_entries(spark, sf_dir)), "severity").select("severity", "n")
 
 
 @query("SELECT event_type AS rule_id, event_id AS ord, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 3")
@@ -129,13 +150,15 @@ def stats_retry(spark, sf_dir):
 @query("SELECT event_type AS rule_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
 def stats_cutoff(spark, sf_dir):
     e = log(spark, sf_dir)
-    last = e.agg(F.max("ts").alias("last"))
-    return e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    last = e.agg(F.max("ts").cast("timestamp")).first()[0]
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    lines = e.select("ord", F.to_json(F.struct(F.col("rule_id").alias("event_name"), stamp.alias("timestamp"))).alias("value"))
+    return T.counted(T.entries_of(lines, 7, F.lit(last)), "event").select(F.col("event").alias("rule_id"), "n")
 
 
 @query("SELECT event_type AS rule_id, count(*) AS n FROM events WHERE user_id::VARCHAR NOT LIKE '1%' GROUP BY 1")
 def stats_fixture_filter(spark, sf_dir):
-    return log(spark, sf_dir).where(~F.col("session").startswith("1")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return T.report(typed_entries(spark, sf_dir, fixtures=True))["by_event"].select(F.col("event").alias("rule_id"), "n")
 
 
 # --- payload projections
@@ -230,16 +253,17 @@ def render_permission(spark, sf_dir):
 @query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 10 WHEN l.quality = 1 THEN 30 WHEN l.quality = 0 THEN 40 ELSE 20 END AS severity, CASE WHEN l.toxic = 1 THEN NULL ELSE 'deny' END AS decision
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def severity_override(spark, sf_dir):
-    own = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "warn").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "critical").alias("override"))
-    d = read(spark, sf_dir, "documents").join(own, "doc_id", "left")
-    warn = F.coalesce(F.col("override") == "warn", F.lit(False))
-    return d.select("doc_id", F.when(warn, 10).otherwise(D.severity_number(F.coalesce("override", F.lit("?")))).alias("severity"), F.when(~warn, "deny").alias("decision"))
+    kind = F.when(F.col("toxic") == 1, "TOXIC").when(F.col("quality") == 1, "GOOD").when(F.col("quality") == 0, "BAD")
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left").withColumn("kind", F.coalesce(kind, F.lit("NONE")))
+    own = finding("?", "MEDIUM", "deny", "m").withField("rule_id", F.col("kind")).cast(FINDING)
+    e = D.override_severities(d.select("doc_id", F.array(own).alias("findings")), {"TOXIC": "warn", "GOOD": "high", "BAD": "critical"})
+    return e.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.severity", "f.decision")
 
 
 @query("""WITH r AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, chr(10) || chr(10) ORDER BY t) AS context FROM r GROUP BY 1""")
 def context_merge(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.array_distinct(F.transform("t", lambda x: x.role)), "\n\n").alias("context"))
+    return turns.select("conv_id", D.merged_context(F.transform("t", lambda x: finding("R", "LOW", None, None, x.role))).alias("context"))
 
 
 @query("SELECT CASE WHEN quality = 0 THEN 'outside_repo' WHEN toxic = 1 THEN 'repo_relaxed' ELSE 'repo_strict' END AS mode, count(*) AS n FROM labels GROUP BY 1")
@@ -262,7 +286,9 @@ def system_prefix(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) > 5000")
 def large_content(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.length("text") > 5000).select("doc_id", F.length("text").cast("long").alias("chars"))
+    target = F.struct(F.lit("a.md").alias("path"), F.col("text").alias("content"), F.lit("tool_input").alias("source"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(R.large_targets(F.array(target), 5000)).alias("t"))
+    return d.select("doc_id", F.length("t.content").cast("long").alias("chars"))
 
 
 NOISE = {"en": "Traceback (most recent call last)\nKeyError: x", "fr": "3 failed, 2 passed\n4 passed in 0.1s", "de": "Build FAILED\nerror[E1]\nSuccessfully built"}
@@ -288,7 +314,8 @@ def error_signals(spark, sf_dir):
 
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def last_assistant(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("t"))
+    return turns.select("conv_id", R.last_assistant(F.col("t")).alias("text")).where("text IS NOT NULL")
 
 
 @query("SELECT conv_id, CASE WHEN bool_or(contains(lower(text), 'was already')) THEN 'was already' END AS phrase FROM (SELECT conv_id, text || CASE role WHEN 'system' THEN ' It WAS already so' ELSE '' END AS text FROM conversations) GROUP BY 1")
@@ -299,8 +326,12 @@ def preexisting(spark, sf_dir):
 
 @query("SELECT regexp_extract(url, '//([^/?#]+)', 1) AS host, count(DISTINCT regexp_extract(url, '//[^/]+/([^/?#]*)', 1)) AS langs FROM pages GROUP BY 1 HAVING langs > 2")
 def import_fanout(spark, sf_dir):
+    """Each host as a module that imports one name for every language its pages stand under."""
     p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "//[^/]+/([^/?#]*)", 1).alias("lang"))
-    return p.groupBy("host").agg(F.count_distinct("lang").alias("langs")).where("langs > 2")
+    names = F.array_join(F.transform(F.sequence(F.lit(1), F.count_distinct("lang").cast("int")), lambda i: F.concat(F.lit("n"), i.cast("string"))), ", ")
+    files = p.groupBy("host").agg(names.alias("names")).select(F.concat("host", F.lit(".py")).alias("path"), F.concat(F.lit("from h import "), "names", F.lit("\n")).alias("source"), F.lit(False).alias("is_test"))
+    found = L.runtime_findings(L.ast_facts(files), L.Limits(import_names=2)).where("rule_id = 'PY-IMPORT-001'")
+    return found.select(F.regexp_replace("path", r"\.py$", "").alias("host"), F.col("value").alias("langs"))
 
 
 @query("""WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n)::BIGINT AS total, arg_min(event_type, (-n, event_type)) AS event_type, max(n) AS n FROM p GROUP BY 1)
@@ -309,10 +340,11 @@ def feature_envy(spark, sf_dir):
     return X.share_of_top(read(spark, sf_dir, "events"), "user_id", "event_type", 6, 0.3)
 
 
-@query("SELECT regexp_extract(url, '//[^/]*?\\.?([^./]+\\.[^./]+)/', 1) AS dir, regexp_extract(url, '//([a-z]{2})', 1) AS prefix, count(*) AS n FROM pages GROUP BY ALL HAVING n >= 3")
+@query("WITH p AS (SELECT regexp_extract(url, '//[^/]*?\\.?([^./]+\\.[^./]+)/', 1) AS dir, regexp_extract(url, '//([a-z]{2})', 1) AS prefix FROM pages) SELECT dir, prefix, count(*) AS n FROM p WHERE dir <> '' AND prefix <> '' GROUP BY 1, 2 HAVING count(*) >= 3")
 def flat_siblings(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"//[^/]*?\.?([^./]+\.[^./]+)/", 1).alias("dir"), F.regexp_extract("url", "//([a-z]{2})", 1).alias("prefix"))
-    return p.groupBy("dir", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    paths = p.where("dir <> '' AND prefix <> ''").select(F.concat("dir", F.lit("/_"), "prefix", F.lit("_page.py")).alias("path"))
+    return L.flat_siblings(paths)
 
 
 # --- lines and repeats
@@ -330,10 +362,12 @@ def worst_line(spark, sf_dir):
     return X.worst_line(X.lines(read(spark, sf_dir, "documents"), "doc_id"), "doc_id")
 
 
-@query(f"WITH {LINES} SELECT CASE WHEN n > 30 THEN 'hard' WHEN n > 10 THEN 'soft' ELSE 'fine' END AS band, count(*) AS docs FROM (SELECT doc_id, count(*) AS n FROM l2 GROUP BY 1) GROUP BY 1")
+@query(f"WITH {LINES} SELECT CASE WHEN n > 30 THEN 'hard' WHEN n > 10 THEN 'soft' ELSE 'fine' END AS band, count(*) AS docs FROM (SELECT doc_id, count(*) AS n FROM l2 GROUP BY 1) GROUP BY 1 HAVING band <> 'fine'")
 def oversized(spark, sf_dir):
-    n = read(spark, sf_dir, "documents").select(F.size(P.splitlines(F.col("text"))).alias("n")).where("n > 0")
-    return n.groupBy(F.when(F.col("n") > 30, "hard").when(F.col("n") > 10, "soft").otherwise("fine").alias("band")).agg(F.count(F.lit(1)).alias("docs"))
+    """Prose does not parse, so its files have the module's facts alone."""
+    files = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("):\n"), "text").alias("source"), F.lit(False).alias("is_test"))
+    found = L.simple_violations(L.ast_facts(files), L.Limits(module_hard=31, module_soft=11)).where("rule LIKE 'oversized%'")
+    return found.groupBy(F.when(F.col("rule") == "oversized-module", "hard").otherwise("soft").alias("band")).agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT w AS literal, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}', 0)) AS w FROM documents) WHERE w NOT IN ('status', 'strings') GROUP BY 1 HAVING n > 10")
@@ -441,12 +475,16 @@ def repeat_counter(spark, sf_dir):
 # --- enrichment
 
 
-@query(r"""WITH k AS (SELECT regexp_extract(text, '^\w+', 0) AS value, min(item_id) AS item_id FROM benchmark GROUP BY 1) SELECT doc_id, item_id AS line, CASE WHEN k.value = '' THEN 'EXTRACTED_STRING' ELSE upper(k.value) END AS name FROM documents d LEFT JOIN k ON regexp_extract(d.text, '^\w+', 0) = k.value""")
+@query(r"""WITH k AS (SELECT value, min(item_id) AS line FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+', 0)) AS value FROM benchmark) GROUP BY 1),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+', 0)) AS value FROM documents)
+SELECT doc_id, count(*) AS words, count(line) AS known, min(line) AS first_line, min(CASE WHEN line IS NOT NULL THEN upper(left(value, 48)) END) AS first_name FROM w LEFT JOIN k USING (value) GROUP BY 1""")
 def constant_lookup(spark, sf_dir):
-    first = F.regexp_extract("text", r"^\w+", 0)
-    index = read(spark, sf_dir, "benchmark").select(first.alias("value"), "item_id").groupBy("value").agg(F.min("item_id").alias("line"))
-    d = read(spark, sf_dir, "documents").select("doc_id", first.alias("value")).join(index, "value", "left")
-    return d.select("doc_id", "line", F.when(F.col("line").isNotNull(), P.constant_name(F.col("value"))).alias("name"))
+    """Every word of a document as a literal, looked up among the constants that the words of the benchmark are."""
+    words = lambda c: F.explode(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)))
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("line"), words("text").alias("text"))
+    facts = b.select(F.lit("pkg/constants.py").alias("path"), F.lit("constant").alias("kind"), P.constant_name(F.col("text")).alias("name"), "line", "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", words("text").alias("text")).distinct().join(L.constants(facts), "text", "left")
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count("defined_at").alias("known"), F.min("defined_at").cast("long").alias("first_line"), F.min("constant").alias("first_name"))
 
 
 @query(r"""WITH w AS (SELECT page_id, upper(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS w FROM pages)
@@ -455,6 +493,179 @@ def suggest_name(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", P.constant_name(F.col("url")).alias("name"))
 
 
+# --- payloads, end to end
+
+
+def payloads(spark, sf_dir, table: str, key: str, platform: str, **parts) -> DataFrame:
+    """(ord, platform, raw): rows of a table as JSON payloads."""
+    t = read(spark, sf_dir, table)
+    return t.select(F.col(key).alias("ord"), F.lit(platform).alias("platform"), F.to_json(F.struct(*(v.alias(k) for k, v in parts.items()))).alias("raw"))
+
+
+@query(f"SELECT doc_id, {DOC_PATH} AS path, length(text) AS chars, 'tool_input' AS source FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')")
+def content_targets(spark, sf_dir):
+    end = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".tsx").when(F.col("lang") == "de", ".rs").otherwise(".md")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end)
+    raw = payloads(spark, sf_dir, "documents", "doc_id", "claude", hook_event_name=F.lit("PreToolUse"), tool_name=F.lit("Write"), tool_input=F.struct(path.alias("file_path"), F.col("text").alias("content")))
+    return canonical(raw).select(F.col("ord").alias("doc_id"), F.explode("targets").alias("t")).select("doc_id", "t.path", F.length("t.content").cast("long").alias("chars"), "t.source")
+
+
+@query(f"""WITH c AS (SELECT page_id, regexp_extract_all('cat src/p' || page_id || '.py && rm ./docs/d' || page_id % 7 || '.md src/p' || page_id || '.py', '{P.SHELL_PATH}', 0) AS l FROM pages)
+SELECT page_id, 'top/' || page_id || '.txt,' || array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS paths FROM c""")
+def candidate_paths(spark, sf_dir):
+    no = F.col("page_id").cast("string")
+    command = F.concat(F.lit("cat src/p"), no, F.lit(".py && rm ./docs/d"), (F.col("page_id") % 7).cast("string"), F.lit(".md src/p"), no, F.lit(".py"))
+    raw = payloads(spark, sf_dir, "pages", "page_id", "codex", hook_event_name=F.lit("PreToolUse"), tool_name=F.lit("Bash"), file_path=F.concat(F.lit("top/"), no, F.lit(".txt")), tool_input=F.struct(command.alias("command")))
+    return canonical(raw).select(F.col("ord").alias("page_id"), F.array_join("paths", ",").alias("paths"))
+
+
+@query("""SELECT page_id, unnest(['old' || page_id || '.py', 'new.py']) AS path, url || chr(10) || 'end' AS content, 'patch' AS source FROM pages""")
+def patch_text(spark, sf_dir):
+    no = F.col("page_id").cast("string")
+    patch = F.concat(F.lit("--- a/old"), no, F.lit(".py\n+++ b/new.py\n@@ -1 +1,2 @@\n-gone\n+"), "url", F.lit("\n same\n+end\n--- /dev/null\n"))
+    raw = payloads(spark, sf_dir, "pages", "page_id", "claude", hook_event_name=F.lit("PreToolUse"), tool_name=F.lit("apply_patch"), tool_input=F.struct(patch.alias("patchText")))
+    return canonical(raw).select(F.col("ord").alias("page_id"), F.explode("targets").alias("t")).select("page_id", "t.path", "t.content", "t.source")
+
+
+@query("SELECT conv_id * 1000 + turn AS ord, CASE role WHEN 'assistant' THEN 'PostToolUse' WHEN 'user' THEN 'PreToolUse' ELSE 'Stop' END AS event, CASE role WHEN 'system' THEN '' ELSE 'Bash' END AS tool, CASE role WHEN 'system' THEN '' ELSE 'ls' END AS command, 's' || conv_id AS session FROM conversations")
+def dotted_events(spark, sf_dir):
+    name = F.when(F.col("role") == "assistant", "tool.execute.after").when(F.col("role") == "user", "tool.execute.before").otherwise("session.idle")
+    tool = F.when(F.col("role") != "system", "bash")
+    t = read(spark, sf_dir, "conversations").withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    body = F.struct(name.alias("hook_event_name"), tool.alias("tool_name"), F.when(tool.isNotNull(), F.struct(F.lit("ls").alias("command"))).alias("tool_input"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"))
+    return canonical(t.select("ord", F.lit("opencode").alias("platform"), F.to_json(body).alias("raw"))).select("ord", "event", "tool", "command", "session")
+
+
+def labelled_findings(spark, sf_dir, platform: str, event: str) -> DataFrame:
+    """labels as events: toxic ones are blocked by a critical finding, bad ones denied, all others get context."""
+    label = read(spark, sf_dir, "labels")
+    kind = F.when(F.col("toxic") == 1, finding("T-1", "CRITICAL", "block", "stop here")).when(F.col("quality") == 0, finding("Q-1", "HIGH", "deny", "not good")).otherwise(finding("C-1", "LOW", None, None, "fine"))
+    return D.render(D.decide(label.select("doc_id", F.lit(platform).alias("platform"), F.lit(event).alias("event"), F.array(kind).alias("findings"))))
+
+
+def members(df: DataFrame, *paths: str) -> DataFrame:
+    return df.select("doc_id", *(F.get_json_object("output", f"$.{p}").alias(p.replace(".", "_")) for p in paths))
+
+
+_KIND = "CASE WHEN toxic = 1 THEN {} WHEN quality = 0 THEN {} ELSE {} END"
+
+
+@query("SELECT doc_id, " + _KIND.format("'false'", "NULL", "NULL") + ' AS "continue", ' + _KIND.format("'[T-1 | CRITICAL] stop here'", "NULL", "NULL") + ' AS "stopReason", ' + _KIND.format("NULL", "'block'", "NULL") + " AS decision, " + _KIND.format("NULL", "'[Q-1 | HIGH] not good'", "NULL") + ' AS reason, ' + _KIND.format("NULL", "NULL", "'fine'") + ' AS "hookSpecificOutput_additionalContext" FROM labels')
+def render_codex(spark, sf_dir):
+    return members(labelled_findings(spark, sf_dir, "codex", "PostToolUse"), "continue", "stopReason", "decision", "reason", "hookSpecificOutput.additionalContext")
+
+
+@query("SELECT doc_id, " + _KIND.format("'block'", "'block'", "'context'") + " AS action, " + _KIND.format("'[T-1 | CRITICAL] stop here'", "'[Q-1 | HIGH] not good'", "NULL") + " AS reason, " + _KIND.format("NULL", "NULL", "'fine'") + " AS context FROM labels")
+def render_opencode(spark, sf_dir):
+    return members(labelled_findings(spark, sf_dir, "opencode", "PreToolUse"), "action", "reason", "context")
+
+
+@query("SELECT doc_id, " + _KIND.format("'block'", "'block'", "NULL") + " AS decision, " + _KIND.format("'[T-1 | CRITICAL] stop here'", "'[Q-1 | HIGH] not good'", "NULL") + " AS reason, " + _KIND.format("NULL", "NULL", "'fine'") + ' AS "systemMessage" FROM labels')
+def render_stop(spark, sf_dir):
+    return members(labelled_findings(spark, sf_dir, "claude", "Stop"), "decision", "reason", "systemMessage")
+
+
+@query("SELECT doc_id, " + _KIND.format("NULL", "'deny'", "NULL") + ' AS "hookSpecificOutput_decision_behavior", ' + _KIND.format("NULL", "'[Q-1 | HIGH] not good'", "NULL") + ' AS "hookSpecificOutput_decision_message" FROM labels')
+def render_request(spark, sf_dir):
+    return members(labelled_findings(spark, sf_dir, "claude", "PermissionRequest"), "hookSpecificOutput.decision.behavior", "hookSpecificOutput.decision.message")
+
+
+@query("SELECT 'TOOL-1' AS rule_id, count(*) FILTER (doc_id % 2 = 0) AS n FROM documents UNION ALL SELECT 'PROMPT-1', count(*) FILTER (doc_id % 3 = 0) FROM documents UNION ALL SELECT 'CMD-1', count(*) FILTER (doc_id % 2 = 1 AND doc_id % 5 = 0) FROM documents")
+def rule_targets(spark, sf_dir):
+    """Rules over commands and prompts, and one for a tool only."""
+    no = F.col("doc_id")
+    e = read(spark, sf_dir, "documents").select("doc_id", F.lit("claude").alias("platform"), F.when(no % 3 == 0, "UserPromptSubmit").otherwise("PreToolUse").alias("event"), F.when(no % 2 == 0, "Write").otherwise("Bash").alias("tool"))
+    none = F.array().cast("array<struct<path:string,content:string,source:string>>")
+    e = e.withColumns({"targets": none, "paths": F.array(F.lit("a.py")), "command": F.when((no % 2 == 1) & (no % 5 == 0), "git push --force").otherwise(""), "prompt": F.when(no % 3 == 0, "please delete all").otherwise(""), "mode": F.lit("repo_strict"), "skipped": F.lit(False)})
+    both = ["PreToolUse", "UserPromptSubmit"]
+    rules = [RegexRule("TOOL-1", both, "path", [r"\.py$"], tool_matchers=["Write|Edit"]), RegexRule("CMD-1", both, "command", [r"push\s+--force"]), RegexRule("PROMPT-1", both, "prompt", ["DELETE"], case_sensitive=False, action="ask")]
+    return evaluate(e, [regex_rule(r) for r in rules]).select(F.explode("findings").alias("f")).groupBy("f.rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'GOOD-1' AS rule_id, count(*) FILTER (starts_with(text, 'T')) AS n, count(*) AS failed FROM documents")
+def rule_isolation(spark, sf_dir):
+    """A rule whose pattern does not compile is an error of its events and stops no other."""
+    target = F.struct(F.lit("a.py").alias("path"), F.col("text").alias("content"), F.lit("tool_input").alias("source"))
+    e = read(spark, sf_dir, "documents").select("doc_id", F.lit("PreToolUse").alias("event"), F.lit("Write").alias("tool"), F.array(target).alias("targets"), F.array(F.lit("a.py")).alias("paths"), F.lit("").alias("command"), F.lit("").alias("prompt"), F.lit("repo_strict").alias("mode"), F.lit(False).alias("skipped"))
+    out = evaluate(e, [regex_rule(RegexRule("BAD-1", ["PreToolUse"], "content", ["(open"])), regex_rule(RegexRule("GOOD-1", ["PreToolUse"], "content", ["^T"], multiline=False))])
+    return out.agg(F.lit("GOOD-1").alias("rule_id"), F.count_if(F.exists("findings", lambda f: f.rule_id == "GOOD-1")).alias("n"), F.count_if(F.exists("errors", lambda x: x.startswith("BAD-1"))).alias("failed"))
+
+
+# --- syntax trees: modules whose facts follow from the number of the document
+
+
+def modules(spark, sf_dir) -> DataFrame:
+    """documents as Python files: a function of doc_id % 8 parameters and doc_id % 7 nested ifs, then every fifth a handler
+    that keeps silent, and on top of every sixth an import of Any."""
+    no = F.col("doc_id").cast("int")
+    lines = lambda n, f: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), f), "\n")).otherwise("")
+    params = F.array_join(F.slice(F.array(*(F.lit(x) for x in "abcdefgh")), F.lit(1), no % 8), ", ")
+    nested = F.when(no % 7 > 0, F.concat(lines(no % 7, lambda i: F.concat(F.repeat(F.lit("    "), i), F.lit("if go():"))), F.lit("\n"))).otherwise("")
+    source = F.concat(F.when(no % 6 == 0, "from typing import Any\n").otherwise(""), F.lit("def f"), no.cast("string"), F.lit("("), params, F.lit("):\n"), nested, F.repeat(F.lit("    "), no % 7 + 1), F.lit("return work(1)\n"), F.when(no % 5 == 0, "try:\n    go()\nexcept Exception:\n    pass\n").otherwise(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/m"), no.cast("string"), F.lit(".py")).alias("path"), source.alias("source"), F.lit(False).alias("is_test"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'src/m' || doc_id || '.py' AS path, doc_id % 8 AS k, doc_id % 7 AS depth, (doc_id % 6 = 0)::INT AS top FROM documents)
+SELECT 'too-many-params' AS rule, path, 'f' || doc_id AS identifier, 'params=' || k AS detail FROM d WHERE k > 4
+UNION ALL SELECT 'deep-nesting', path, 'f' || doc_id, 'depth=' || depth FROM d WHERE depth > 4
+UNION ALL SELECT 'banned-any', path, 'import-Any', 'line 1' FROM d WHERE top = 1
+UNION ALL SELECT 'silent-except', path, '<module>', 'line ' || (top + depth + 5) || ': pass' FROM d WHERE doc_id % 5 = 0""")
+def lint_rules(spark, sf_dir):
+    return L.simple_violations(L.ast_facts(modules(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT doc_id % 7 AS depth, count(*) OVER (PARTITION BY doc_id % 7) AS n FROM documents)
+SELECT 'semantic-clone' AS rule, count(*) AS n FROM d WHERE depth >= 4 AND n > 1 UNION ALL SELECT 'duplicate-call-sequence', count(*) FROM d WHERE depth >= 2 AND n > 1""")
+def lint_clones(spark, sf_dir):
+    return L.duplicate_violations(L.ast_facts(modules(spark, sf_dir))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 8 AS k, doc_id % 7 AS depth FROM documents)
+SELECT doc_id, 'PY-CODE-009' AS rule_id, 'deny' AS decision FROM d WHERE k > 4 UNION ALL SELECT doc_id, 'PY-CODE-011', 'deny' FROM d WHERE depth > 4 UNION ALL SELECT doc_id, 'PY-CODE-013', 'deny' FROM d WHERE depth = 0""")
+def tree_rules(spark, sf_dir):
+    """Syntax-tree rules from raw events to the decisions of their findings."""
+    raw = modules(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.lit("claude").alias("platform"), F.to_json(F.struct(F.lit("PreToolUse").alias("hook_event_name"), F.lit("Write").alias("tool_name"), F.struct(F.col("path").alias("file_path"), F.col("source").alias("content")).alias("tool_input"))).alias("raw"))
+    return evaluate_events(raw).select(F.col("ord").alias("doc_id"), F.explode("findings").alias("f")).where("f.rule_id LIKE 'PY-CODE-%'").select("doc_id", "f.rule_id", "f.decision")
+
+
+@query("""WITH d AS (SELECT doc_id FROM documents) SELECT doc_id, 'LG-STATE-001' AS rule_id FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'LG-NODE-001' FROM d WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'LG-API-001' FROM d WHERE doc_id % 5 = 0""")
+def graph_rules(spark, sf_dir):
+    no = F.col("doc_id")
+    source = F.concat(F.lit("from langgraph.graph import StateGraph\n"), F.when(no % 3 == 0, "class S(TypedDict):\n    items: list[str]\n    name: str\n").otherwise(""), F.when(no % 4 == 0, "def node(state):\n    state['x'] = 1\n    return {}\n").otherwise("# state['x'] = 1\n"), F.when(no % 5 == 0, "g.set_entry_point('a')\n").otherwise(""))
+    body = F.to_json(F.struct(F.lit("PostToolUse").alias("hook_event_name"), F.lit("Edit").alias("tool_name"), F.struct(F.lit("g.py").alias("file_path")).alias("tool_input")))
+    raw = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.lit("claude").alias("platform"), body.alias("raw"), F.array(F.struct(F.lit("g.py").alias("path"), source.alias("source"))).alias("files"))
+    return evaluate_events(raw).select(F.col("ord").alias("doc_id"), F.explode("findings").alias("f")).where("f.rule_id LIKE 'LG-%'").select("doc_id", "f.rule_id")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS s, event_type = 'view' AS f FROM events WHERE event_type IN ('view', 'click')),
+k AS (SELECT event_id, f, coalesce(max(f::INT) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), 0) = 1 OR coalesce(max(f::INT) OVER (PARTITION BY user_id, s ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS known FROM r)
+SELECT event_id, NOT f AND NOT known AS denied FROM k""")
+def full_read_rule(spark, sf_dir):
+    """Views as full reads and clicks as partial ones of one file in their sessions: the rule with the state it needs."""
+    e = read(spark, sf_dir, "events").where("event_type IN ('view', 'click')")
+    given = F.struct(F.lit("a.py").alias("file_path"), F.when(F.col("event_type") == "click", 3).alias("offset"))
+    raw = e.select(F.col("event_id").alias("ord"), F.lit("claude").alias("platform"), F.to_json(F.struct(F.lit("PreToolUse").alias("hook_event_name"), F.lit("Read").alias("tool_name"), F.col("user_id").cast("string").alias("session_id"), given.alias("tool_input"))).alias("raw"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    out = evaluate_events(full_reads(raw, F.col("at")).drop("at"), limits=None)
+    return out.select(F.col("ord").alias("event_id"), F.exists("findings", lambda f: f.rule_id == "BUILTIN-ENFORCE-FULL-READ").alias("denied"))
+
+
+# --- rule rows: each case of the rulebook as the payload of some documents
+
+
+def _case_sql() -> str:
+    rows = ", ".join(f"({n}, '{rule}')" for n, (rule, _) in enumerate(RULE_CASES))
+    return f"WITH c(k, rule_id) AS (VALUES {rows}) SELECT rule_id, count(*) AS n FROM documents JOIN c ON doc_id % {len(RULE_CASES)} = k GROUP BY 1"
+
+
+@query(_case_sql())
+def rulebook(spark, sf_dir):
+    """The rule that a case is for must be among the findings of every document that carries the case."""
+    cases = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(json.dumps({"hook_event_name": "PreToolUse"} | body)).alias("raw")) for rule, body in RULE_CASES))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.element_at(cases, (F.col("doc_id") % len(RULE_CASES) + 1).cast("int")).alias("c"))
+    out = evaluate_events(d.select("ord", F.lit("claude").alias("platform"), "c.raw"), rules_of.POLICY, rules_of.RULES, limits=None)
+    return out.select("ord", "findings").join(d.select("ord", "c.rule"), "ord").where(F.exists("findings", lambda f: f.rule_id == F.col("rule"))).groupBy(F.col("rule").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- syntax-tree facts: no SQL can make them; the tests compare them with hand-written rows
 
 
