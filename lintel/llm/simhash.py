@@ -335,7 +335,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def compared(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
             """(the pairs of nodes that candidates stand for, those of them that are alike)."""
-            met = None
+            met, pairs = None, written(pairs.distinct(), "candidates")  # a pair meets in several buckets
             for kind, bits in ((FIRST, "fp"), (SECOND, "other")):
                 side = lambda k: (nodes if kind == FIRST else seconds).select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
                 part = pairs.where(F.col("kind") == kind).join(side("a"), "a").join(side("b"), "b").where(f"fa <> fb AND least(na, nb) >= {similarity} * greatest(na, nb)")
