@@ -6,8 +6,9 @@ deals the sums by segments of the hash range; each segment's task adds up its sh
 
 Filter: an n-gram of level q is put in under levels 1 to q, so a level is read by membership probes that go up until one
 fails. Every segment fills a bit array of its own (`BITS` bits an entry); the filter is their concatenation and holds every
-level at any size. Up to `most_bytes` it goes to every worker; a larger one stays a table, and the distinct n-grams of some
-million tokens at a time are asked of their segments' tasks, which look in the same bits, so both ways score alike.
+level at any size. Up to `most_bytes` it is a file of the shared folder that workers memory-map; a larger one stays a table,
+and the distinct n-grams of some million tokens at a time are asked of their segments' tasks, which look in the same bits, so
+both ways score alike.
 
 Probability of a word after another: a mixture of pair and word estimates from the quantised counts, the mixture's
 weight being the one that gives the training documents, each token and pair taken out once, the highest probability. A
@@ -29,11 +30,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyarrow.fs import LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, fold, mix, partitions, prefix_hash, slices, span_hash, table, words, written
+from .common import filesystem, flat, fold, mix, partitions, prefix_hash, scratch, slices, span_hash, table, words, written
 
 END = np.uint64(0x5851F42D4C957F2D)
 PROBES, BITS = 6, 9
@@ -181,19 +183,42 @@ def word_key(tok: np.ndarray) -> np.ndarray:
     return mix(tok + np.uint64(0x2545F4914F6CDD1D))
 
 
+_files: dict[str, np.ndarray] = {}
+
+
+def file_bytes(path: str) -> np.ndarray:
+    """A file of the shared folder, memory-mapped where the folder is mounted, else read."""
+    if path not in _files:
+        fs, own = filesystem(path)
+        if fs.get_file_info(own).size == 0:
+            got = np.zeros(0, np.uint8)
+        elif isinstance(fs, LocalFileSystem):
+            got = np.memmap(own, np.uint8, "r")
+        else:
+            with fs.open_input_file(own) as f:
+                got = np.frombuffer(f.read(), np.uint8)
+        _files.clear()
+        _files[path] = got
+    return _files[path]
+
+
 class Filter:
     """Bit arrays of all segments, one after the other: where each begins, in bits, and its size."""
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray) -> None:
-        self.bits, self.size = bits, size.astype(np.uint64)
+    def __init__(self, bits: np.ndarray | str, size: np.ndarray) -> None:
+        self.held, self.size = bits, size.astype(np.uint64)  # held: the bytes, or the path of a file that has them
         self.begin = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.uint64)
 
+    @property
+    def bits(self) -> np.ndarray:
+        return file_bytes(self.held) if isinstance(self.held, str) else self.held
+
     def level(self, keys: np.ndarray, home: np.ndarray) -> np.ndarray:
         """Level of each key by probes that go up until one fails; 0 if there is none. home: what its segment goes by."""
         if not len(self.size):
             return np.zeros(len(keys), np.int64)
         seg = segment(home, len(self.size))
-        out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        out, live, bits = np.zeros(len(keys), np.int64), np.arange(len(keys)), self.bits
         live = live[self.size[seg] > 0]
         for q in range(1, LEVELS):
             for i in range(PROBES):  # most misses end at the first probe
@@ -202,7 +227,7 @@ class Filter:
                     if k == i:
                         break
                 bit = self.begin[own] + place
-                live = live[(self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                live = live[(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             out[live] = q
             if not len(live):
                 break
@@ -263,7 +288,7 @@ class Model:
         return np.stack([np.add.reduceat(np.log10(np.where(below > 0, w * two + (1 - w) * one, one)), begin) for w in WEIGHTS])
 
 
-def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None, most_bytes: int = 64 << 20, dictionary: int = 1 << 19) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None, most_bytes: int = 1 << 30, dictionary: int = 1 << 19) -> tuple[Model, DataFrame]:
     """(model, count table) of training documents; the table has the filter's segments too if the model has no filter."""
     spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
     if n_segments is None:
@@ -284,12 +309,23 @@ def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits]), pa.array([size]), pa.array([w[lv >= floor_].tobytes()]), pa.array([wn[lv >= floor_].tobytes()])], names=["seg", "bits", "size", "w", "wn"])
 
     built = table_.select("seg", "words", "word_n", "pairs", "pair_level").mapInArrow(build, "seg int, bits binary, size long, w binary, wn binary")
-    if not sent:
-        built = written(built, "filter")
+    built, path = written(built, "filter"), scratch(spark, "filter-bits")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, own = filesystem(path)
+        with fs.open_output_stream(own) as out:  # a second attempt writes the same again
+            for batch in batches:
+                for bits in batch.column("bits"):
+                    out.write(bits.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+
+    if sent:
+        built.select("seg", "bits").repartition(1).sortWithinPartitions("seg").mapInArrow(write, "n long").collect()
+    else:
         table_ = table_.join(built.select("seg", "bits", "size"), "seg")
-    rows = (built if sent else built.select("seg", "w", "wn")).orderBy("seg").collect()
+    rows = built.select("seg", "size", "w", "wn").orderBy("seg").collect()
     join = lambda k, kind: np.frombuffer(b"".join(bytes(r[k]) for r in rows), kind)
-    filter_ = Filter(join("bits", np.uint8), np.array([r["size"] for r in rows], np.int64)) if sent else None
+    filter_ = Filter(path if rows else np.zeros(0, np.uint8), np.array([r["size"] for r in rows], np.int64)) if sent else None
     return Model(filter_, join("w", np.uint64), join("wn", np.int64), n, v, float(np.dot(middle(np.arange(LEVELS)), word_hist))), table_
 
 
