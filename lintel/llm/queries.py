@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bloomlm, bpe, exact_dedup, linededup, mixing, periodic, pii, simhash, suffixdedup, tokenfiles, toxicity
+from . import ann, bloomlm, bpe, exact_dedup, linededup, mixing, periodic, pii, prefixtrie, simhash, suffixdedup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
+    "op11_prefix_trie": prefixtrie.op11_prefix_trie,
     "op12_token_files": tokenfiles.op12_token_files,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
-SQL = {"op5_pii": pii.SQL, "op8_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_pii": pii.SQL, "op8_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefixtrie.SQL}
