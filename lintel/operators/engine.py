@@ -15,16 +15,15 @@ from .rules import RegexRule, Rule, evaluate, regex_rule, settled
 from .state import known_full_reads
 
 
-def evaluate_events(raw: DataFrame, policy: Policy | None = None, regex_rules: list[RegexRule] | None = None, overrides: dict[str, str] | None = None, limits: Limits | None = Limits()) -> DataFrame:
+def evaluate_events(raw: DataFrame, policy: Policy | None = None, regex_rules: list[RegexRule] | None = None, overrides: dict[str, str] | None = None, limits: Limits | None = Limits(), carry: tuple[str, ...] = ()) -> DataFrame:
     """(ord, platform, raw, optional facts) -> one row per event with findings, errors, decision, context, reason and output.
 
     An event without an `enrolled` fact is taken as of an enrolled repository. limits: None leaves the syntax trees out.
-    ord: a long that is an event's own. Rules are one projection, however many; events that write Python files also go to a
-    Python worker, and are joined by ord."""
+    carry: further columns to keep. Rules are one projection, however many, without a join or a shuffle, so events may be a
+    stream; of events that write Python files the sources also go to a Python worker."""
     policy = policy or Policy()
     facts = [c for c in FACTS if c in raw.columns]
-    e = canonical(raw)
-    e = e.join(raw.select("ord", *facts), "ord") if facts else e
+    e = canonical(raw, carry=(*facts, *carry))
     e = e.withColumns({c: F.lit(None).cast(t) for c, t in FACTS.items() if c not in facts})
     e = e.withColumn("mode", enforcement_mode(F.coalesce("enrolled", F.lit(True)), F.col("repo_disabled"))).withColumn("skipped", F.coalesce("skipped", F.lit(False)))
     e = settled(e)
@@ -43,7 +42,7 @@ def full_reads(raw: DataFrame, at: Column) -> DataFrame:
 
     at: seconds of each event. A read without offset and limit makes its path known to its session for the time that
     state.known_full_reads() keeps it; paths count as their events name them, the last one of an event."""
-    e = canonical(raw).join(raw.select("ord", at.cast("long").alias("at")), "ord")
+    e = canonical(raw.withColumn("at", at.cast("long")), carry=("at",))
     reads = e.where((F.col("tool") == "Read") & F.col("event").isin("PreToolUse", "PermissionRequest") & (F.size("paths") > 0))
     whole = ~(V.has(F.col("i"), "offset") | V.has(F.col("i"), "limit"))
     known = known_full_reads(reads.select("ord", "session", F.element_at("paths", -1).alias("path"), "at", F.coalesce(whole, F.lit(True)).alias("full")))

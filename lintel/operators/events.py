@@ -35,12 +35,12 @@ def _some(*targets: Column) -> Column:
     return F.array_compact(F.array(*targets))
 
 
-def canonical(raw: DataFrame, default_cwd: str = "/") -> DataFrame:
-    """(ord, platform, raw) -> one row per event with the columns that rules read.
+def canonical(raw: DataFrame, default_cwd: str = "/", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, platform, raw) -> one row per event with the columns that rules read, and those of raw named by `carry`.
 
     raw: JSON text. Blank or malformed text, and JSON that is no object, is an event without a name, which no rule
     supports. Wrong types count as absent. An unknown platform raises."""
-    e = raw.select("ord", "platform", V.parse("raw").alias("v"))
+    e = raw.select("ord", "platform", *carry, V.parse("raw").alias("v"))
     e = e.withColumn("platform", F.when(F.col("platform").isin(*PLATFORMS), F.col("platform")).otherwise(F.raise_error(F.concat(F.lit("unknown platform: "), F.coalesce("platform", F.lit("null"))))))
     e = e.withColumn("v", F.when(V.is_object(F.col("v")), F.col("v")))
     v, dotted = F.col("v"), F.col("platform") == "opencode"
@@ -53,7 +53,7 @@ def canonical(raw: DataFrame, default_cwd: str = "/") -> DataFrame:
     i = F.when(V.is_object(V.member(v, "tool_input")), V.member(v, "tool_input"))
     response = F.when(V.has(v, "tool_response") | ~dotted, V.member(v, "tool_response")).otherwise(V.member(v, "tool_result"))
     e = e.select(
-        "ord", "platform", "v", F.when(dotted, V.trimmed(mapped)).otherwise(name).alias("event"), F.when(dotted, V.trimmed(capital)).otherwise(tool).alias("tool"), i.alias("i"), response.alias("response"),
+        "ord", "platform", *carry, "v", F.when(dotted, V.trimmed(mapped)).otherwise(name).alias("event"), F.when(dotted, V.trimmed(capital)).otherwise(tool).alias("tool"), i.alias("i"), response.alias("response"),
         F.coalesce(F.when(F.length(F.trim(V.text(v, "cwd"))) > 0, V.text(v, "cwd")), F.lit(default_cwd)).alias("cwd"),
         F.when(V.kind(V.member(v, "session_id")) == "VOID", "").otherwise(V.trimmed(V.python_str(v, "session_id", ""))).alias("session"), F.coalesce(V.text(v, "prompt"), F.lit("")).alias("prompt"),
     )

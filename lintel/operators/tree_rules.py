@@ -1,15 +1,13 @@
 """Rules that read the Python files an event writes: syntax-tree rules, rules for graph frameworks, sibling files.
 
 Before a tool runs, its content targets are read; after it, the files on disk that the event names, which come as a column
-of outside facts (`files`). One Arrow pass over the events that write Python turns sources into hits, which are joined to
-their events, and expressions turn hits into findings. A source on which the walk fails gives an error, not a failed job. Sources above MOST_CHARS characters
-are not parsed here; lint() has no such limit.
+of outside facts (`files`). One Arrow function turns the sources of the events that write Python into hits, and expressions
+turn hits into findings. A source on which the walk fails gives an error, not a failed job. Sources above MOST_CHARS
+characters are not parsed here; lint() has no such limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +16,7 @@ from ..functions.paths import basename, dirname, splitlines
 from ..functions.pyfacts import MOST_CHARS, Fact, facts
 from .events import is_edit_tool
 from .lint import VENDORED, Limits
-from .rules import FINDING, SEVERITIES, Rule, finding
+from .rules import FINDING, SEVERITIES, Rule, finding, settled
 
 BEFORE, AFTER = ("PreToolUse", "PermissionRequest"), ("PostToolUse",)
 #: What marks a source of the graph framework, and the patterns of its rules.
@@ -30,17 +28,17 @@ MUTATIONS = [
 OLD_CALLS = [(r"\.set_entry_point\s*\(", "set_entry_point()", 'add_edge(START, "node")'), (r"\.set_finish_point\s*\(", "set_finish_point()", 'add_edge("node", END)')]
 #: Severity and message of each rule; {name}, {path}, {value}, {total}, {text} and {limit} stand for parts of a hit.
 TREE_RULES = {
-    "PY-CODE-008": ("HIGH", "Python function `{name}` in `{path}` is {value} lines long. Split it into helpers of at most {limit} lines."),
+    "PY-CODE-008": ("HIGH", "`{name}` in `{path}` is {value} lines long, {limit} being the most. Move parts of it out."),
     "PY-CODE-009": ("MEDIUM", "Python function `{name}` in `{path}` has {value} parameters. Group inputs; at most {limit} are allowed."),
     "PY-CODE-010": ("MEDIUM", "Line {line} in `{path}` has {value} characters. At most {limit} are allowed."),
     "PY-CODE-011": ("HIGH", "Function `{name}` in `{path}` is nested {value} deep. At most {limit} levels are allowed."),
-    "PY-CODE-012": ("LOW", "Function `{name}` in `{path}` has feature envy: {value}/{total} attribute accesses go to `{text}`."),
+    "PY-CODE-012": ("LOW", "`{path}`: {value} of the {total} attributes that `{name}` reads belong to `{text}`; it may be better placed there."),
     "PY-CODE-013": ("MEDIUM", "Function `{name}` in `{path}` only wraps `{text}`. Call that directly."),
     "PY-CODE-014": ("HIGH", "Class `{name}` in `{path}` has {value} non-dunder methods. At most {limit} are allowed."),
-    "PY-CODE-015": ("HIGH", "Function `{name}` in `{path}` has cyclomatic complexity {value}. At most {limit} is allowed."),
+    "PY-CODE-015": ("HIGH", "`{path}`: `{name}` has {value} independent ways through it, the limit being {limit}. Make it simpler."),
     "PY-CODE-016": ("HIGH", "Function `{name}` in `{path}` has unreachable code after `{text}` at line {line}."),
     "PY-IMPORT-001": ("LOW", "`{path}` imports {value} names from `{name}`. Import the module itself."),
-    "LG-STATE-001": ("LOW", "State class `{name}` in `{path}` has list fields without reducers: {text}. Annotate them with one."),
+    "LG-STATE-001": ("LOW", "`{path}`: lists in the state `{name}` are overwritten by each node, since no reducer joins them: {text}."),
 }
 QUIET = ("PY-CODE-012", "PY-IMPORT-001")  # their decision ranks below all others, so no answer shows them
 HIT = pa.struct([("rule_id", pa.string()), ("path", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("value", pa.int64()), ("total", pa.int64()), ("text", pa.string())])
@@ -75,25 +73,25 @@ def hits_of(path: str, found: list[Fact], m: Limits, graph: bool) -> list[dict]:
 
 def with_hits(events: DataFrame, limits: Limits) -> DataFrame:
     """events plus `hits` (HITS), NULL where an event writes no Python. What fails on a source is a hit of rule '' with the
-    error as its text. Only events that write Python files go to a Python worker and are shuffled to meet the rest."""
-    shape = pa.schema([("ord", pa.int64()), ("hits", pa.list_(HIT))])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for files, known in zip(batch.column("sources").to_pylist(), batch.column("project").to_pylist(), strict=True):
-                row: list[dict] = []
-                for f in files:
-                    path, source = f["path"] or "", f["source"] or ""
-                    try:
-                        row += hits_of(path, facts(source, MOST_CHARS), limits, bool(known) or any(x in source for x in GRAPH_MARKS))
-                    except Exception as e:  # noqa: BLE001
-                        row.append({"rule_id": "", "path": path, "name": type(e).__name__, "line": 0, "value": 0, "total": 0, "text": str(e)[:200]})
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column("ord").cast(pa.int64()), pa.array(out, pa.list_(HIT))], schema=shape)
-
-    asked = events.select(F.col("ord").cast("long").alias("ord"), sources_of().alias("sources"), F.coalesce("graph_project", F.lit(False)).alias("project")).where("sources IS NOT NULL")
-    return events.join(asked.mapInArrow(walk, f"ord long, hits {HITS}"), "ord", "left")
+    error as its text. Only the sources go to a Python worker, and only those of events that write Python files."""
+
+    def found(files: list[dict], known: bool | None) -> list[dict]:
+        row: list[dict] = []
+        for f in files:
+            path, source = f["path"] or "", f["source"] or ""
+            try:
+                row += hits_of(path, facts(source, MOST_CHARS), limits, bool(known) or any(x in source for x in GRAPH_MARKS))
+            except Exception as e:  # noqa: BLE001
+                row.append({"rule_id": "", "path": path, "name": type(e).__name__, "line": 0, "value": 0, "total": 0, "text": str(e)[:200]})
+        return row
+
+    @F.arrow_udf(HITS)
+    def walk(sources: pa.Array, project: pa.Array) -> pa.Array:
+        asked = zip(sources.to_pylist(), project.to_pylist(), strict=True)
+        return pa.array([None if files is None else found(files, known) for files, known in asked], pa.list_(HIT))
+
+    own = settled(events.withColumn("sources", sources_of()))  # Spark does not take a UDF out of a plan by itself where its argument is this long
+    return own.withColumn("hits", walk("sources", F.coalesce("graph_project", F.lit(False)))).drop("sources")
 
 
 def own_python(files: Column) -> Column:

@@ -26,7 +26,11 @@ from ..operators import text_checks as X
 from ..operators.engine import evaluate_events, full_reads
 from ..operators.events import canonical
 from ..operators.lint import lint_documents
+from ..operators.rule_table import match_rules
+from ..operators.rule_table import rule_rows as rules_of_table
 from ..operators.rules import FINDING, RegexRule, evaluate, finding, regex_rule
+from ..sources.shared import scratch
+from ..streaming.events import read_trace, stream_events, trace_stream
 from .cases import RULE_CASES
 
 QUERIES: dict = {}
@@ -223,13 +227,17 @@ UNION ALL SELECT doc_id, 3, 'PATH-001', 'ask', 10, 'PATH-001' FROM d WHERE regex
 """
 
 
-def ruled(spark, sf_dir):
-    """documents as write events with their findings."""
+def written_documents(spark, sf_dir):
+    """documents as write events."""
     end = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".tsx").when(F.col("lang") == "de", ".rs").otherwise(".md")
     d = read(spark, sf_dir, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end))
     target = F.struct("path", F.col("text").alias("content"), F.lit("tool_input").alias("source"))
-    e = d.select("doc_id", F.lit("claude").alias("platform"), F.lit("PreToolUse").alias("event"), F.lit("Write").alias("tool"), F.array(target).alias("targets"), F.array("path").alias("paths"), F.lit("").alias("command"), F.lit("").alias("prompt"), F.lit("repo_strict").alias("mode"), F.lit(False).alias("skipped"))
-    return evaluate(e, [regex_rule(r) for r in RULES])
+    return d.select("doc_id", F.lit("claude").alias("platform"), F.lit("PreToolUse").alias("event"), F.lit("Write").alias("tool"), F.array(target).alias("targets"), F.array("path").alias("paths"), F.lit("").alias("command"), F.lit("").alias("prompt"), F.lit("repo_strict").alias("mode"), F.lit(False).alias("skipped"))
+
+
+def ruled(spark, sf_dir):
+    """documents as write events with their findings."""
+    return evaluate(written_documents(spark, sf_dir), [regex_rule(r) for r in RULES])
 
 
 @query(RULE_SQL + "SELECT doc_id, rule_id, message FROM f")
@@ -450,6 +458,46 @@ def baseline_increase(spark, sf_dir):
     return B.increases(*violations(spark, sf_dir))
 
 
+# --- rules as rows of a table
+
+
+@query(RULE_SQL + "SELECT doc_id, rule_id, message FROM f")
+def rule_rows(spark, sf_dir):
+    """The same findings as rule_content, with the rules in a table."""
+    found = match_rules(written_documents(spark, sf_dir), rules_of_table(spark, RULES), ("doc_id",))
+    return found.select("doc_id", "finding.rule_id", "finding.message")
+
+
+@query(r"""WITH b AS (SELECT item_id, array_to_string(list_transform(string_split(text, ' ')[1:3], lambda w: regexp_escape(w)), '\s+') AS pattern FROM benchmark WHERE text <> '')
+SELECT item_id, doc_id FROM documents JOIN b ON regexp_matches(text, pattern)""")
+def passage_rules(spark, sf_dir):
+    """A rule for the beginning of each benchmark text, made from that table, against all documents."""
+    words = F.transform(F.slice(F.split("text", " "), 1, 3), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"))
+    none = F.array().cast("array<string>")
+    rules = read(spark, sf_dir, "benchmark").where("text <> ''").select(
+        F.col("item_id").alias("place"), F.col("item_id").cast("string").alias("rule_id"), F.array(F.lit("PreToolUse")).alias("events"), F.lit("content").alias("target"), F.array(F.array_join(words, r"\s+")).alias("patterns"), F.lit("deny").alias("action"), F.lit("LOW").alias("severity"),
+        F.lit("").alias("title"), F.lit("").alias("message"), F.lit(None).cast("string").alias("context"), none.alias("path_globs"), none.alias("exclude_path_globs"), none.alias("tool_matchers"), F.lit(True).alias("case_sensitive"), F.lit(False).alias("multiline"),
+    )
+    return match_rules(written_documents(spark, sf_dir), rules, ("doc_id",)).select(F.col("place").alias("item_id"), "doc_id")
+
+
+# --- events as a stream
+
+
+@query(RULE_SQL + "SELECT rule_id, count(*) AS n FROM f GROUP BY 1")
+def trace_of_stream(spark, sf_dir):
+    """documents as payloads that arrive as a stream, decided and added to a trace, which is read back."""
+    path = scratch(spark, "events")
+    d = read(spark, sf_dir, "documents").where("text <> ''")
+    end = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".tsx").when(F.col("lang") == "de", ".rs").otherwise(".md")
+    given = F.struct(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("file_path"), F.col("text").alias("content"))
+    d.select(F.to_json(F.struct(F.lit("PreToolUse").alias("hook_event_name"), F.lit("Write").alias("tool_name"), given.alias("tool_input")))).write.text(f"{path}/in")
+    decided = evaluate_events(stream_events(spark, f"{path}/in"), regex_rules=RULES, limits=None)
+    trace_stream(decided, f"{path}/trace", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = T.exploded(T.entries_of(read_trace(spark, f"{path}/trace").select(F.col("batch").alias("ord"), "value")))
+    return found.where(F.col("rule_id").isin([r.rule_id for r in RULES])).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- state
 
 
