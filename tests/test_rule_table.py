@@ -60,7 +60,7 @@ def test_plan_does_not_follow_the_number_of_rules(spark):
 
 
 def test_literals():
-    want = {r"\bTODO\b": ["todo"], r"git\s+stash": ["stash"], "a(?:bc|de)f": ["bc", "de"], "(foo|bar)+x": ["foo", "bar"], "(abc)?": None, "ab*": None, "(?i)Hello": ["hello"], r"\d+": None, "x{2}": ["xx"], r"a\*{3}$": ["a***"], "ax+b": ["ax"], "(?:abc){2,}": ["abc"], "(?=zz)ab(?!q)cd": ["abcd"], r"[a[bc]]de": None, "a|bc": None, r"\Qab\E": None, "[a&&b]cde": None, "ab.cde": ["cde"], "(?x)a b c": ["abc"], "(": None, "": None}
+    want = {r"\bTODO\b": ["todo"], r"git\s+stash": ["stash"], "a(?:bc|de)f": ["bc", "de"], "(foo|bar)+x": ["foo", "bar"], "(abc)?": None, "ab*": None, "(?i)Hello": ["hello"], r"\d+": None, "x{2}": ["xx"], r"a\*{3}$": ["a***"], "ax+b": ["ax"], "(?:abc){2,}": ["abcabc"], "(?=zz)ab(?!q)cd": ["abcd"], r"[a[bc]]de": None, "a|bc": None, r"\Qab\E": None, "[a&&b]cde": None, "ab.cde": ["cde"], "(?x)a b c": ["abc"], "(": None, "": None}
     assert {p: R.literals(p) for p in want} == want
 
 
