@@ -99,3 +99,108 @@ def report(entries: DataFrame) -> dict[str, DataFrame]:
 def daily_bars(daily: DataFrame, last: int = 14, per: int = 50, most: int = 60) -> DataFrame:
     """The last days with a bar of one block per `per` events."""
     return daily.orderBy(F.desc("day")).limit(last).withColumn("bar", F.repeat(F.lit("█"), F.least((F.col("n") / per).cast("int"), F.lit(most)))).orderBy("day")
+
+
+# --- the whole report from one pass
+
+
+def groupings(entries: DataFrame) -> DataFrame:
+    """(grouping, key, other, at, text): a row for each grouping that an entry or a finding of it counts in. These are grouping
+    sets without the rows that no set wants; one aggregation serves them all."""
+    shape = "array<struct<grouping:string,key:string,other:string,at:struct<ord:bigint,pos:int,part:int>,text:string>>"
+    none = F.array().cast(shape)
+
+    def row(grouping: str, key: Column | str, pos: Column | int = -1, part: Column | int = 0, other: Column | None = None, text: Column | None = None) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        at = F.struct(F.col("ord").cast("long").alias("ord"), lit(pos).cast("int").alias("pos"), lit(part).cast("int").alias("part"))
+        blank = F.lit(None).cast("string")
+        return F.struct(F.lit(grouping).alias("grouping"), lit(key).alias("key"), (blank if other is None else other).alias("other"), at.alias("at"), (blank if text is None else text).alias("text"))
+
+    def of_finding(f: Column, pos: Column) -> Column:
+        files = F.array_compact(F.concat(F.array(f.path), F.coalesce(f.hits, F.array().cast("array<string>"))))
+        always = F.array(row("severity", f.severity, pos), row("rule", f.rule_id, pos))
+        decided = F.when(f.decision.isNotNull(), F.array(row("decision", f.decision, pos))).otherwise(none)
+        deny = F.concat(F.array(row("denied_rule", f.rule_id, pos, text=f.message), row("denied", F.col("session"), pos, other=f.rule_id)), F.transform(files, lambda x, i: row("denied_file", x, pos, i)))
+        return F.concat(always.cast(shape), decided.cast(shape), F.when(f.decision == "deny", deny.cast(shape)).otherwise(none))
+
+    fixture = is_fixture(F.col("session"))
+    all_ = F.array(row("entry", F.when(fixture, "fixture").otherwise("real")))
+    real = F.array(row("event", F.col("event")), row("tool", F.col("tool")), row("session", F.col("session")))
+    day = F.when(F.col("ts") != "", F.array(row("day", F.left("ts", F.lit(10))))).otherwise(none)
+    silent = F.when(~F.exists("findings", lambda f: f.has_decision), F.array(row("decision", "allow", 1 << 30))).otherwise(none)
+    own = F.concat(real.cast(shape), day.cast(shape), silent.cast(shape), F.flatten(F.transform("findings", of_finding)))
+    return entries.select(F.explode(F.concat(all_.cast(shape), F.when(fixture, none).otherwise(own))).alias("g")).select("g.*")
+
+
+def summary(entries: DataFrame) -> DataFrame:
+    """(grouping, key, other, n, first, example) of all that the report shows, from one scan and one shuffle of partial counts.
+    example: the text of a group's first row."""
+    return groupings(entries).groupBy("grouping", "key", "other").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min_by("text", "at").alias("example"))
+
+
+def unpacked(done: DataFrame) -> dict[str, DataFrame]:
+    """The tables of report() from a summary that is kept, with `example` in place of three of each rule."""
+    of = lambda grouping, name: done.where(F.col("grouping") == grouping).select(F.col("key").alias(name), "n", "first", "example")
+    top = lambda df, k: df.orderBy(F.desc("n"), "first").limit(k)
+    total = lambda grouping, key=None: F.coalesce(F.sum(F.when((F.col("grouping") == grouping) & (F.lit(True) if key is None else F.col("key") == key), F.col("n"))), F.lit(0))
+    denied_ = done.where("grouping = 'denied'").select(F.col("key").alias("session"), F.col("other").alias("rule_id"), "n", F.col("first").alias("seen"))
+    seen = denied_.groupBy("session").agg(F.min("seen").alias("session_seen"))
+    label = F.concat("rule_id", F.lit(" (session "), F.left("session", F.lit(8)), F.lit("...)"))
+    retries = denied_.where("n >= 2").join(seen, "session").groupBy(label.alias("label")).agg(F.max_by("n", "session_seen").alias("n"), F.min(F.struct("session_seen", "seen")).alias("first"))
+    days = of("day", "day").select("day", "n")
+    return {
+        "totals": done.agg(total("entry").alias("total_events"), total("entry", "fixture").alias("fixture_filtered"), F.count_if(F.col("grouping") == "session").alias("sessions")),
+        "by_event": of("event", "event"), "top_tools": top(of("tool", "tool"), 10), "by_decision": of("decision", "decision"), "by_severity": of("severity", "severity"), "by_rule": of("rule", "rule_id"),
+        "top_rules_denied": top(of("denied_rule", "rule_id"), 20), "top_files_denied": top(of("denied_file", "file"), 15), "retry_patterns": top(retries, 15),
+        "daily_counts": days.orderBy("day"), "date_range": days.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")),
+    }
+
+
+def one_decimal(x: Column) -> Column:
+    """Text of a number that is not negative, rounded as the binary number it is, where the engine's own formats round the
+    decimal that it prints as: 60.05 is a little less, and gives 60.0."""
+    tenths = (x - F.floor(x)) * 10  # exact: the whole part's bits make room
+    rest = tenths - F.floor(tenths)
+    up = (rest > 0.5) | ((rest == 0.5) & (F.floor(tenths) % 2 == 1))
+    whole = F.floor(x) * 10 + F.floor(tenths) + up.cast("int")
+    return F.concat(F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"))
+
+
+def text_report(tables: dict[str, DataFrame], home: str | None = None) -> DataFrame:
+    """(section, place, part, line): the report's lines, in that order."""
+    wide = lambda c, n: F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(n) - F.length(c), F.lit(0))))
+    count = lambda n: F.lpad(F.format_number("n", 0), F.greatest(F.lit(n), F.length(F.format_number("n", 0))), F.lit(" "))
+    ranked = lambda df, *order: df.selectExpr("*", f"row_number() OVER (ORDER BY {', '.join(order)}) AS place")  # noqa: E731  of a few rows, those of the report
+
+    def rows(section: int, df: DataFrame, *lines: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), "place", F.posexplode(F.array_compact(F.array(*lines))).alias("part", "line"))
+
+    def head(section: int, title: str) -> DataFrame:
+        return rows(section, totals, F.lit(""), F.lit(f"--- {title} ---"))
+
+    def tail(section: int, df: DataFrame, empty: str | None = None) -> DataFrame:
+        some = df.agg(F.count(F.lit(1)).alias("k")).withColumn("place", F.lit(1 << 30))
+        return rows(section, some, *([F.when(F.col("k") == 0, f"  {empty}")] if empty else []), F.lit(""))
+
+    totals = tables["totals"].withColumn("place", F.lit(0))
+    by_count = ("n DESC", "first")
+    top = totals.crossJoin(F.broadcast(tables["date_range"]))  # one row and one row
+    span = F.when(F.col("first_day").isNull(), "unknown").otherwise(F.concat("first_day", F.lit(" to "), "last_day"))
+    bar = "=" * 70
+    filtered = F.when(F.col("fixture_filtered") > 0, F.concat(F.lit("Fixture/test sessions filtered: "), F.format_number("fixture_filtered", 0)))
+    out = [rows(0, top, F.lit(bar), F.lit("HOOK ACTIVITY REPORT"), F.lit(bar), F.lit(""), F.concat(F.lit("Date range: "), span), F.concat(F.lit("Total hook events: "), F.format_number("total_events", 0)), filtered, F.concat(F.lit("Unique sessions: "), F.col("sessions").cast("string")))]
+    decided = ranked(tables["by_decision"].crossJoin(F.broadcast(tables["totals"].select("total_events"))), *by_count)
+    share = one_decimal(F.col("n") / F.nullif("total_events", F.lit(0)) * 100)
+    out += [head(1, "Decisions"), rows(1, decided, F.concat(F.lit("  "), wide(F.col("decision"), 12), F.lit(" "), count(6), F.lit("  ("), share, F.lit("%)")))]
+    out += [head(2, "Event Types"), rows(2, ranked(tables["by_event"], *by_count), F.concat(F.lit("  "), wide(F.col("event"), 25), F.lit(" "), count(6)))]
+    example = F.when(F.col("example").isNotNull(), F.concat(F.lit("    └─ e.g. "), F.left("example", F.lit(100))))
+    out += [head(3, "Top Denied Rules"), rows(3, ranked(tables["top_rules_denied"], *by_count), F.concat(F.lit("  "), wide(F.col("rule_id"), 25), F.lit(" "), count(5)), example)]
+    file = F.replace(F.col("file"), F.lit(home), F.lit("~")) if home else F.col("file")
+    out += [head(4, "Top Denied Files"), rows(4, ranked(tables["top_files_denied"], *by_count), F.concat(F.lit("  "), count(4), F.lit("  "), file))]
+    out += [head(5, "Retry Patterns (same rule denied 2+ in one session)"), rows(5, ranked(tables["retry_patterns"], *by_count), F.concat(F.lit("  "), count(3), F.lit("x  "), F.col("label"))), tail(5, tables["retry_patterns"], "(none detected)")]
+    out += [head(6, "Daily Volume"), rows(6, ranked(daily_bars(tables["daily_counts"]), "day"), F.concat(F.lit("  "), F.col("day"), F.lit("  "), count(5), F.lit("  "), F.col("bar")))]
+    out += [head(7, "Severity Breakdown"), rows(7, ranked(tables["by_severity"], *by_count), F.concat(F.lit("  "), wide(F.col("severity"), 10), F.lit(" "), count(6))), tail(7, tables["by_severity"])]
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.unionByName(df)
+    return whole

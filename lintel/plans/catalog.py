@@ -29,7 +29,9 @@ from ..operators.lint import lint_documents
 from ..operators.rule_table import match_rules
 from ..operators.rule_table import rule_rows as rules_of_table
 from ..operators.rules import FINDING, RegexRule, evaluate, finding, regex_rule
+from ..sources.logs import read_log
 from ..sources.shared import scratch
+from ..sources.tails import last_responses, read_tails
 from ..streaming.events import read_trace, stream_events, trace_stream
 from .cases import RULE_CASES
 
@@ -165,6 +167,75 @@ def stats_fixture_filter(spark, sf_dir):
     return T.report(typed_entries(spark, sf_dir, fixtures=True))["by_event"].select(F.col("event").alias("rule_id"), "n")
 
 
+REPORT_SQL = """WITH e AS (SELECT event_id, user_id::VARCHAR AS s, event_type AS t, strftime(ts, '%Y-%m-%d') AS d, 'f' || json_extract_string(props, '$.k') AS file, CASE event_type WHEN 'error' THEN 'deny' WHEN 'purchase' THEN 'ask' END AS decision FROM events),
+p AS (SELECT s, t, count(*) AS n, min(event_id) AS seen FROM e WHERE decision = 'deny' GROUP BY ALL),
+r AS (SELECT 'by_event' AS section, t AS label, count(*) AS n, min(event_id) AS f, 0 AS g, 1000 AS most FROM e GROUP BY t
+UNION ALL SELECT 'top_tools', '(none)', count(*), 0, 0, 10 FROM e UNION ALL SELECT 'by_severity', 'LOW', count(*), 0, 0, 1000 FROM e
+UNION ALL SELECT 'by_decision', coalesce(decision, 'allow'), count(*), min(event_id), 0, 1000 FROM e GROUP BY decision
+UNION ALL SELECT 'by_rule', t, count(*), min(event_id), 0, 1000 FROM e GROUP BY t
+UNION ALL SELECT 'top_rules_denied', t, count(*), min(event_id), 0, 20 FROM e WHERE decision = 'deny' GROUP BY t
+UNION ALL SELECT 'top_files_denied', file, count(*), min(event_id), 0, 15 FROM e WHERE decision = 'deny' AND file IS NOT NULL GROUP BY file
+UNION ALL SELECT 'retry_patterns', t || ' (session ' || left(s, 8) || '...)', n, min(seen) OVER (PARTITION BY s), seen, 15 FROM p WHERE n >= 2),
+k AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY n DESC, f, g) AS place, label, n, most FROM r)
+"""
+
+
+def kept_summary(spark, sf_dir, fixtures=False):
+    """The report's counts as a small table, so that its parts do not read the log again."""
+    path = scratch(spark, "summary")
+    T.summary(typed_entries(spark, sf_dir, fixtures)).write.parquet(path)
+    return T.unpacked(spark.read.parquet(path))
+
+
+@query(REPORT_SQL + """SELECT section, place, label, n FROM k WHERE place <= most
+UNION ALL SELECT 'daily_counts', row_number() OVER (ORDER BY d), d, count(*) FROM e GROUP BY d
+UNION ALL SELECT 'sessions', 1, '', count(DISTINCT s) FROM e UNION ALL SELECT 'total_events', 1, '', count(*) FROM e""")
+def stats_summary(spark, sf_dir):
+    """All tables of the report from one scan of the log."""
+    tables = kept_summary(spark, sf_dir)
+    ranked = lambda df, *order: df.selectExpr("*", f"row_number() OVER (ORDER BY {', '.join(order)}) AS place")  # noqa: E731  of the report's few rows
+    name = {"by_event": "event", "top_tools": "tool", "by_severity": "severity", "by_decision": "decision", "by_rule": "rule_id", "top_rules_denied": "rule_id", "top_files_denied": "file", "retry_patterns": "label"}
+    out = ranked(tables["daily_counts"], "day").select(F.lit("daily_counts").alias("section"), "place", F.col("day").alias("label"), "n")
+    for section, key in name.items():
+        out = out.unionByName(ranked(tables[section], "n DESC", "first").select(F.lit(section).alias("section"), "place", F.col(key).alias("label"), "n"))
+    for key in ("sessions", "total_events"):
+        out = out.unionByName(tables["totals"].select(F.lit(key).alias("section"), F.lit(1).alias("place"), F.lit("").alias("label"), F.col(key).alias("n")))
+    return out
+
+
+@query(REPORT_SQL + """SELECT 1 AS section, place, '  ' || rpad(label, 12, ' ') || ' ' || lpad(format('{:,}', n), 6, ' ') || '  (' || printf('%.1f', n * 100.0 / (SELECT count(*) FROM e)) || '%)' AS line FROM k WHERE section = 'by_decision'
+UNION ALL SELECT 2, place, '  ' || rpad(label, 25, ' ') || ' ' || lpad(format('{:,}', n), 6, ' ') FROM k WHERE section = 'by_event'
+UNION ALL SELECT 4, place, '  ' || lpad(format('{:,}', n), 4, ' ') || '  ' || label FROM k WHERE section = 'top_files_denied' AND place <= most
+UNION ALL SELECT 5, place, '  ' || lpad(format('{:,}', n), 3, ' ') || 'x  ' || label FROM k WHERE section = 'retry_patterns' AND place <= most""")
+def report_lines(spark, sf_dir):
+    """The text report's lines of decisions, events, files and retries."""
+    lines = T.text_report(kept_summary(spark, sf_dir))
+    return lines.where("section IN (1, 2, 4, 5) AND place BETWEEN 1 AND 1000").select("section", F.col("place").cast("long").alias("place"), "line")
+
+
+# --- logs as files
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ord FROM events")
+def log_ord(spark, sf_dir):
+    """The log as JSON lines in several files, each line with its number in the whole log."""
+    path = scratch(spark, "log")
+    e = read(spark, sf_dir, "events")
+    e.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select(F.to_json(F.struct("event_id", "event_type", "props"))).write.text(path)
+    return read_log(spark, path).select(F.try_variant_get(V.parse("value"), "$.event_id", "bigint").alias("event_id"), "ord")
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def tail_responses(spark, sf_dir):
+    """A file for each conversation; what its assistant said last, from the file's end."""
+    path = scratch(spark, "transcripts")
+    c = read(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    c.select("conv_id", "turn", line.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    found = last_responses(read_tails(spark, path))
+    return found.select(F.regexp_extract("path", r"conv_id=(-?\d+)/", 1).cast("long").alias("conv_id"), "said")
+
+
 # --- payload projections
 
 

@@ -61,3 +61,33 @@ def test_log_files(spark, tmp_path):
     back = read_log(spark, str(tmp_path / "log"))
     assert back.count() == 3 and {r.value for r in back.collect()} == {'{"a":"b","z":2}', '{"a":"a","z":1}'}
     assert T.counted(back, "value").count() == 2
+
+
+def test_summary_equals_the_report_from_one_scan(spark, tmp_path):
+    many = [line(f"session{i % 4}", [deny(f"R{i % 3}", metadata={"path": f"p{i % 5}", "hits": ["h", 3, f"p{i % 2}"]}, message=f"m{i}"), {"rule_id": "C", "decision": (None, "ask", 5)[i % 3], "severity": "LOW"}], timestamp=f"2024-01-{1 + i % 20:02d}T00") for i in range(90)]
+    many += [line("fixture-1", [deny()]), line("test-2"), line("x"), line("x", [{"rule_id": "N", "decision": 5}]), line("y", timestamp=""), line("y", [3, {}])]
+    e = T.entries_of(table(spark, *many))
+    assert T.summary(e)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    T.summary(e).write.parquet(str(tmp_path / "summary"))
+    got, want = T.unpacked(spark.read.parquet(str(tmp_path / "summary"))), T.report(e)
+    keys = {"by_event": "event", "top_tools": "tool", "by_decision": "decision", "by_severity": "severity", "top_rules_denied": "rule_id"}
+    for name, key in keys.items():
+        assert rows(got[name], key, "n") == rows(want[name], key, "n"), name
+    for name in ("totals", "daily_counts", "date_range"):
+        assert [tuple(r) for r in got[name].collect()] == [tuple(r) for r in want[name].collect()], name
+    assert [(r.label, r.n) for r in got["retry_patterns"].collect()] == [(r.label, r.n) for r in want["retry_patterns"].collect()]
+    assert {(r.file, r.n) for r in got["top_files_denied"].collect()} == {(r.file, r.n) for r in want["top_files_denied"].collect()}
+    assert rows(got["by_rule"], "rule_id", "n")[0] == ("C", 90) and [r.example for r in got["top_rules_denied"].collect()] == ["m0", "m1", "m2"]
+    lines = [r.line for r in T.text_report(got, home="p").orderBy("section", "place", "part").collect()]
+    at = lines.index("--- Decisions ---")
+    assert lines[:4] == ["=" * 70, "HOOK ACTIVITY REPORT", "=" * 70, ""] and lines[4:8] == ["Date range: 2024-01-01 to 2024-01-20", "Total hook events: 96", "Fixture/test sessions filtered: 2", "Unique sessions: 6"]
+    assert lines[at + 1] == "  deny             90  (93.8%)" and "  R0                           30" in lines and "    └─ e.g. m0" in lines and "  (none detected)" not in lines and "    60  h" not in lines
+    T.summary(e.limit(0)).write.parquet(str(tmp_path / "none"))
+    empty = [r.line for r in T.text_report(T.unpacked(spark.read.parquet(str(tmp_path / "none")))).orderBy("section", "place", "part").collect()]
+    assert "Date range: unknown" in empty and "  (none detected)" in empty and "Total hook events: 0" in empty
+
+
+def test_one_decimal(spark):
+    values = [n / d * 100 for n, d in ((6005, 10000), (1, 3), (1, 8), (3, 8), (1, 16), (0, 5), (1, 1), (9995, 10000), (99999, 100000), (1235, 10000), (5, 10000), (15, 10000))]
+    got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", T.one_decimal(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got == [f"{v:.1f}" for v in values]
