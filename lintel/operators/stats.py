@@ -157,12 +157,15 @@ def unpacked(done: DataFrame) -> dict[str, DataFrame]:
 
 
 def one_decimal(x: Column) -> Column:
-    """Text of a number that is not negative, rounded as the binary number it is, where the engine's own formats round the
-    decimal that it prints as: 60.05 is a little less, and gives 60.0."""
-    tenths = (x - F.floor(x)) * 10  # exact: the whole part's bits make room
-    rest = tenths - F.floor(tenths)
-    up = (rest > 0.5) | ((rest == 0.5) & (F.floor(tenths) % 2 == 1))
-    whole = F.floor(x) * 10 + F.floor(tenths) + up.cast("int")
+    """Text of a number from 0 on, rounded as the binary number it is, halves to even; the engine's own formats round the
+    decimal that it prints as."""
+    part = x - F.floor(x)
+    bits = 1 << 55  # a part of one is a whole number of them, but for what is too small to count
+    scaled = F.when(x < 8, (part * float(2 * bits)).cast("long") * 10)  # in whole numbers
+    tenths = F.when(x < 8, F.shiftright(scaled, 56)).otherwise(F.floor(part * 10))  # from 8 on the whole part's bits make room
+    beyond = F.when(x < 8, (scaled - tenths * (2 * bits) - bits).cast("double")).otherwise(part * 10 - tenths - 0.5)
+    up = (beyond > 0) | ((beyond == 0) & (tenths % 2 == 1))
+    whole = F.floor(x) * 10 + tenths + up.cast("int")
     return F.concat(F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"))
 
 

@@ -203,7 +203,7 @@ def stats_summary(spark, sf_dir):
     return out
 
 
-@query(REPORT_SQL + """SELECT 1 AS section, place, '  ' || rpad(label, 12, ' ') || ' ' || lpad(format('{:,}', n), 6, ' ') || '  (' || printf('%.1f', n * 100.0 / (SELECT count(*) FROM e)) || '%)' AS line FROM k WHERE section = 'by_decision'
+@query(REPORT_SQL + """SELECT 1 AS section, place, '  ' || rpad(label, 12, ' ') || ' ' || lpad(format('{:,}', n), 6, ' ') || '  (' || printf('%.1f', n::DOUBLE / (SELECT count(*) FROM e) * 100) || '%)' AS line FROM k WHERE section = 'by_decision'
 UNION ALL SELECT 2, place, '  ' || rpad(label, 25, ' ') || ' ' || lpad(format('{:,}', n), 6, ' ') FROM k WHERE section = 'by_event'
 UNION ALL SELECT 4, place, '  ' || lpad(format('{:,}', n), 4, ' ') || '  ' || label FROM k WHERE section = 'top_files_denied' AND place <= most
 UNION ALL SELECT 5, place, '  ' || lpad(format('{:,}', n), 3, ' ') || 'x  ' || label FROM k WHERE section = 'retry_patterns' AND place <= most""")

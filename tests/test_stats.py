@@ -88,6 +88,6 @@ def test_summary_equals_the_report_from_one_scan(spark, tmp_path):
 
 
 def test_one_decimal(spark):
-    values = [n / d * 100 for n, d in ((6005, 10000), (1, 3), (1, 8), (3, 8), (1, 16), (0, 5), (1, 1), (9995, 10000), (99999, 100000), (1235, 10000), (5, 10000), (15, 10000))]
+    values = [n / d * 100 for n, d in ((6005, 10000), (1, 3), (1, 8), (3, 8), (1, 16), (0, 5), (1, 1), (9995, 10000), (99999, 100000), (1235, 10000), (5, 10000), (15, 10000), *((n, 4000) for n in range(1, 4000, 7)))]
     got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", T.one_decimal(F.col("v")).alias("t")).orderBy("i").collect()]
     assert got == [f"{v:.1f}" for v in values]
