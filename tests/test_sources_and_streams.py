@@ -89,3 +89,30 @@ def test_full_reads_batch_and_stream(spark, tmp_path):
 def test_counters(spark):
     df = spark.createDataFrame([(1, "k", False), (2, "k", False), (3, "k", False), (4, "k", True), (5, "k", False)], "ord long, key string, fixed boolean")
     assert [(r.ord, r.n, r.escalates) for r in S.repeat_counts(df, ["key"], "ord", "fixed").orderBy("ord").collect()] == [(1, 1, False), (2, 2, False), (3, 3, True), (5, 1, False)]
+
+
+def test_look_back_over_spans(spark):
+    import random
+
+    rng = random.Random(5)
+    for ttl in (0, 1, 7, 50):
+        rows = [(rng.choice(["s", "t", None]), rng.choice(["p", None]), i, rng.randrange(-60, 120), rng.choice([True, False, False, None])) for i in range(300)]
+        df = spark.createDataFrame(rows, "session string, path string, ord long, at long, full boolean")
+        want = {o: any(f and (s2, p2) == (s, p) and (a - ttl <= a2 < a or a2 == a and o2 < o) for s2, p2, o2, a2, f in rows) for s, p, o, a, _ in rows}
+        out = S.known_full_reads(df, ttl=ttl)
+        assert out.columns == [*df.columns, "known"] and {r.ord: r.known for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+
+
+def test_a_hot_key_is_dealt_by_its_spans(spark):
+    df = spark.range(20_000).select(F.lit("s").alias("session"), F.lit("p").alias("path"), F.col("id").alias("ord"), (F.col("id") * 10).alias("at"), (F.col("id") % 50 == 0).alias("full"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = S.known_full_reads(df, ttl=300)
+        by = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(by) == 4 and max(by) < 10_000 and out.where("known").count() == 20_000 // 50 * 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
