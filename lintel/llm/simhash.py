@@ -291,12 +291,17 @@ def shingle_set(text: Column, shingle: int) -> Column:
 
 
 def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """pairs (a, b, ra, rb: ids of documents) whose sets of shingles have at least that Jaccard similarity -> (a, b)."""
+    """pairs (a, b, ra, rb: ids of documents, ha, hb: hashes of their texts) whose sets of shingles have at least that Jaccard
+    similarity -> (a, b). Of the texts of an id that several have, the one with that hash counts."""
     ids = pairs.select(F.col("ra").alias("id")).unionByName(pairs.select(F.col("rb").alias("id"))).distinct()
-    sets = written(docs.join(ids, "id").dropDuplicates(["id"]).select("id", shingle_set(F.col("text"), shingle).alias("s")), "shingles")
-    side = lambda k: sets.select(F.col("id").alias(f"r{k}"), F.col("s").alias(f"s{k}"))
+    texts = docs.join(ids, "id").withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"])
+    sets = written(texts.select("id", "th", shingle_set(F.col("text"), shingle).alias("s")), "shingles")
+    several = sets.groupBy("id").agg((F.min("th") < F.max("th")).alias("several"))
+    sets = sets.join(several, "id")
+    side = lambda k: sets.select(F.col("id").alias(f"i{k}"), F.col("th").alias(f"t{k}"), F.col("several").alias(f"several_{k}"), F.col("s").alias(f"s{k}"))
+    of = lambda k: (F.col(f"r{k}") == F.col(f"i{k}")) & (~F.col(f"several_{k}") | (F.col(f"h{k}") == F.col(f"t{k}")))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(side("a"), "ra").join(side("b"), "rb").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(side("a"), of("a")).join(side("b"), of("b")).where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, heavy: int = 1 << 18, far: int = 0, similarity: float = 0.8) -> DataFrame:
@@ -307,8 +312,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs does not meet under one fingerprint, and fewer under neither."""
     own = written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
     if far > most:
-        first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other", "n")).alias("m"))
-        nodes = first.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.other").alias("other"), F.col("m.n").alias("n"))
+        first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "other", "n")).alias("m"))
+        nodes = first.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.h").alias("text_h"), F.col("m.other").alias("other"), F.col("m.n").alias("n"))
     else:
         nodes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = written(nodes, "nodes")
@@ -323,7 +328,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if far > most:
         now = written(now, "labels")
         # one node stands for a second fingerprint; others that have it are candidates with that one
-        seconds = written(nodes.groupBy("other").agg(F.min(F.struct("fp", "rep", "n")).alias("m")).select("other", "m.*"), "seconds")
+        seconds = written(nodes.groupBy("other").agg(F.min(F.struct("fp", "rep", "text_h", "n")).alias("m")).select("other", "m.*"), "seconds")
         named = now.select("fp", "label")
         entries = named.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label").unionByName(seconds.join(named, "fp").select(F.col("other").alias("bits"), F.lit(True).alias("second"), "label"))
     found = search(entries, most, far, heavy=heavy)
@@ -337,9 +342,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             """(the pairs of nodes that candidates stand for, those of them that are alike)."""
             met, pairs = None, written(pairs.distinct(), "candidates")  # a pair meets in several buckets
             for kind, bits in ((FIRST, "fp"), (SECOND, "other")):
-                side = lambda k: (nodes if kind == FIRST else seconds).select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
+                side = lambda k: (nodes if kind == FIRST else seconds).select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("text_h").alias(f"h{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
                 part = pairs.where(F.col("kind") == kind).join(side("a"), "a").join(side("b"), "b").where(f"fa <> fb AND least(na, nb) >= {similarity} * greatest(na, nb)")
-                part = part.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), F.when(F.col("fa") < F.col("fb"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("fa") < F.col("fb"), F.col("rb")).otherwise(F.col("ra")).alias("rb"))
+                swap = lambda x, y: F.when(F.col("fa") < F.col("fb"), F.col(x)).otherwise(F.col(y))
+                part = part.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), swap("ra", "rb").alias("ra"), swap("rb", "ra").alias("rb"), swap("ha", "hb").alias("ha"), swap("hb", "ha").alias("hb"))
                 met = part if met is None else met.unionByName(part)
             met = written((met if known is None else met.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct(), "met")
             return met, alike(texts, met, similarity, shingle + 1)

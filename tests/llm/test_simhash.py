@@ -211,3 +211,19 @@ def test_odd_rows(spark):
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df).collect()]
     assert len(got) == len(TEXTS) + 2 and {c for i, _, c in got if i in (3, 4, None)} == {3}
     assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+def test_near_copies_among_rows_that_repeat_an_id(spark):
+    """A near copy five to eight bits off is compared with the text it is like, whichever row of an id comes first."""
+    rng = random.Random(12)
+    while True:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(220)]
+        x = [*w[:100], f"y{rng.randrange(10**6)}", *w[101:]]
+        a, b = " ".join(w), " ".join(x)
+        if 5 <= (plain(a) ^ plain(b)).bit_count() <= 8:
+            break
+    other = lambda: " ".join(f"z{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(1, other()), (1, a), (2, b), (3, other())]
+    for given in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        kept = simhash.near_dedup(spark.createDataFrame(given, "doc_id long, text string"))
+        assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[1], rows[3]])
