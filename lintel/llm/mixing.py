@@ -9,7 +9,7 @@ joined by shuffle, where skewed sources are split at run time.
 
 A null source is a source of its own. Where no source of the table has a weight above 0 the result is empty; negative weights
 raise. Texts of any length are carried whole. An empty table gives an empty result. Rows that repeat a doc_id get equal counts. Documents with null ids share one
-uniform. The input's columns come back as they were; ours end in names given by `prefix`, so they do not clash.
+uniform. The input's columns come back as they were; ours begin with `prefix` and do not clash.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import fresh, partitions, table, written
 
 PART, TERMS, SOURCES = 16.0, 81, 10_000  # P(count > 80 | mean 16) < 2^-52, the grain of a uniform
 
@@ -48,19 +48,20 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
-    """docs' columns plus {prefix}copy (from 1), {prefix}copies, {prefix}rate, {prefix}key; in shuffled order."""
-    c = lambda x: f"{prefix}{x}"
+    """docs' columns plus {prefix}copy (from 1), {prefix}copies, {prefix}rate, {prefix}key; in shuffled order. A name that docs
+    has gets underscores after it until it is new."""
+    c = lambda x: fresh(docs, f"{prefix}{x}")
     rates = source_rates(docs, weights, size, source_col).select(*(F.col(x).alias(c(x)) for x in ("src", "rate", "parts", "cdf")))
     rates = written(rates, "rates")
     if rates.count() <= SOURCES:  # a checked size: about 700 bytes a source
         rates = F.broadcast(rates)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draw = lambda i: F.size(F.filter(F.col(c("cdf")), lambda x: x <= uniform(F.lit(str(seed)), ident, i.cast("string"))))
-    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(c("parts"))), draw), F.lit(0), lambda a, x: a + x)
+    drawn = F.transform(F.sequence(F.lit(1), F.col(c("parts"))), lambda i: uniform(F.lit(str(seed)), ident, i.cast("string")))  # each digest once
+    count = F.aggregate(F.transform(drawn, lambda u: F.size(F.filter(F.col(c("cdf")), lambda x: x <= u))), F.lit(0), lambda a, x: a + x)
     out = docs.join(rates, F.col(source_col).eqNullSafe(F.col(c("src")))).withColumn(c("copies"), count).where(F.col(c("copies")) > 0)
     out = out.withColumn(c("copy"), F.explode(F.sequence(F.lit(1), F.col(c("copies")))))
     out = out.withColumn(c("key"), F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), ident, F.col(c("copy")).cast("string"))))
-    out = out.select(*(F.col(x) for x in docs.columns), *(F.col(c(x)) for x in ("copy", "copies", "rate", "key")))
+    out = out.select(*(F.col(f"`{x}`") for x in docs.columns), *(F.col(c(x)) for x in ("copy", "copies", "rate", "key")))
     return out.repartition(partitions(docs.sparkSession), c("key")).sortWithinPartitions(c("key"))
 
 

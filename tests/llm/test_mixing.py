@@ -51,3 +51,16 @@ def test_no_source_with_a_weight(spark):
     assert mixing.poisson_mix(df, {"absent": 1.0}, prefix="own_").count() == 0 and mixing.poisson_mix(df, {"a": 0.0}, prefix="own_").count() == 0
     with pytest.raises(ValueError):
         mixing.poisson_mix(df, {"a": -1.0})
+
+
+def test_columns_named_like_ours_come_back(spark):
+    names = ["copy", "copies", "rate", "key", "src", "parts", "cdf"]
+    plain = [(i, f"text {i}", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(plain, "doc_id long, text string, source string")
+    odd = df.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(f"mix_{n}") for n in names), F.lit(1).alias("MIX_KEY_"), F.lit(2).alias("a.b"))
+    out = mixing.poisson_mix(odd)
+    back = out.select(*(F.col(f"`{c}`") for c in odd.columns)).distinct().collect()
+    want = {tuple(r) for r in odd.collect()}
+    assert {tuple(r) for r in back} <= want and len(out.columns) == len(odd.columns) + 4 and len({c.lower() for c in out.columns}) == len(out.columns)
+    count = lambda rows: sorted(r.doc_id for r in rows.select("doc_id").collect())
+    assert count(out) == count(mixing.poisson_mix(df))
