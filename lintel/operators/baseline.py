@@ -20,9 +20,13 @@ def fixed_ids(current: DataFrame, base: DataFrame) -> DataFrame:
     return base.select("rule", "stable_id").distinct().join(current, ["rule", "stable_id"], "left_anti")
 
 
-def tally(current: DataFrame, base: DataFrame, max_new: int = 0) -> DataFrame:
-    """(rule, current_count, baseline_count, new_count, fixed_count, passed) for rules with a violation now."""
+def tally(current: DataFrame, base: DataFrame, max_new: int = 0, generating: bool = False) -> DataFrame:
+    """(rule, current_count, baseline_count, new_count, fixed_count, passed) for rules with a violation now. While a baseline
+    is being generated nothing is compared: every rule passes with counts of zero but its own."""
     count = lambda df, name: df.groupBy("rule").agg(F.count(F.lit(1)).alias(name))
+    if generating:
+        zero = F.lit(0).cast("long")
+        return count(current, "current_count").select("rule", "current_count", zero.alias("baseline_count"), zero.alias("new_count"), zero.alias("fixed_count"), F.lit(True).alias("passed"))
     out = count(current, "current_count").join(base.groupBy("rule").agg(F.count_distinct("stable_id").alias("baseline_count")), "rule", "left")
     out = out.join(count(new_violations(current, base), "new_count"), "rule", "left").join(count(fixed_ids(current, base), "fixed_count"), "rule", "left").na.fill(0)
     return out.withColumn("passed", F.col("new_count") <= max_new)

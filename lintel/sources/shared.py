@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def matched(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or a pattern of paths, names anything."""
+    fs, p = _fs(spark, pattern)
+    return bool(fs.globStatus(p))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
