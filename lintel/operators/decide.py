@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.variants import trimmed
 from .rules import FINDING, RANKS, SEVERITIES, once
 
 
@@ -92,7 +93,7 @@ def render(events: DataFrame) -> DataFrame:
     request = F.when(d.isin("deny", "allow"), js(hookSpecificOutput=s(hookEventName="PermissionRequest", decision=s(behavior=d, updatedInput=F.when(d == "allow", given), message=F.when(d == "deny", why)))))
     start = F.when(ctx.isNotNull(), js(hookSpecificOutput=s(hookEventName="SessionStart", additionalContext=ctx)))
     talk = lambda name: F.when(stops | ctx.isNotNull(), js(decision=block, reason=say, hookSpecificOutput=extra(name)))
-    both = F.when(ctx.isNull(), say).when(stops, F.when(why != "", F.concat(why, F.lit("\n\n"), ctx)).otherwise(ctx))
+    both = F.when(ctx.isNull(), say).when(stops, F.when(why != "", trimmed(F.concat(why, F.lit("\n\n"), ctx))).otherwise(ctx))
     stop = F.when(stops | ctx.isNotNull(), js(decision=block, reason=both, systemMessage=F.when(~F.coalesce(stops, F.lit(False)), ctx)))
     message = F.when(ctx.isNotNull(), js(systemMessage=ctx))
     done = F.when(d.isin("block", "deny"), js(**{"continue": False, "stopReason": why})).otherwise(message)
