@@ -18,6 +18,7 @@ from ..functions.globs import any_matches
 from ..operators import baseline as B
 from ..operators import builtin_rules as R
 from ..operators import decide as D
+from ..operators import enclosing as E
 from ..operators import lint as L
 from ..operators import rulebook as rules_of
 from ..operators import state as S
@@ -552,6 +553,19 @@ def passage_rules(spark, sf_dir):
     return match_rules(written_documents(spark, sf_dir), rules, ("doc_id",)).select(F.col("place").alias("item_id"), "doc_id")
 
 
+# --- settings of enclosing folders
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '/+$', '') AS url FROM pages),
+r AS (SELECT regexp_replace(url, '(/[^/]*){2}$', '') AS root, count(*) AS n FROM p WHERE regexp_matches(url, '(/[^/]*){2}$') GROUP BY 1)
+SELECT page_id, max_by(root, length(root)) AS root, max_by(n, length(root)) AS n FROM p LEFT JOIN r ON url = root OR starts_with(url, root || '/') GROUP BY 1""")
+def nearest_settings(spark, sf_dir):
+    """The folder two levels above each page, with its number of pages, is a root; each page's nearest one."""
+    p = read(spark, sf_dir, "pages").select("page_id", E.folder(F.col("url")).alias("url"))
+    roots = p.where(F.col("url").rlike("(/[^/]*){2}$")).groupBy(F.regexp_replace("url", "(/[^/]*){2}$", "").alias("root")).agg(F.count(F.lit(1)).alias("n"))
+    return E.nearest(p, roots, "url").select("page_id", "found.root", "found.n")
+
+
 # --- events as a stream
 
 
