@@ -252,6 +252,7 @@ class Model:
     def __init__(self, filter_: Filter | None, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, weight: float) -> None:
         self.filter, self.frequent, self.counts, self.n, self.v = filter_, frequent, counts, n, v
         self.weight = weight  # of all words, each at the middle of its level
+        self.best: int | None = None  # which of WEIGHTS the training texts chose
 
     def exact(self, tok: np.ndarray) -> np.ndarray:
         """Count of each token among the frequent words, -1 if it is none."""
@@ -288,8 +289,11 @@ class Model:
         return np.stack([np.add.reduceat(np.log10(np.where(below > 0, w * two + (1 - w) * one, one)), begin) for w in WEIGHTS])
 
 
-def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None, most_bytes: int = 1 << 30, dictionary: int = 1 << 19) -> tuple[Model, DataFrame]:
-    """(model, count table) of training documents; the table has the filter's segments too if the model has no filter."""
+def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None, most_bytes: int = 1 << 30, dictionary: int = 1 << 19, choose: bool = True) -> tuple[Model, DataFrame]:
+    """(model, count table) of training documents; the table has the filter's segments too if the model has no filter.
+
+    choose: False leaves the mixture weight to the first score() of a table that holds all training documents, which then needs
+    no pass of its own."""
     spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
     if n_segments is None:
         n_segments = max(4 * partitions(spark), -(-int(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SEGMENT))
@@ -326,7 +330,10 @@ def fit(docs: DataFrame, text_col: str = "text", n_segments: int | None = None,
     rows = built.select("seg", "size", "w", "wn").orderBy("seg").collect()
     join = lambda k, kind: np.frombuffer(b"".join(bytes(r[k]) for r in rows), kind)
     filter_ = Filter(path if rows else np.zeros(0, np.uint8), np.array([r["size"] for r in rows], np.int64)) if sent else None
-    return Model(filter_, join("w", np.uint64), join("wn", np.int64), n, v, float(np.dot(middle(np.arange(LEVELS)), word_hist))), table_
+    model = Model(filter_, join("w", np.uint64), join("wn", np.int64), n, v, float(np.dot(middle(np.arange(LEVELS)), word_hist)))
+    if choose:
+        score(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), model, table_, F.lit(True))
+    return model, table_
 
 
 def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_900_000, most_tokens: int = 1_000_000) -> DataFrame:
@@ -412,15 +419,16 @@ def score(docs: DataFrame, model: Model, table_: DataFrame, trained: Column, id_
         got = made.where("kind = 'body'").select("row", "keys", "at").groupBy("row").cogroup(level.groupBy("row")).applyInPandas(mixed, "row long, scores array<double>, kind string")
         got = written(got, "lm-scores")
         rows = rows.drop("scores").join(got.where("kind = 'text'").drop("kind"), "row")
-    sums = (made if model.filter else got).where("kind = 'fit'").agg(*(F.sum(F.col("scores")[i]) for i in range(len(WEIGHTS)))).first()
-    best = max(range(len(WEIGHTS)), key=lambda i: sums[i] if sums[i] is not None else 0.0)
+    if model.best is None:  # by leave-one-out over the training documents
+        sums = (made if model.filter else got).where("kind = 'fit'").agg(*(F.sum(F.col("scores")[i]) for i in range(len(WEIGHTS)))).first()
+        model.best = max(range(len(WEIGHTS)), key=lambda i: sums[i] if sums[i] is not None else 0.0)
     below = float(np.log10(model.n + model.v + 1))
     known, logs = F.col("known") + F.coalesce("more", F.lit(0)), F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return rows.join(told, "row", "left").select("doc_id", "trained", "n_tokens", known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * below).alias("base_score"), F.col("scores")[best].alias("score"))
+    return rows.join(told, "row", "left").select("doc_id", "trained", "n_tokens", known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * below).alias("base_score"), F.col("scores")[model.best].alias("score"))
 
 
 def op3_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     learned = training(F.col("doc_id"))
-    out = score(docs, *fit(docs.where(learned)), learned)
+    out = score(docs, *fit(docs.where(learned), choose=False), learned)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

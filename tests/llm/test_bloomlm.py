@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lintel.llm import bloomlm as lm
@@ -117,3 +118,17 @@ def test_odd_rows(spark):
     none = docs.limit(0)
     assert lm.score(none, *lm.fit(none), learned).count() == 0
     assert lm.score(docs, *lm.fit(none), learned).where("n_known = 0 AND train_tokens = 0").count() == len(rows)
+
+
+def test_a_text_scores_the_same_alone(spark):
+    """The mixture weight is the training texts' choice, whatever else is scored."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    learned = lm.training(F.col("doc_id"))
+    scores = lambda df, *fitted: {r.doc_id: r.score for r in lm.score(df, *fitted, learned).collect()}
+    for most_bytes in (1 << 30, 0):
+        fitted = lm.fit(docs.where(learned), n_segments=3, most_bytes=most_bytes)
+        whole = scores(docs, *fitted)
+        alone = scores(docs.where(~learned), *fitted)
+        assert alone and all(whole[i] == pytest.approx(x, abs=1e-9) for i, x in alone.items())
+    late = scores(docs, *lm.fit(docs.where(learned), n_segments=3, choose=False))
+    assert late == pytest.approx(whole)
