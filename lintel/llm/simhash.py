@@ -14,7 +14,10 @@ nor its share. A bucket of more than `heavy` members is cut in blocks, a task fo
 With `far` (the pipeline's stage) a second fingerprint of the same shingles, by an independent hash, is dealt along with
 the first. Pairs within `far` bits of either are candidates whose five-word shingles are compared. Of the candidates
 between two labels a stretch gives a spanning forest; the fingerprints of all others are held, and are dealt once more
-after the forest is verified, giving every pair that verified links have not joined: none is dropped.
+after the forest is verified, for every pair that verified links have not joined. Then each carries an odd sketch of its
+set (Mitzenmacher, Pagh, Pham 2014: 256 bits, a bit is the parity of the shingles that fall on it). Sketches differ in no
+more bits than sets do in members, so a pair whose sketches differ in more than its similarity allows is no link, and is not
+given; every other pair is given and verified. Sets of some 600 members and more fill the sketch: only their sizes tell then.
 
 Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Texts of any length
 are read whole, a few MB at a time. Repeated rows get equal answers. A null doc_id never names a component unless all of
@@ -232,19 +235,40 @@ CROWDED = 1 << 16  # keys that are broadcast at most
 SURE, FIRST, SECOND = 0, 1, 2  # kinds: a link of two labels; candidates by the first and by the second fingerprint
 
 
-def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, every: bool = False, heavy: int = 1 << 18, rows: int = 1 << 18) -> DataFrame:
+SKETCH = 4  # words of 64 bits
+SKETCHED = ["n", *(f"sketch{k}" for k in range(SKETCH))]
+
+
+def odd_sketch(s: str) -> list[Column]:
+    """Columns SKETCHED of an array of hashes: its size and, bit by bit, the parity of the hashes that fall on a bit."""
+    word = lambda k: F.expr(f"aggregate({s}, 0L, (acc, x) -> acc ^ if(shiftright(x, 6) & {SKETCH - 1} = {k}, shiftleft(1L, cast(x & 63 AS int)), 0L))")
+    return [F.size(s).cast("long").alias("n"), *(word(k).alias(f"sketch{k}") for k in range(SKETCH))]
+
+
+def may_be_alike(of: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of rows i and j, by their columns SKETCHED, can have that Jaccard similarity: never false if they have."""
+    n, words_ = of[0], [x.view(np.uint64) for x in of[1:]]
+    apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words_)
+    least, greatest = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return (least >= similarity * greatest - 1e-6) & (apart * (1 + similarity) <= (1 - similarity) * (least + greatest) + 1e-6)
+
+
+def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, every: bool = False, heavy: int = 1 << 18, rows: int = 1 << 18, similarity: float = 0.0) -> DataFrame:
     """nodes (bits, second: which fingerprint they are of, label) -> FOUND: links of two labels, candidates (lower first), and in
-    rows of their own the fingerprints some of whose candidates are not given, unless with `every` all are."""
+    rows of their own the fingerprints some of whose candidates are not given, unless with `every` all are.
+
+    With a similarity, nodes also have the columns SKETCHED, and candidates that cannot be that similar are not given."""
     spark = nodes.sparkSession
     parts = partitions(spark)
+    sketched = SKETCHED if similarity else []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                own, second, label = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                own, second, label, *sketch = (c.to_numpy(zero_copy_only=False) for c in part.columns)
                 keys, at = key_pairs(own.view(np.uint64), nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(keys | np.where(second[at], OTHER, 0)), pa.array(own[at]), pa.array(label[at])], names=["key", "bits", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys | np.where(second[at], OTHER, 0)), *(pa.array(x[at]) for x in (own, label, *sketch))], names=["key", "bits", "label", *sketched])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
@@ -252,13 +276,16 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
 
         names = ["a", "b", "kind", "held"]
         for part in stretches(batches, rows):
-            key, own, label = (c.to_numpy() for c in part.columns)
+            key, own, label, *sketch = (c.to_numpy() for c in part.columns)
             bits = own.view(np.uint64)
             known, at = np.unique(label, return_inverse=True)
             root = sure_parts(key, bits, at, len(known), most)
             moved = np.flatnonzero(root != np.arange(len(known)))
             yield out(known[moved], known[root[moved]], np.full(len(moved), SURE))
             for i, j, rest in candidates(key, bits, root[at], far, every) if far > most else ():
+                if sketch and not rest:
+                    ok = may_be_alike(sketch, i, j, similarity)
+                    i, j = i[ok], j[ok]
                 kind = np.where(key[i] & OTHER, SECOND, FIRST)
                 if not rest:
                     x, y = np.minimum(bits[i], bits[j]), np.maximum(bits[i], bits[j])
@@ -270,7 +297,8 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
                     for lo in range(0, len(some), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([some[lo : lo + (1 << 16)]], pa.list_(pa.int64()))], names=names)
 
-    keyed = nodes.select("bits", "second", "label").repartition(parts).mapInArrow(emit, "key long, bits long, label long")
+    columns = ", ".join(f"{c} long" for c in ("key", "bits", "label", *sketched))
+    keyed = nodes.select("bits", "second", "label", *sketched).repartition(parts).mapInArrow(emit, columns)
     if nodes.count() > heavy:  # no bucket can have more members than there are nodes
         crowd = keyed.groupBy("key").count().where(F.col("count") > heavy).select("key", F.ceil(F.col("count") / heavy).cast("int").alias("blocks"))
         crowd = written(crowd, "crowded-keys")
@@ -279,7 +307,7 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
         keyed = keyed.join(crowd, "key", "left")
         own = F.pmod(F.xxhash64("bits"), "blocks").cast("int")
         each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.greatest(o, own) * F.col("blocks") + F.least(o, own)))
-        keyed = keyed.select(F.explode(each).alias("block"), "key", "bits", "label").select((F.col("block").cast("long") * F.lit(1 << 27) + F.col("key")).alias("key"), "bits", "label")
+        keyed = keyed.select(F.explode(each).alias("block"), "key", "bits", "label", *sketched).select((F.col("block").cast("long") * F.lit(1 << 27) + F.col("key")).alias("key"), "bits", "label", *sketched)
     return keyed.repartition(4 * parts, "key").sortWithinPartitions("key", "label").mapInArrow(find, FOUND)
 
 
@@ -290,16 +318,24 @@ def shingle_set(text: Column, shingle: int) -> Column:
     return F.transform(F.array(words_), lambda w: F.array_distinct(each(w)))[0]  # names the words, so they are split once
 
 
-def alike(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """pairs (a, b, ra, rb: ids of documents, ha, hb: hashes of their texts) whose sets of shingles have at least that Jaccard
-    similarity -> (a, b). Of the texts of an id that several have, the one with that hash counts."""
-    ids = pairs.select(F.col("ra").alias("id")).unionByName(pairs.select(F.col("rb").alias("id"))).distinct()
-    texts = docs.join(ids, "id").withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"])
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, th: hash of a text, several: whether other texts have the id too, s: the text's set of shingles) of documents with
+    these ids (repeated ones count once), as a table."""
+    texts = docs.join(ids.distinct(), "id").withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"])
     sets = written(texts.select("id", "th", shingle_set(F.col("text"), shingle).alias("s")), "shingles")
-    several = sets.groupBy("id").agg((F.min("th") < F.max("th")).alias("several"))
-    sets = sets.join(several, "id")
+    return sets.join(sets.groupBy("id").agg((F.min("th") < F.max("th")).alias("several")), "id")
+
+
+def own_text(rep: str, h: str, id_: str = "id", th: str = "th", several: str = "several") -> Column:
+    """Joins a document, by its id and the hash of its text, to its row of sets_of()."""
+    return (F.col(rep) == F.col(id_)) & (~F.col(several) | (F.col(h) == F.col(th)))
+
+
+def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b, ra, rb: ids of documents, ha, hb: hashes of their texts) whose sets, as sets_of() gives them, have at least
+    that Jaccard similarity -> (a, b). Of the texts of an id that several have, the one with that hash counts."""
     side = lambda k: sets.select(F.col("id").alias(f"i{k}"), F.col("th").alias(f"t{k}"), F.col("several").alias(f"several_{k}"), F.col("s").alias(f"s{k}"))
-    of = lambda k: (F.col(f"r{k}") == F.col(f"i{k}")) & (~F.col(f"several_{k}") | (F.col(f"h{k}") == F.col(f"t{k}")))
+    of = lambda k: own_text(f"r{k}", f"h{k}", f"i{k}", f"t{k}", f"several_{k}")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(side("a"), of("a")).join(side("b"), of("b")).where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -338,8 +374,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if far > most:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-        def compared(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-            """(the pairs of nodes that candidates stand for, those of them that are alike)."""
+        def compared(pairs: DataFrame, known: DataFrame | None = None, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+            """(the pairs of nodes that candidates stand for, those of them that are alike). sets: those of all their documents."""
             met, pairs = None, written(pairs.distinct(), "candidates")  # a pair meets in several buckets
             for kind, bits in ((FIRST, "fp"), (SECOND, "other")):
                 side = lambda k: (nodes if kind == FIRST else seconds).select(F.col(bits).alias(k), F.col("fp").alias(f"f{k}"), F.col("rep").alias(f"r{k}"), F.col("text_h").alias(f"h{k}"), F.col("n").alias(f"n{k}"))  # noqa: B023, E731
@@ -348,7 +384,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = part.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), swap("ra", "rb").alias("ra"), swap("rb", "ra").alias("rb"), swap("ha", "hb").alias("ha"), swap("hb", "ha").alias("hb"))
                 met = part if met is None else met.unionByName(part)
             met = written((met if known is None else met.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct(), "met")
-            return met, alike(texts, met, similarity, shingle + 1)
+            if sets is None:
+                sets = sets_of(texts, met.select(F.col("ra").alias("id")).unionByName(met.select(F.col("rb").alias("id"))), shingle + 1)
+            return met, alike(sets, met, similarity)
 
         one = seconds.select("other", F.col("fp").alias("b")).join(named.select(F.col("fp").alias("b"), F.col("label").alias("with")), "b")
         stars = now.join(one, "other").where(F.col("label") != F.col("with")).select(F.col("fp").alias("a"), "b", F.lit(FIRST).alias("kind"))
@@ -357,10 +395,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         left = found.where("held IS NOT NULL").select("kind", F.explode("held").alias("bits")).distinct()
         if found.where("held IS NOT NULL").limit(1).count():
             now = written(labelled(links), "labels")
-            again = left.where(F.col("kind") == FIRST).join(now, F.col("bits") == F.col("fp")).select("bits", F.lit(False).alias("second"), "label")
-            again = again.unionByName(left.where(F.col("kind") == SECOND).join(seconds.select(F.col("other").alias("bits"), "fp"), "bits").join(now.select("fp", "label"), "fp").select("bits", F.lit(True).alias("second"), "label"))
-            rest = search(written(again, "held"), most, far, every=True, heavy=heavy)
-            links = links.unionByName(compared(rest.where("kind > 0").select("a", "b", "kind"), tried)[1])
+            again = left.where(F.col("kind") == FIRST).join(now, F.col("bits") == F.col("fp")).select("bits", F.lit(False).alias("second"), "label", "rep", "text_h")
+            again = again.unionByName(left.where(F.col("kind") == SECOND).join(seconds.select(F.col("other").alias("bits"), "fp", "rep", "text_h"), "bits").join(now.select("fp", "label"), "fp").select("bits", F.lit(True).alias("second"), "label", "rep", "text_h"))
+            again = written(again, "held")
+            sets = sets_of(texts, again.select(F.col("rep").alias("id")), shingle + 1)
+            sketches = sets.select("id", "th", "several", *odd_sketch("s"))
+            again = written(again.join(sketches, own_text("rep", "text_h")).select("bits", "second", "label", *SKETCHED), "sketches")
+            rest = search(again, most, far, every=True, heavy=heavy, similarity=similarity)
+            links = links.unionByName(compared(rest.where("kind > 0").select("a", "b", "kind"), tried, sets)[1])
     named = labelled(links)
     named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id")
     return own.join(named, "fp").select("doc_id", "h", F.col("label").alias("group"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

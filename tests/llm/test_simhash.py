@@ -227,3 +227,49 @@ def test_near_copies_among_rows_that_repeat_an_id(spark):
     for given in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
         kept = simhash.near_dedup(spark.createDataFrame(given, "doc_id long, text string"))
         assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_sketches_never_reject_what_is_alike(spark):
+    """Odd sketches of sets of 0 to 900 members: no pair at the similarity is refused; of sets that do not fill 256 bits,
+    nearly all others are."""
+    rng = random.Random(31)
+    sets = [[], [7], [9]]
+    for _ in range(150):
+        base = [rng.getrandbits(64) - (1 << 63) for _ in range(rng.choice([1, 4, 12, 40, 150, 900]))]
+        cut = max(1, round(len(base) * rng.choice([0.5, 0.8, 0.85, 0.9, 1.0])))
+        sets += [base, base[:cut], [*base[:cut], *(rng.getrandbits(64) - (1 << 63) for _ in range(len(base) // 12))]]
+    df = spark.createDataFrame(list(enumerate(sets)), "i int, s array<long>")
+    rows = df.select("i", *simhash.odd_sketch("s")).orderBy("i").collect()
+    columns = [np.array([r[c] for r in rows], np.int64) for c in simhash.SKETCHED]
+    assert columns[0].tolist() == [len(x) for x in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    may = simhash.may_be_alike(columns, i, j, 0.8)
+    alike = np.array([len(set(sets[x]) & set(sets[y])) >= 0.8 * len(set(sets[x]) | set(sets[y])) for x, y in zip(i.tolist(), j.tolist())])
+    small = columns[0][i] + columns[0][j] <= 400
+    assert may[alike].all() and alike.sum() > 100 and may[small & ~alike].mean() < 0.02
+
+
+def test_a_crowd_of_unlike_texts_gives_few_candidates(spark, monkeypatch):
+    """Short texts within 11 bits of one another but under 0.8 alike are not taken to be compared; near ones among them link."""
+    rng = random.Random(8)
+    fps = list(dict.fromkeys(sum(1 << b for b in rng.sample(range(62), 4)) for _ in range(200)))
+    docs = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in fps]
+    many = len(fps)
+    fps += [f ^ 3 << 20 + i for i, f in enumerate(fps[:20])]  # two bits off, more than are linked unseen
+    docs += [x + " end" for x in docs[:20]]
+    assert len(set(fps)) == len(fps)
+    own = spark.createDataFrame([(i, i, f, rng.getrandbits(62), 36) for i, f in enumerate(fps)], "doc_id long, h long, fp long, other long, n long")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: own)
+    sizes, real = [], simhash.written
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "candidates":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counting)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(df, most=1, far=8).collect()}
+    assert got == {i: i - many if i >= many else i for i in range(len(fps))}
+    assert len(sizes) == 2 and sizes[1] <= 40
