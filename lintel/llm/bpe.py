@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, filesystem, flat, ragged, scratch, slices, table, written
+from .common import dropped, filesystem, flat, ragged, scratch, slices, table, trimmed, written
 from .transducer import Transducer, compile_words, mapped
 
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -216,7 +216,7 @@ def build_lexicon(m: Merges, words_: list[str]) -> bytes:
     return compile_words({t: x.tolist() for t, x in zip(texts, cuts, strict=True)})
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 16, digests: bool = False, slice_bytes: int = 3 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 16, digests: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, ids array<int>, text decoded from them), or with `digests` (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     vocabulary: path of a byte-level BPE file that every worker has; it is opened there, never shipped."""
@@ -226,25 +226,32 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     with fs.open_output_stream(path) as out:
         out.write(build_lexicon(merges(vocabulary), frequent_words(docs, text_col, lexicon_words)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(part: pa.RecordBatch) -> pa.RecordBatch:  # on its own, so that a slice's arrays are gone before the next one's
         m = merges(vocabulary)
+        texts = part.column("text").fill_null("").to_pylist()
+        which, per, _, ids, offsets, counts = encode_batch(m, mapped(lexicon_file), texts)
+        lens = counts[which]
+        ends = np.concatenate(([0], np.cumsum(per)))
+        tokens = np.concatenate(([0], np.cumsum(lens)))[ends]
+        row, place = ragged(lens)
+        stream = ids[offsets[which][row] + place]
+        del row, place
+        decoded = decode_batch(m, stream, tokens)
+        if not digests:
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(stream, pa.int32())), pa.array(decoded)], names=["doc_id", "ids", "decoded"])
+        del stream
+        decoded_sha = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+        del decoded
+        each = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids).cast(pa.string())), ",")  # each distinct pre-token once
+        listed = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each.take(pa.array(which))), ",")
+        ids_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in listed]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(tokens)), pa.array(ids_sha), pa.array(decoded_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                texts = part.column("text").fill_null("").to_pylist()
-                which, per, _, ids, offsets, counts = encode_batch(m, mapped(lexicon_file), texts)
-                lens = counts[which]
-                ends = np.concatenate(([0], np.cumsum(per)))
-                tokens = np.concatenate(([0], np.cumsum(lens)))[ends]
-                row, place = ragged(lens)
-                stream = ids[offsets[which][row] + place]
-                decoded = decode_batch(m, stream, tokens)
-                if not digests:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(stream, pa.int32())), pa.array(decoded)], names=["doc_id", "ids", "decoded"])
-                    continue
-                each = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids).cast(pa.string())), ",")  # each distinct pre-token once
-                listed = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each.take(pa.array(which))), ",")
-                ids_sha = [hashlib.sha256(x.encode()).hexdigest() for x in listed.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(tokens)), pa.array(ids_sha), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield encoded(part)
+        trimmed()
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import ascii_lower, flat, fold, mix, one_row_each, partitions, ragged, slices, stretches, table, words, written
+from .common import ascii_lower, flat, fold, mix, one_row_each, partitions, ragged, slices, stretches, table, trimmed, words, written
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -117,6 +117,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch, "text", slice_bytes):
                 one, two, n = both_fingerprints(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["doc_id", "h", "fp", "other", "n"])
+        trimmed()
 
     text = F.col(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, fp long, other long, n long")

@@ -64,6 +64,7 @@ def score(docs: DataFrame, model: gru.Model, id_col: str = "doc_id", text_col: s
             for part in slices(batch, "text", slice_bytes):
                 text = gru.read(pc.utf8_lower(part.column("text").fill_null("")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(gru.scores(sent.value, text), pa.float64())], names=["doc_id", "score"])
+        trimmed()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -77,6 +78,7 @@ def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col: str
             for part in slices(batch, text_col, slice_bytes):
                 text = gru.read(pc.utf8_lower(part.column(text_col).fill_null("")))
                 yield part.filter(pa.array(gru.scores(sent.value, text) < limit))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -54,3 +56,26 @@ def test_round_trip(spark):
     back = {r.doc_id: r.text for r in bpe.decode(encoded, path).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert bpe.encode(docs.limit(0), path, digests=True).count() == 0
+
+
+def test_a_worker_holds_one_slice(spark, monkeypatch):
+    """The arrays of a slice are gone before the next one's, and the next task finds none of them."""
+    kept = {}
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, *_: kept.update(run=f) or df)
+    bpe.encode(docs, bpe.vocabulary_path(), digests=True)
+    words = [f"{a}{b}" for a in "some short words that stand here again and again".split() for b in "abcdefgh"]
+    texts = [" ".join(random.Random(i).choices(words, k=1000)) for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 7e6
+    bpe.merges(bpe.vocabulary_path())
+    pa.default_memory_pool().release_unused()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    rows, arrow = 0, 0
+    for out in kept["run"](iter([batch])):
+        rows, arrow = rows + out.num_rows, max(arrow, pa.total_allocated_bytes() - before)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts)
+    assert most < 40e6 and arrow < 10e6, (most, arrow)
