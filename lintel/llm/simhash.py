@@ -12,12 +12,13 @@ are sorted by key before Python sees them and are read a stretch at a time, so a
 nor its share. A bucket of more than `heavy` members is cut in blocks, a task for each pair of blocks.
 
 With `far` (the pipeline's stage) a second fingerprint of the same shingles, by an independent hash, is dealt along with
-the first. Pairs within `far` bits of either are candidates whose five-word shingles are compared. Of the candidates
-between two labels a stretch gives a spanning forest; the fingerprints of all others are held, and are dealt once more
-after the forest is verified, for every pair that verified links have not joined. Then each carries an odd sketch of its
-set (Mitzenmacher, Pagh, Pham 2014: 256 bits, a bit is the parity of the shingles that fall on it). Sketches differ in no
-more bits than sets do in members, so a pair whose sketches differ in more than its similarity allows is no link, and is not
-given; every other pair is given and verified. Sets of some 600 members and more fill the sketch: only their sizes tell then.
+the first. Pairs within `far` bits of either are candidates whose five-word shingles are compared. Each fingerprint carries
+an odd sketch of its set (Mitzenmacher, Pagh, Pham 2014: a bit is the parity of the shingles that fall on it). Sketches differ
+in no more bits than sets do in members, so a pair whose sketches differ in more than its similarity allows is no link and no
+candidate; every other pair is one. A stretch gives a spanning forest of its candidates and, for each tree, the fingerprints
+of those it did not give. Once the forest is verified, trees that links have joined whole are settled; the fingerprints of the
+others are dealt once more, for every pair that is not joined. Sketches have 128 bits, then 256; sets of some 300 members, then
+600, and more fill them: only their sizes tell then.
 
 Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Texts of any length
 are read whole, a few MB at a time. Repeated rows get equal answers. A null doc_id never names a component unless all of
@@ -40,6 +41,8 @@ from . import golay
 from .common import ascii_lower, flat, fold, mix, one_row_each, partitions, ragged, slices, stretches, table, trimmed, words, written
 from .components import components
 
+SKETCH, SHORT = 4, 2  # words of 64 bits: of all sketches, and of those that are dealt with every fingerprint
+SKETCHED = ["n", *(f"sketch{k}" for k in range(SKETCH))]
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -88,10 +91,12 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     return both_fingerprints(texts, shingle, seed)[0]
 
 
-def both_fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, fingerprints by an independent hash, numbers of distinct pairs of shingles that follow each other)."""
+def both_fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, fingerprints by an independent hash, numbers of distinct pairs of shingles that follow each other, odd
+    sketches of these pairs in SHORT words). A text of one shingle has that one as its only member."""
     h, count = shingle_hashes(texts, shingle, seed)
     one, two, sets = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), np.minimum(count, 1)
+    sketch = np.zeros((len(texts), SHORT), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         begins = (np.cumsum(count) - count)[some]
@@ -106,21 +111,26 @@ def both_fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> tupl
         row, pair = row[order], pair[order]
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))) if len(row) else np.zeros(0, bool)
         sets = np.maximum(sets, np.bincount(row[new], minlength=len(texts)))
-    return one, two, sets
+        alone = np.flatnonzero(count == 1)
+        row, pair = np.concatenate((row[new], alone)), np.concatenate((pair[new], mix(h[(np.cumsum(count) - count)[alone]])))
+        np.bitwise_xor.at(sketch.reshape(-1), row * SHORT + (pair >> np.uint64(6) & np.uint64(SHORT - 1)).astype(np.int64), np.uint64(1) << (pair & np.uint64(63)))
+    return one, two, sets, sketch
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, slice_bytes: int = 1 << 21) -> DataFrame:
-    """(doc_id, h, fp, other, n): a hash of the text, both fingerprints as signed longs, the size of its set of longer shingles."""
+    """(doc_id, h, fp, other, n, sketch0, ...): a hash of the text, both fingerprints as signed longs, the size of its set of longer
+    shingles and the SHORT words of the set's odd sketch."""
+    names = ["doc_id", "h", "fp", "other", *SKETCHED[: 1 + SHORT]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                one, two, n = both_fingerprints(part.column("text"), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["doc_id", "h", "fp", "other", "n"])
+                one, two, n, sketch = both_fingerprints(part.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n), *(pa.array(w.view(np.int64)) for w in sketch.T.copy())], names=names)
         trimmed()
 
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, fp long, other long, n long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 OTHER = 1 << 26  # marks the keys of the second fingerprint; the first ones are less
@@ -204,16 +214,20 @@ def sure_parts(key: np.ndarray, bits: np.ndarray, label: np.ndarray, n: int, mos
     return parts_of(n, *np.concatenate(links, 1))
 
 
-def candidates(key: np.ndarray, bits: np.ndarray, part: np.ndarray, far: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs of rows within `far` bits and of different parts: all with `every`, else the edges of a spanning forest over
-    the parts; in that case last, with True, the rows of pairs that were not given (twice)."""
+def candidates(key: np.ndarray, bits: np.ndarray, part: np.ndarray, far: int, every: bool, sketch: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(i, j, tree, False): pairs of rows within `far` bits and of different parts that can be that similar by their sketches. All
+    with `every`, else the edges of a spanning forest over the parts and then, with True, the rows (twice) of the pairs that
+    were not given. tree: a part that stands for the tree, -1 with `every`."""
     order = np.lexsort((part, key))
     root = list(range(int(part.max(initial=-1)) + 1))
-    held = np.zeros(len(key), bool)
+    held, edges = np.zeros(len(key), bool), [np.zeros((2, 0), np.int64)]
     for i, j, _ in near_pairs(key[order], bits[order], part[order], far):
         i, j = order[i], order[j]
+        if sketch:
+            ok = may_be_alike(sketch, i, j, similarity)
+            i, j = i[ok], j[ok]
         if every:
-            yield i, j, False
+            yield i, j, np.full(len(i), -1), False
             continue
         chosen = np.zeros(len(i), bool)
         for n in one_each(np.minimum(part[i], part[j]), np.maximum(part[i], part[j])).tolist():
@@ -225,21 +239,23 @@ def candidates(key: np.ndarray, bits: np.ndarray, part: np.ndarray, far: int, ev
             if u != v:
                 root[max(u, v)] = min(u, v)
                 chosen[n] = True
-        yield i[chosen], j[chosen], False
+        edges.append(np.stack([i[chosen], j[chosen]]))
         held[i[~chosen]] = held[j[~chosen]] = True
-    rest = np.flatnonzero(held)
-    yield rest, rest, True
+    if not every:
+        tree = np.array(root, np.int64)
+        while (tree[tree] != tree).any():
+            tree = tree[tree]
+        i, j = np.concatenate(edges, 1)
+        rest = np.flatnonzero(held)
+        yield i, j, tree[part[i]], False
+        yield rest, rest, tree[part[rest]], True
 
 
-FOUND = "a long, b long, kind int, held array<long>"
+FOUND = "a long, b long, kind int, tree long, held array<long>"
 CROWDED = 1 << 16  # keys that are broadcast at most
 SURE, FIRST, SECOND = 0, 1, 2  # kinds: a link of two labels; candidates by the first and by the second fingerprint
 
 
-SKETCH = 4  # words of 64 bits
-SKETCHED = ["n", *(f"sketch{k}" for k in range(SKETCH))]
-
-
 def odd_sketch(s: str) -> list[Column]:
     """Columns SKETCHED of an array of hashes: its size and, bit by bit, the parity of the hashes that fall on a bit."""
     word = lambda k: F.expr(f"aggregate({s}, 0L, (acc, x) -> acc ^ if(shiftright(x, 6) & {SKETCH - 1} = {k}, shiftleft(1L, cast(x & 63 AS int)), 0L))")
@@ -256,12 +272,14 @@ def may_be_alike(of: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity:
 
 def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, every: bool = False, heavy: int = 1 << 18, rows: int = 1 << 18, similarity: float = 0.0) -> DataFrame:
     """nodes (bits, second: which fingerprint they are of, label) -> FOUND: links of two labels, candidates (lower first), and in
-    rows of their own the fingerprints some of whose candidates are not given, unless with `every` all are.
+    rows of their own the fingerprints some of whose candidates are not given, unless with `every` all are. tree: a number for
+    the candidates of a tree and what is held with it; two trees may have the same by chance.
 
-    With a similarity, nodes also have the columns SKETCHED, and candidates that cannot be that similar are not given."""
+    With a similarity, nodes also have the columns SKETCHED or the first of them, and pairs that cannot be that similar are no
+    candidates."""
     spark = nodes.sparkSession
     parts = partitions(spark)
-    sketched = SKETCHED if similarity else []
+    sketched = [c for c in SKETCHED if c in nodes.columns] if similarity else []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,10 +290,10 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
                 yield pa.RecordBatch.from_arrays([pa.array(keys | np.where(second[at], OTHER, 0)), *(pa.array(x[at]) for x in (own, label, *sketch))], names=["key", "bits", "label", *sketched])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind.astype(np.int32)), pa.nulls(len(a), pa.list_(pa.int64()))], names=names)
+        def out(a: np.ndarray, b: np.ndarray, kind: np.ndarray, tree: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind.astype(np.int32)), pa.nulls(len(a), pa.int64()) if tree is None else pa.array(tree), pa.nulls(len(a), pa.list_(pa.int64()))], names=names)
 
-        names = ["a", "b", "kind", "held"]
+        names = ["a", "b", "kind", "tree", "held"]
         for part in stretches(batches, rows):
             key, own, label, *sketch = (c.to_numpy() for c in part.columns)
             bits = own.view(np.uint64)
@@ -283,20 +301,24 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
             root = sure_parts(key, bits, at, len(known), most)
             moved = np.flatnonzero(root != np.arange(len(known)))
             yield out(known[moved], known[root[moved]], np.full(len(moved), SURE))
-            for i, j, rest in candidates(key, bits, root[at], far, every) if far > most else ():
-                if sketch and not rest:
-                    ok = may_be_alike(sketch, i, j, similarity)
-                    i, j = i[ok], j[ok]
+            for i, j, tree, rest in candidates(key, bits, root[at], far, every, sketch, similarity) if far > most else ():
                 kind = np.where(key[i] & OTHER, SECOND, FIRST)
+                tree = mix(tree.astype(np.uint64) + np.uint64(int(key[0]) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)  # a key is of one stretch only
                 if not rest:
                     x, y = np.minimum(bits[i], bits[j]), np.maximum(bits[i], bits[j])
                     one = one_each(x ^ kind.astype(np.uint64), y)  # a pair may meet in several buckets
-                    yield out(x[one], y[one], kind[one])
+                    yield out(x[one], y[one], kind[one], None if every else tree[one])
                     continue
-                for k in (FIRST, SECOND):
-                    some = np.unique(own[i[kind == k]])
-                    for lo in range(0, len(some), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([some[lo : lo + (1 << 16)]], pa.list_(pa.int64()))], names=names)
+                order = np.lexsort((own[i], kind, tree))
+                tree, kind, some = tree[order], kind[order], own[i[order]]
+                new = np.concatenate(([True], (tree[1:] != tree[:-1]) | (kind[1:] != kind[:-1])))[: len(some)]
+                first = new | np.concatenate(([True], some[1:] != some[:-1]))[: len(some)]
+                tree, kind, some, new = tree[first], kind[first], some[first], new[first]
+                begin = np.flatnonzero(new)
+                begin = np.flatnonzero(new | ((np.arange(len(some)) - np.repeat(begin, np.diff(np.append(begin, len(some))))) % (1 << 16) == 0))
+                none = pa.nulls(len(begin), pa.int64())
+                held = pa.ListArray.from_arrays(pa.array(np.append(begin, len(some)).astype(np.int32)), pa.array(some))
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(kind[begin].astype(np.int32)), pa.array(tree[begin]), held], names=names)
 
     columns = ", ".join(f"{c} long" for c in ("key", "bits", "label", *sketched))
     keyed = nodes.select("bits", "second", "label", *sketched).repartition(parts).mapInArrow(emit, columns)
@@ -349,8 +371,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs does not meet under one fingerprint, and fewer under neither."""
     own = written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
     if far > most:
-        first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "other", "n")).alias("m"))
-        nodes = first.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.h").alias("text_h"), F.col("m.other").alias("other"), F.col("m.n").alias("n"))
+        sketch = [c for c in SKETCHED if c in own.columns]
+        first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "other", *sketch)).alias("m"))
+        nodes = first.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.h").alias("text_h"), *(f"m.{c}" for c in ("other", *sketch)))
     else:
         nodes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = written(nodes, "nodes")
@@ -365,10 +388,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if far > most:
         now = written(now, "labels")
         # one node stands for a second fingerprint; others that have it are candidates with that one
-        seconds = written(nodes.groupBy("other").agg(F.min(F.struct("fp", "rep", "text_h", "n")).alias("m")).select("other", "m.*"), "seconds")
+        seconds = written(nodes.groupBy("other").agg(F.min(F.struct("fp", "rep", "text_h", *sketch)).alias("m")).select("other", "m.*"), "seconds")
         named = now.select("fp", "label")
-        entries = named.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label").unionByName(seconds.join(named, "fp").select(F.col("other").alias("bits"), F.lit(True).alias("second"), "label"))
-    found = search(entries, most, far, heavy=heavy)
+        entries = now.select(F.col("fp").alias("bits"), F.lit(False).alias("second"), "label", *sketch).unionByName(seconds.join(named, "fp").select(F.col("other").alias("bits"), F.lit(True).alias("second"), "label", *sketch))
+    found = search(entries, most, far, heavy=heavy, similarity=similarity if far > most else 0.0)
     if far > most:
         found = written(found, "found")
     links = links.unionByName(found.where("kind = 0").select("a", "b"))
@@ -393,11 +416,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         stars = now.join(one, "other").where(F.col("label") != F.col("with")).select(F.col("fp").alias("a"), "b", F.lit(FIRST).alias("kind"))
         tried, same = compared(found.where("kind > 0 AND held IS NULL").select("a", "b", "kind").unionByName(stars))
         links = written(links.unionByName(same), "links")
-        left = found.where("held IS NOT NULL").select("kind", F.explode("held").alias("bits")).distinct()
         if found.where("held IS NOT NULL").limit(1).count():
             now = written(labelled(links), "labels")
-            again = left.where(F.col("kind") == FIRST).join(now, F.col("bits") == F.col("fp")).select("bits", F.lit(False).alias("second"), "label", "rep", "text_h")
-            again = again.unionByName(left.where(F.col("kind") == SECOND).join(seconds.select(F.col("other").alias("bits"), "fp", "rep", "text_h"), "bits").join(now.select("fp", "label"), "fp").select("bits", F.lit(True).alias("second"), "label", "rep", "text_h"))
+            marked = now.select(F.lit(FIRST).alias("kind"), F.col("fp").alias("bits"), "label", "rep", "text_h")
+            marked = marked.unionByName(seconds.select(F.lit(SECOND).alias("kind"), F.col("other").alias("bits"), "fp", "rep", "text_h").join(now.select("fp", "label"), "fp").drop("fp"))
+            marked = written(marked, "labels")
+            side = lambda k: marked.select("kind", F.col("bits").alias(k), F.col("label").alias(f"label_{k}"))
+            edges = found.where("kind > 0 AND held IS NULL").join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"])
+            torn = edges.where("label_a <> label_b").select("tree").distinct()  # all others are joined as a whole
+            left = found.where("held IS NOT NULL").select("kind", "tree", "held").join(torn, "tree", "left_semi").select("kind", F.explode("held").alias("bits")).distinct()
+            again = left.join(marked, ["kind", "bits"]).select("bits", (F.col("kind") == SECOND).alias("second"), "label", "rep", "text_h")
             again = written(again, "held")
             sets = sets_of(texts, again.select(F.col("rep").alias("id")), shingle + 1)
             sketches = sets.select("id", "th", "several", *odd_sketch("s"))

@@ -273,3 +273,52 @@ def test_a_crowd_of_unlike_texts_gives_few_candidates(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(df, most=1, far=8).collect()}
     assert got == {i: i - many if i >= many else i for i in range(len(fps))}
     assert len(sizes) == 2 and sizes[1] <= 40
+
+
+def test_sketches_of_texts_never_reject_what_is_alike():
+    """Texts of no word, of one shingle and of hundreds, with the sketches that are dealt along with their fingerprints."""
+    rng = random.Random(5)
+    texts = [None, "", "One", "one", "a b c d", "A b c d", "a b c d e", "a b c d e f"]
+    for _ in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 5, 6, 20, 60, 400]))]
+        x = list(w)
+        x[rng.randrange(len(x))] = "y"
+        texts += [" ".join(w), " ".join(x), " ".join([*w, *w[: rng.choice([0, 1, 9])]]), " ".join(w[: max(1, len(w) - 2)])]
+    *_, n, sketch = simhash.both_fingerprints(pa.array(texts))
+    sets = [shingles(t) if (t or "").strip() else set() for t in texts]
+    assert n.tolist() == [len(x) for x in sets] and len(sketch) == len(texts)
+    i, j = np.triu_indices(len(texts), 1)
+    may = simhash.may_be_alike([n, *sketch.T.copy().view(np.int64)], i, j, 0.8)
+    alike = np.array([len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) > 0 for x, y in zip(i.tolist(), j.tolist())])
+    small = n[i] + n[j] <= 200
+    assert may[alike].all() and alike.sum() > 100 and may[small & ~alike].mean() < 0.02
+
+
+def test_a_crowd_of_unlike_texts_holds_nothing(spark, monkeypatch):
+    """Short texts within 8 bits of one another that cannot be alike are neither candidates nor held for another search; of
+    copies that are alike one tree is given, and once it is verified none of them is searched for again."""
+    rng = random.Random(8)
+    around = lambda seed: list(dict.fromkeys(sum(1 << b for b in random.Random(seed + i).sample(range(62), 4)) for i in range(200)))
+    fps = around(0)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    unlike = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in fps]
+    copies = [" ".join([*text, f"end{i}"]) for i in range(len(fps))]
+    real = simhash.written
+    for docs in (unlike, copies):
+        *_, n, sketch = simhash.both_fingerprints(pa.array(docs))
+        rows = [(i, i, f, rng.getrandbits(62), *map(int, (n[i], *sketch[i].view(np.int64)))) for i, f in enumerate(fps)]
+        own = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("doc_id", "h", "fp", "other", "n", "sketch0", "sketch1")))
+        monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: own)  # noqa: B023
+        sizes = {}
+
+        def counting(df, name):
+            out = real(df, name)
+            sizes.setdefault(name, []).append(out.count())  # noqa: B023
+            return out
+
+        monkeypatch.setattr(simhash, "written", counting)
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in simhash.simhash_components(df, most=1, far=8).collect()}
+        assert got == {i: i if docs is unlike else 0 for i in range(len(fps))}
+        assert sizes.get("held", [0]) == [0]
+        assert docs is copies or sizes["found"] == [0]
