@@ -7,9 +7,11 @@ that miss no link.
 
 Rounds. First every fingerprint is dealt by its nearest codewords only (3 keys), which joins most members of large
 groups. Then it is dealt by all its keys (about 85) with the label of its group so far: a bucket compares only members
-of different labels, and what a task finds in a stretch of sorted buckets is folded into one link a label. Rows
-are sorted by key before Python sees them and are read a stretch at a time, so a task's memory follows neither the table
-nor its share. A bucket of more than `heavy` members is cut in blocks, a task for each pair of blocks.
+of different labels, and what a task finds in a stretch of sorted buckets is folded into one link a label. Keys that have
+their first codeword in common are a group, and a fingerprint travels once for each of its groups (about 10), not for each
+key: the task that gets a group makes its keys, a stretch of sorted groups at a time, and of a large group some of the keys at
+a time, so a task's memory follows neither the table nor its share. A group much larger than others is cut in shares of
+its keys. A bucket of more than `heavy` members is cut in blocks, a task for each pair of blocks.
 
 With `far` (the pipeline's stage) a second fingerprint of the same shingles, by an independent hash, is dealt along with
 the first. Pairs within `far` bits of either are candidates whose five-word shingles are compared. Each fingerprint carries
@@ -136,24 +138,82 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 OTHER = 1 << 26  # marks the keys of the second fingerprint; the first ones are less
 
 
-def key_pairs(fps: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, index of the fingerprint of each): two bits for the pair of segments, 12 for each of the two codewords.
-    nearest: by the nearest codewords only."""
-    per = []
-    for shift, width in SEGMENTS:
-        per.append(golay.keys((fps >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)))
+def codewords(fps: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    shift, width = SEGMENTS[segment]
+    return golay.keys((fps >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1))
+
+
+GROUPS = 1 << 14  # a bit for the second fingerprint, one for the segment, 12 for its codeword
+
+
+def groups_of(fps: np.ndarray, second: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, index of the fingerprint of each). nearest: by the nearest codewords only."""
+    groups, rows = [], []
+    for x in (0, 1):
+        k, n = codewords(fps, x)
+        for s in range(1 if nearest else 6):
+            at = np.flatnonzero(s < n)
+            groups.append(second[at].astype(np.int64) << 13 | x << 12 | k[at, s])
+            rows.append(at)
+    return np.concatenate(groups), np.concatenate(rows)
+
+
+def turn_of(codeword: np.ndarray, turns: int) -> np.ndarray:
+    return (codeword * 40503 >> 7) % turns
+
+
+def keys_in(group: np.ndarray, fps: np.ndarray, nearest: bool = False, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each) of fingerprints in one group each: OTHER, two bits for the pair of segments, 12 for each of the two
+    codewords. Of several turns each makes the keys of other second codewords."""
     keys, rows = [], []
-    many = 1 if nearest else 6
     for i, (x, y) in enumerate(PAIRS):
-        (kx, nx), (ky, ny) = per[x], per[y]
-        for s in range(many):
-            for t in range(many):
-                at = np.flatnonzero((s < nx) & (t < ny))
-                keys.append(i << 24 | kx[at, s] << 12 | ky[at, t])
-                rows.append(at)
+        own = np.flatnonzero(group >> 12 & 1 == x)
+        k, n = codewords(fps[own], y)
+        base = (group[own] >> 13) * OTHER | i << 24 | (group[own] & 4095) << 12
+        for t in range(1 if nearest else 6):
+            at = np.flatnonzero((t < n) & (turn_of(k[:, t], turns) == turn))
+            keys.append(base[at] | k[at, t])
+            rows.append(own[at])
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def key_pairs(fps: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, index of the fingerprint of each) of first fingerprints."""
+    group, at = groups_of(fps, np.zeros(len(fps), bool), nearest)
+    keys, row = keys_in(group, fps[at], nearest)
+    return keys, at[row]
+
+
+def packed(fps: np.ndarray, second: np.ndarray, cut: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(keys to deal by, index of the fingerprint of each): less than 0 for a group or one of its cut[group] shares, by the
+    second codeword; keys themselves of groups whose cut is 0."""
+    group, at = groups_of(fps, second, nearest)
+    whole, more = np.flatnonzero(cut[group] == 1), np.flatnonzero(cut[group] != 1)
+    if not len(more):
+        return -1 - group, at
+    key, row = keys_in(group[more], fps[at[more]], nearest)
+    own, row = group[more[row]], at[more[row]]
+    key = np.where(cut[own] == 0, key, -1 - ((key & 4095) % np.maximum(cut[own], 1) << 14 | own))
+    one = one_each(row, key)
+    return np.concatenate((-1 - group[whole], key[one])), np.concatenate((at[whole], row[one]))
+
+
+def unpacked(key: np.ndarray, fps: np.ndarray, cut: np.ndarray, nearest: bool = False, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each) of what packed() gave."""
+    alone, rows = np.flatnonzero((key >= 0) & (turn_of(key & 4095, turns) == turn)), np.flatnonzero(key < 0)
+    code = -1 - key[rows]
+    group, share = code & (GROUPS - 1), code >> 14
+    own, row = keys_in(group, fps[rows], nearest, turn, turns)
+    ok = (own & 4095) % np.maximum(cut[group[row]], 1) == share[row]
+    return np.concatenate((key[alone], own[ok])), np.concatenate((alone, rows[row[ok]]))
+
+
+def cuts(members: np.ndarray, heavy: int) -> np.ndarray:
+    """Shares to cut each group in: 1, but for those that have four times the members of others, or more than a task should hold."""
+    most = min(max(4 * members.sum() / max(1, np.count_nonzero(members)), min(heavy, 1 << 12)), 1 << 17)
+    return np.clip(np.ceil(members / most), 1, 4096).astype(np.int64)
+
+
 def parts_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest vertex reachable from each of n vertices under the links (a, b)."""
     part = np.arange(n)
@@ -281,21 +341,54 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
     parts = partitions(spark)
     sketched = [c for c in SKETCHED if c in nodes.columns] if similarity else []
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(GROUPS, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                own, second, label, *sketch = (c.to_numpy(zero_copy_only=False) for c in part.columns)
-                keys, at = key_pairs(own.view(np.uint64), nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(keys | np.where(second[at], OTHER, 0)), *(pa.array(x[at]) for x in (own, label, *sketch))], names=["key", "bits", "label", *sketched])
+            own, second = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            n += np.bincount(groups_of(own.view(np.uint64), second, nearest)[0], minlength=GROUPS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["g", "n"])
+
+    def dealt(cut: np.ndarray) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 4096):
+                    part = batch.slice(lo, 4096)
+                    own, second, label, *sketch = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                    keys, at = packed(own.view(np.uint64), second, cut, nearest)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[at]) for x in (own, label, *sketch))], names=["key", "bits", "label", *sketched])
+
+        columns = ", ".join(f"{c} long" for c in ("key", "bits", "label", *sketched))
+        return nodes.select("bits", "second", "label", *sketched).repartition(parts).mapInArrow(emit, columns)
+
+    members = np.zeros(GROUPS, np.int64)
+    for r in nodes.select("bits", "second").mapInArrow(counts, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        members[r.g] = r.n
+    cut = cuts(members, heavy)
+    crowd = None
+    if (members > heavy).any():  # no bucket has more members than its group
+        crowd = dealt(np.where(members > heavy, 0, 1)).where("key >= 0").groupBy("key").count().where(F.col("count") > heavy).select("key", F.ceil(F.col("count") / heavy).cast("int").alias("blocks"))
+        crowd = written(crowd, "crowded-keys")
+        of = F.expr("shiftleft(shiftright(key, 26), 13) + (shiftright(key, 13) & 4096) + (shiftright(key, 12) & 4095)")
+        cut[[r.g for r in crowd.select(of.alias("g")).distinct().collect()]] = 0
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """The columns of whole buckets sorted by key and label, about `rows` rows at a time."""
+        for part in stretches(batches, max(1, rows // 8)):
+            turns = 1 + part.num_rows // max(1, rows // 4)
+            own, *rest = (c.to_numpy() for c in part.columns)
+            for turn in range(turns):
+                key, row = unpacked(own, rest[0].view(np.uint64), cut, nearest, turn, turns)
+                order = np.lexsort((rest[1][row], key))
+                if len(order):
+                    yield [key[order], *(x[row[order]] for x in rest)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: np.ndarray, b: np.ndarray, kind: np.ndarray, tree: np.ndarray | None = None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind.astype(np.int32)), pa.nulls(len(a), pa.int64()) if tree is None else pa.array(tree), pa.nulls(len(a), pa.list_(pa.int64()))], names=names)
 
         names = ["a", "b", "kind", "tree", "held"]
-        for part in stretches(batches, rows):
-            key, own, label, *sketch = (c.to_numpy() for c in part.columns)
+        for key, own, label, *sketch in buckets(batches):
             bits = own.view(np.uint64)
             known, at = np.unique(label, return_inverse=True)
             root = sure_parts(key, bits, at, len(known), most)
@@ -320,18 +413,15 @@ def search(nodes: DataFrame, most: int, far: int = 0, nearest: bool = False, eve
                 held = pa.ListArray.from_arrays(pa.array(np.append(begin, len(some)).astype(np.int32)), pa.array(some))
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(kind[begin].astype(np.int32)), pa.array(tree[begin]), held], names=names)
 
-    columns = ", ".join(f"{c} long" for c in ("key", "bits", "label", *sketched))
-    keyed = nodes.select("bits", "second", "label", *sketched).repartition(parts).mapInArrow(emit, columns)
-    if nodes.count() > heavy:  # no bucket can have more members than there are nodes
-        crowd = keyed.groupBy("key").count().where(F.col("count") > heavy).select("key", F.ceil(F.col("count") / heavy).cast("int").alias("blocks"))
-        crowd = written(crowd, "crowded-keys")
+    keyed = dealt(cut)
+    if not cut.all():
         if crowd.count() <= CROWDED:
             crowd = F.broadcast(crowd)
         keyed = keyed.join(crowd, "key", "left")
         own = F.pmod(F.xxhash64("bits"), "blocks").cast("int")
         each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.greatest(o, own) * F.col("blocks") + F.least(o, own)))
         keyed = keyed.select(F.explode(each).alias("block"), "key", "bits", "label", *sketched).select((F.col("block").cast("long") * F.lit(1 << 27) + F.col("key")).alias("key"), "bits", "label", *sketched)
-    return keyed.repartition(4 * parts, "key").sortWithinPartitions("key", "label").mapInArrow(find, FOUND)
+    return keyed.repartition(4 * parts, "key").sortWithinPartitions("key").mapInArrow(find, FOUND)
 
 
 def shingle_set(text: Column, shingle: int) -> Column:

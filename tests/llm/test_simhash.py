@@ -322,3 +322,37 @@ def test_a_crowd_of_unlike_texts_holds_nothing(spark, monkeypatch):
         assert got == {i: i if docs is unlike else 0 for i in range(len(fps))}
         assert sizes.get("held", [0]) == [0]
         assert docs is copies or sizes["found"] == [0]
+
+
+def test_keys_of_groups():
+    """A fingerprint dealt once a group, once a share of it, or once a key has the same keys where it arrives, in one turn or more."""
+    rng = np.random.default_rng(7)
+    fps, second = rng.integers(0, 1 << 64, 500, np.uint64), rng.random(500) < 0.4
+    for nearest in (False, True):
+        keys, at = simhash.key_pairs(fps, nearest)
+        want = sorted(zip((keys | np.where(second[at], simhash.OTHER, 0)).tolist(), at.tolist(), strict=True))
+        assert len(set(want)) == len(want) and (len(want) > 70 * len(fps)) != nearest
+        for cut in (np.ones(simhash.GROUPS, np.int64), rng.choice([0, 1, 2, 5, 4096], simhash.GROUPS)):
+            key, row = simhash.packed(fps, second, cut, nearest)
+            assert len(set(zip(key.tolist(), row.tolist(), strict=True))) == len(key) and (len(key) <= 12 * len(fps) or cut.min() == 0)
+            for turns in (1, 3):
+                got = [simhash.unpacked(key, fps[row], cut, nearest, t, turns) for t in range(turns)]
+                assert sorted((k, int(row[r])) for own, of in got for k, r in zip(own.tolist(), of.tolist(), strict=True)) == want
+                assert turns == 1 or all(len(own) < 0.6 * len(want) for own, _ in got)
+
+
+def shuffled_rows(spark):
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_fingerprint_travels_once_a_group(spark):
+    """4,000 fingerprints, more than `heavy`, so that crowded buckets are looked for: some ten rows of each are shuffled, not one
+    for each of its 85 keys and another to count the key."""
+    rng = random.Random(14)
+    df = spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(4000)], "bits long").selectExpr("bits", "false AS second", "bits AS label")
+    before = shuffled_rows(spark)
+    assert simhash.search(df, 4, heavy=2000).where("kind > 0").count() == 0
+    assert shuffled_rows(spark) - before <= 20 * 4000
